@@ -14,8 +14,13 @@ from pyspark.sql import Window as W
 
 from georeport.functions.geo import encode_cid
 from georeport.operators import structure, tagging
-from georeport.operators.common import scratch_path
-from georeport.operators.spatial import line_segments
+from georeport.operators.common import scratch_path, written
+from georeport.functions.keys import location_key
+from georeport.operators.context import unique_places
+from georeport.operators.lookup import locale_index
+from georeport.operators.scoring import choose_places, unary_score
+from georeport.operators.spatial import closest_on_lines, line_segments
+from georeport.plans.resolve import Gazetteer, event_contexts
 
 VOCAB_SIZE = 460
 TEMPLATES = (("DIRECTION", ("of",), ()), ("PROXIMITY", ("in",), ()))
@@ -60,10 +65,7 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """Write an intermediate table to the shared folder and read it from there."""
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return written(df, name)
 
     def lines(self, df: DataFrame, name: str, col: str = "value") -> str:
         path = scratch_path(self.spark, name)
@@ -93,8 +95,11 @@ class Fixtures:
 
     # -------------------------------------------------------------- gazetteer
 
-    @property
+    @cached_property
     def regions(self) -> DataFrame:
+        return self.stored(self._regions(), "regions")
+
+    def _regions(self) -> DataFrame:
         n = self.table("nation").select(F.col("n_nationkey").cast("int").alias("nk"), F.col("n_regionkey").cast("int").alias("rk"), "n_name")
         named = word_at(F.col("nk") + 31, self.vocab, n, "w").withColumn("name", F.concat("w", F.lit(" oblast")))
         other = named.select(F.col("nk").alias("o"), F.col("name").alias("o_name"))
@@ -105,8 +110,11 @@ class Fixtures:
             F.col("nk").alias("row_no"), "name", F.array("w", F.lower("n_name")).alias("aliases"), "neighbors",
             F.concat(F.lit("QR"), "nk").alias("qid"), F.concat(F.lit("XX-"), "nk").alias("iso3166_2"), "rk")
 
-    @property
+    @cached_property
     def groups(self) -> DataFrame:
+        return self.stored(self._groups(), "groups")
+
+    def _groups(self) -> DataFrame:
         r = self.table("region").select(F.col("r_regionkey").cast("int").alias("rk"), "r_name")
         named = word_at(F.col("rk") + 56, self.vocab, r, "name")
         own = self.regions.groupBy("rk").agg(F.array_sort(F.collect_list("name")).alias("regions"))
@@ -117,8 +125,11 @@ class Fixtures:
             F.col("rk").alias("row_no"), "name", F.col("rk").alias("group_id"), F.array(F.lower("r_name")).alias("aliases"),
             "regions", "neighbors")
 
-    @property
+    @cached_property
     def locales(self) -> DataFrame:
+        return self.stored(self._locales(), "locales")
+
+    def _locales(self) -> DataFrame:
         base = self.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("int").alias("nk")).unionByName(
             self.table("supplier").select((F.col("s_suppkey") + 1000000).alias("k"), F.col("s_nationkey").cast("int").alias("nk")))
         nation = F.broadcast(self.table("nation").select(F.col("n_nationkey").cast("int").alias("nk"), F.col("n_regionkey").cast("int").alias("rk")))
@@ -140,9 +151,9 @@ class Fixtures:
         return self.locales.filter("row_no < 40").select(
             "row_no", "name", F.col("cid").alias("anchor_cid"), "aliases")
 
-    @property
+    @cached_property
     def patterns(self) -> DataFrame:
-        return tagging.dictionary(self.locales, self.regions, self.groups, self.directions, self.triggers)
+        return self.stored(tagging.dictionary(self.locales, self.regions, self.groups, self.directions, self.triggers), "patterns")
 
     # ------------------------------------------------------------------ texts
 
@@ -229,3 +240,31 @@ class Fixtures:
     @property
     def contexts(self) -> DataFrame:
         return structure.contexts_of(self.analysed)
+
+    # ------------------------------------------------------------- resolution
+
+    @property
+    def gazetteer(self) -> Gazetteer:
+        return Gazetteer(self.locales, self.regions, self.groups, self.directions)
+
+    @cached_property
+    def event_contexts(self) -> DataFrame:
+        return self.stored(event_contexts(self.report_events, self.contexts, self.gazetteer), "event-contexts")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Plain candidates: every place a mention may name."""
+        rows = locale_index(self.locales).withColumnRenamed("key", "_key")
+        asked = self.mentions.select("event_id", "loc_no", "text").withColumn("_key", location_key("text"))
+        return self.stored(unique_places(asked.join(rows, "_key").drop("_key", "aliases", "text")), "candidates")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Candidates with line distance and unary score."""
+        rows = closest_on_lines(self.candidates, self.segments).drop("line_lat", "line_lon")
+        none = F.lit(None).cast("double")
+        return self.stored(rows.withColumn("unary", unary_score(F.col("line_km"), none, none)), "scored")
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return self.stored(choose_places(self.scored), "chosen")

@@ -41,32 +41,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table to the shared folder and read it from there.
+
+    Computes the input once, cuts its lineage, gives later joins exact sizes, and survives
+    lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def running_totals(items: Column, zero: Column, add: Callable[[Column, Column], Column],
-                   emit: Callable[[Column, Column], Column], block: int = 16) -> Column:
-    """``emit(total before item, item)`` for each item of an array.
+def totals_before(numbers: Column, block: int = 8, levels: int = 3) -> Column:
+    """For each element of an array of longs, the sum of the elements before it.
 
-    Spark has no scan over an array, and a fold that appends is quadratic. Totals are
-    taken per block first, so the work per item stays small for long texts too.
+    Spark has no scan over an array, and a fold that appends is quadratic. Sums are
+    taken per block and per block of blocks first, so an element costs a few additions.
     """
-    def offsets(chunks: Column) -> Column:
-        sums = F.transform(chunks, lambda c: F.aggregate(c, zero, add))
-        return let(sums, lambda s: F.transform(
-            s, lambda x, i: F.aggregate(F.slice(s, 1, i), zero, add)))
+    def add(acc: Column, x: Column) -> Column:
+        return acc + x
 
-    def expand(chunk: Column, start: Column) -> Column:
-        return F.transform(chunk, lambda x, i: emit(F.aggregate(F.slice(chunk, 1, i), start, add), x))
+    def inside(chunk: Column, start: Column) -> Column:
+        return F.transform(chunk, lambda x, i: F.aggregate(F.slice(chunk, 1, i), start, add))
+
+    if levels == 0:
+        return let(numbers, lambda xs: inside(xs, F.lit(0).cast("long")))
 
     def run(xs: Column) -> Column:
         last = F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / block).cast("int")
         chunks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * block + 1, block))
-        return let(chunks, lambda cs: F.flatten(F.zip_with(cs, offsets(cs), expand)))
 
-    return let(items, run)
+        def join(cs: Column) -> Column:
+            sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0).cast("long"), add))
+            return F.flatten(F.zip_with(cs, totals_before(sums, block, levels - 1), inside))
+
+        return let(chunks, join)
+
+    return let(numbers, run)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a small input arrives in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df

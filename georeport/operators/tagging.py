@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from georeport.functions.keys import location_key, phrase_key, strip
-from georeport.operators.common import broadcast_if_small, let, running_totals
+from georeport.operators.common import broadcast_if_small, let, spread, totals_before
 
 WORD = r"[\p{L}\p{N}'’ʼ]+"
 # Order in which labels win when two spans cover the same words.
@@ -25,33 +25,31 @@ CONTEXT_LABELS = ("REGION", "DIRECTION", "PROXIMITY", "GROUP")
 def word_table(text: Column) -> Column:
     """Array of words: text ``w``, gap before ``g``, char range ``cs``-``ce``, token number
     ``ts`` (other visible characters count as tokens), line ``ln`` and sentence ``sn``."""
-    def step(gap: Column, word: Column) -> Column:
-        glen = F.length(gap)
-        return F.struct(
-            word.alias("w"), gap.alias("g"), (glen + F.length(word)).alias("c"),
-            (F.length(F.regexp_replace(gap, r"\s+", "")) + 1).alias("t"),
-            (glen - F.length(F.translate(gap, "\n", ""))).alias("l"),
-            gap.rlike(r"[.!?\n]").cast("int").alias("s"))
-
-    def add(acc: Column, x: Column) -> Column:
-        return F.struct(*((acc[f] + x[f]).alias(f) for f in "ctls"))
+    def pack(high: Column, low: Column) -> Column:
+        return F.shiftleft(high.cast("long"), 32) + low
 
-    def emit(acc: Column, x: Column) -> Column:
-        end = acc["c"] + x["c"]
+    def counts(ws: Column, gaps: Column) -> Column:
+        chars = F.zip_with(gaps, ws, lambda g, w: pack(
+            F.length(g) + F.length(w),
+            F.when(g == " ", F.lit(1)).otherwise(F.length(F.regexp_replace(g, r"\s+", "")) + 1)))
+        # What precedes the first word does not start a second sentence.
+        breaks = F.transform(gaps, lambda g, i: F.when(g == " ", F.lit(0).cast("long")).otherwise(pack(
+            F.length(g) - F.length(F.translate(g, "\n", "")), ((i > 0) & g.rlike(r"[.!?\n]")).cast("int"))))
+        return F.struct(ws.alias("w"), gaps.alias("g"), chars.alias("x"), breaks.alias("y"))
+
+    def word(v: Column, w: Column, i: Column) -> Column:
+        x, y = v["x0"][i] + v["x"][i], v["y0"][i] + v["y"][i]
+        low = F.lit(0xFFFFFFFF)
+        end = F.shiftright(x, 32).cast("int")
         return F.struct(
-            x["w"].alias("w"), x["g"].alias("g"), (end - F.length(x["w"])).alias("cs"), end.alias("ce"),
-            (acc["t"] + x["t"] - 1).alias("ts"), (acc["l"] + x["l"]).alias("ln"), (acc["s"] + x["s"]).alias("sn"))
+            w.alias("w"), v["g"][i].alias("g"), (end - F.length(w)).alias("cs"), end.alias("ce"),
+            (x.bitwiseAND(low).cast("int") - 1).alias("ts"), F.shiftright(y, 32).cast("int").alias("ln"),
+            y.bitwiseAND(low).cast("int").alias("sn"))
 
-    zero = F.struct(*(F.lit(0).alias(f) for f in "ctls"))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-    def steps(ws: Column) -> Column:
-        gaps = F.slice(F.split(text, WORD, -1), 1, F.size(ws))
-        # What precedes the first word does not start a second sentence.
-        return F.transform(F.zip_with(gaps, ws, step), lambda x, i: x.withField(
-            "s", F.when(i == 0, F.lit(0)).otherwise(x["s"])))
-
-    return running_totals(let(words, steps), zero, add, emit)
+    parts = let(words, lambda ws: let(F.slice(F.split(text, WORD, -1), 1, F.size(ws)), lambda gs: counts(ws, gs)))
+    summed = let(parts, lambda v: v.withField("x0", totals_before(v["x"])).withField("y0", totals_before(v["y"])))
+    return let(summed, lambda v: F.transform(v["w"], lambda w, i: word(v, w, i)))
 
 
 def _run(ws: Column, i: Column, n: int) -> Column:
@@ -88,28 +86,24 @@ def _names(ws: Column, n: int) -> Column:
     return F.filter(found, lambda g: g["key"] != "")
 
 
-def _shapes(ws: Column, templates: Sequence, n_name: int) -> list[Column]:
+def _shape(ws: Column, label: str, before: Sequence[str], after: Sequence[str], n_name: int) -> Column:
     """Word runs ``before + name + after``; only the name is left as key."""
-    out = []
-    for label, before, after in templates:
-        b, n = len(before), len(before) + n_name + len(after)
-        fixed = [(k, w) for k, w in enumerate(before)] + [(b + n_name + k, w) for k, w in enumerate(after)]
-
-        def fits(i: Column, fixed=fixed, b=b, n=n) -> Column:
-            ok = F.lit(True)
-            for k, w in fixed:
-                ok = ok & (F.lower(ws[i + k]["w"]) == w)
-            for k in [*range(1, b + 1), *range(b + n_name, n)]:
-                ok = ok & ~ws[i + k]["g"].rlike(r"\S")
-            return ok
-
-        out.append(F.transform(
-            F.filter(_starts(ws, n), fits),
-            lambda i, label=label, b=b, n=n: _gram(label, location_key(_run(ws, i + b, n_name)), ws, i, n)))
-    return out
-
-
-def _trigger_grams(ws: Column, lengths: Sequence[int]) -> list[Column]:
+    b, n = len(before), len(before) + n_name + len(after)
+    fixed = [*enumerate(before), *((b + n_name + k, w) for k, w in enumerate(after))]
+
+    def fits(i: Column) -> Column:
+        ok = F.lit(True)
+        for k, w in fixed:
+            ok = ok & (F.lower(ws[i + k]["w"]) == w)
+        for k in (*range(1, b + 1), *range(b + n_name, n)):
+            ok = ok & ~ws[i + k]["g"].rlike(r"\S")
+        return ok
+
+    return F.transform(F.filter(_starts(ws, n), fits),
+                       lambda i: _gram(label, location_key(_run(ws, i + b, n_name)), ws, i, n))
+
+
+def _trigger_grams(ws: Column, lengths: Sequence[int]) -> Column:
     """Word runs within a sentence, with the token range of that sentence."""
     def grams(heads: Column, n: int) -> Column:
         inside = F.filter(_starts(ws, n), lambda i: ws[i]["sn"] == ws[i + n - 1]["sn"])
@@ -121,7 +115,7 @@ def _trigger_grams(ws: Column, lengths: Sequence[int]) -> list[Column]:
         return F.transform(inside, one)
 
     heads = F.filter(_starts(ws, 1), lambda i: (i == 0) | (F.get(ws, i - 1)["sn"] != ws[i]["sn"]))
-    return [let(heads, lambda hs, n=n: grams(hs, n)) for n in lengths]
+    return let(heads, lambda hs: F.concat(*(grams(hs, n) for n in lengths)))
 
 
 def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, directions: DataFrame,
@@ -157,11 +151,12 @@ def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence) -> D
         for space in ("DIRECTION", "PROXIMITY"):
             mine = [t for t in templates if t[0] == space]
             for n in range(1, lengths.get(space, 0) + 1):
-                parts += _shapes(ws, mine, n)
-        parts += _trigger_grams(ws, range(1, lengths.get("TRIGGER", 0) + 1))
+                parts += [_shape(ws, label, before, after, n) for label, before, after in mine]
+        if "TRIGGER" in lengths:
+            parts.append(_trigger_grams(ws, range(1, lengths["TRIGGER"] + 1)))
         return F.concat(*parts)
 
-    found = posts.select("post_id", F.explode(let(word_table(F.col("text")), grams)).alias("g")).select("post_id", "g.*")
+    found = spread(posts).select("post_id", F.explode(let(word_table(F.col("text")), grams)).alias("g")).select("post_id", "g.*")
     return found.join(broadcast_if_small(patterns.select("space", "key", "label")), ["space", "key"])
 
 
