@@ -268,3 +268,51 @@ class Fixtures:
     @cached_property
     def chosen(self) -> DataFrame:
         return self.stored(choose_places(self.scored), "chosen")
+
+    # ------------------------------------------------------- upkeep and intake
+
+    @property
+    def spellings(self) -> DataFrame:
+        """Place names in many spellings, with a packed alias cell."""
+        n, a, m = F.col("name"), F.get("aliases", F.lit(0)), F.col("row_no") % 6
+        cyr = F.translate(n, "abvgdeziklmnoprstuf", "абвгдезиклмнопрстуф")
+        cyr2 = F.concat(F.lit("Ж"), F.translate(a, "abvgdeziklmnoprstuf", "абвгдезиклмнопрстуф"), F.lit("ский-Елщьё"))
+        raw = (F.when(m == 0, F.concat(n, F.lit("ivka"))).when(m == 1, F.concat(F.lit("Stara "), n))
+               .when(m == 2, F.concat(n, F.lit("ivska-"), a)).when(m == 3, F.concat(F.upper(n), F.lit("ivske")))
+               .when(m == 4, F.concat(F.lit("  "), F.initcap(n), F.lit("'ye –  the "), a, F.lit(" (x)"))).otherwise(cyr))
+        cell = F.concat(n, F.lit("; "), F.upper(a), F.lit(";;"), cyr2, F.lit(" ;"), cyr, F.lit("; The O’"), a)
+        return self.locales.select("row_no", "qid", "cid", "lat", "lon", raw.alias("raw"), cyr2.alias("cyr"), cell.alias("cell"), n.alias("name"))
+
+    @property
+    def name_rules(self) -> dict[str, str]:
+        w = self.words
+        return {w[r] + "ivka": f"{w[r]}ovo;{w[r]}grad" for r in range(61, 71)}
+
+    @property
+    def word_rules(self) -> dict[str, str]:
+        w = self.words
+        return {"stara": "staraya", **{w[r]: w[r] + "aya" for r in range(80, 121)}}
+
+    @property
+    def channels(self) -> DataFrame:
+        """Sources as channels; every fourth is inactive, some take the defaults."""
+        no = F.substring("source", 4, 9).cast("int")
+        return self.table("documents").select("source").distinct().select(
+            F.col("source").alias("channel_name"), F.when(no % 3 != 0, F.upper("source")).alias("alias"),
+            F.when(no % 5 != 0, F.when(no % 2 == 0, "en").otherwise("de")).alias("channel_lang"), F.when(no % 7 != 6, no % 4 != 0).alias("active"))
+
+    @property
+    def messages(self) -> DataFrame:
+        """Posts as messages: some texts only in ``raw_text``, some empty, some without a time."""
+        p, k = self.posts, F.col("post_id")
+        return p.select("channel", "post_id", F.when(k % 50 != 7, F.col("published_at")).alias("published_at"),
+                        F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("  "), "text", F.lit("\n"))).alias("message"),
+                        F.when(k % 11 != 0, F.col("text")).alias("raw_text"))
+
+    @property
+    def phrases(self) -> list[str]:
+        return [self.words[r].upper() for r in (40, 41, 42)]
+
+    @property
+    def blacklist(self) -> list[str]:
+        return [self.words[r] for r in (43, 44, 45)]

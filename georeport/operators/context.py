@@ -138,6 +138,17 @@ def keep_group(candidates: DataFrame, group: str = "ctx_group") -> DataFrame:
     return keep_matching(candidates, F.col(group).isNull() | (F.col("grp") == F.col(group)), "group_mismatch")
 
 
+def keep_region_and_group(candidates: DataFrame, region: str = "ctx_region", group: str = "ctx_group") -> DataFrame:
+    """``keep_region`` then ``keep_group`` with one aggregation for both."""
+    r = F.coalesce(F.col(region).isNull() | (F.col("region") == F.col(region)), F.lit(False))
+    g = F.coalesce(F.col(group).isNull() | (F.col("grp") == F.col(group)), F.lit(False))
+    found = candidates.groupBy(*MENTION).agg(F.max(r).alias("_r"), F.max(g).alias("_g"), F.max(r & g).alias("_rg"))
+    in_region = ~F.col("_r") | r
+    any_group = F.when(F.col("_r"), F.col("_rg")).otherwise(F.col("_g"))
+    return (candidates.join(found, MENTION).filter(in_region & (~any_group | g))
+            .withColumn("region_mismatch", ~r).withColumn("group_mismatch", ~g).drop("_r", "_g", "_rg"))
+
+
 def _entries(table: DataFrame, *cols: Column) -> DataFrame:
     """Plain name or alias to entry; the first entry wins."""
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from georeport.operators import context, scoring
+from georeport.operators.common import written
 from georeport.operators.spatial import closest_on_lines
 from georeport.params import Params
 
@@ -36,7 +37,7 @@ def score_candidates(candidates: DataFrame, contexts: DataFrame, segments: DataF
                      params: Params = Params()) -> DataFrame:
     """Fail-safe narrowing, direction axis, line distance and unary score."""
     rows = candidates.join(contexts.select("event_id", "ctx_region", "ctx_group", "dir_lat", "dir_lon"), "event_id", "left")
-    rows = context.keep_group(context.keep_region(rows))
+    rows = written(context.keep_region_and_group(rows), "kept")
     anchors = contexts.select(F.col("dir_lat").alias("lat"), F.col("dir_lon").alias("lon")).dropna().distinct()
     axes = scoring.direction_axes(anchors, segments)
     rows = rows.join(axes.withColumnRenamed("axis_lat", "dir_lat").withColumnRenamed("axis_lon", "dir_lon"), ["dir_lat", "dir_lon"], "left")
@@ -48,8 +49,12 @@ def score_candidates(candidates: DataFrame, contexts: DataFrame, segments: DataF
 
 def resolve_mentions(mentions: DataFrame, events: DataFrame, contexts: DataFrame, gaz: Gazetteer,
                      segments: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """The whole resolution job: resolved mentions, and the assignment of each event."""
-    ctx = event_contexts(events, contexts, gaz)
-    candidates = context.narrow_candidates(mentions, ctx, gaz.locales, params)
-    chosen = scoring.choose_places(score_candidates(candidates, ctx, segments, params), params)
+    """The whole resolution job: resolved mentions, and the assignment of each event.
+
+    Steps that are read more than once are written to the shared folder, so nothing is
+    computed twice and each join knows the size of its sides.
+    """
+    ctx = written(event_contexts(events, contexts, gaz), "contexts")
+    candidates = written(context.narrow_candidates(mentions, ctx, gaz.locales, params), "narrowed")
+    chosen = written(scoring.choose_places(score_candidates(candidates, ctx, segments, params), params), "chosen")
     return scoring.write_back(mentions, chosen, gaz.locales, params), chosen
