@@ -316,3 +316,22 @@ class Fixtures:
     @property
     def blacklist(self) -> list[str]:
         return [self.words[r] for r in (43, 44, 45)]
+
+    @property
+    def matches(self) -> DataFrame:
+        """Raw match records of the report events, as JSON with some keys missing."""
+        e = self.report_events
+        idx = F.element_at(F.split("event_id", ":"), -1).cast("long")
+        post = F.col("post_id").cast("string")
+        word = F.col("action_text")
+        base = F.struct(F.col("s_ts").alias("document_token_index"), F.lit("Somebody").alias("document_word"), F.when(idx % 2 == 0, F.lit(0.5)).alias("similarity_measure"))
+        hit = F.struct((F.col("s_te") - 1).alias("document_token_index"), (F.col("s_te") - 2).alias("first_document_token_index"), word.alias("document_word"),
+                       F.left(word, F.lit(4)).alias("extracted_word"), F.when(idx % 5 == 1, F.lit(True)).alias("negated"))
+        record = F.struct(
+            F.when(idx % 3 == 0, post).alias("document"), F.when(idx % 3 == 1, post).otherwise("").alias("document_label"), F.when(idx % 3 == 2, post).alias("document_name"),
+            F.col("label").alias("search_phrase_label"), word.alias("search_phrase_text"), F.when(idx % 7 != 3, (idx % 10) / 10.0).alias("overall_similarity_measure"),
+            F.when(idx % 4 == 0, F.lit(True)).alias("negated"),
+            F.when(idx % 11 != 5, F.array(F.to_json(base), F.to_json(hit))).alias("word_matches"))
+        # The words are objects, not texts.
+        text = F.regexp_replace(F.replace(F.replace(F.replace(F.to_json(record), F.lit('\\"'), F.lit('"')), F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}")), "^$", "")
+        return e.select((F.col("post_id") * 100000 + idx).alias("match_no"), text.alias("value"))

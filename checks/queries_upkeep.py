@@ -277,7 +277,7 @@ def _(fx):
     def items(cond, form):
         return F.array_join(F.collect_list(F.when(cond, F.concat(F.lit('"'), form, F.lit('"')))), ",")
 
-    docs = part.groupBy("_b").agg(_q('{"actions":{"kinetic_verbs":[', items(F.length("w") > 2, _q(" ", F.upper("w"), " ")), ',"  "]},"x":{"other":[', items(F.length("w") > 8, F.col("w")), "]}}").alias("value"))
+    docs = part.groupBy("_b").agg(_q('{"actions":{"kinetic_verbs":[', items(F.length("w") > 2, _q(" ", F.translate("w", "abcdefghij", "ABCDEFGHIJ"), " ")), ',"  "]},"x":{"other":[', items(F.length("w") > 8, F.col("w")), "]}}").alias("value"))
     return records.lexicon_triggers(docs)
 
 
