@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from georeport.functions.geo import haversine_km, unit_lat, unit_lon
+from georeport.functions.geo import RADIUS_KM, haversine_km, unit_lat, unit_lon
 from georeport.operators.common import let, written
 from georeport.operators.spatial import closest_on_lines
 from georeport.params import Params, Scoring
@@ -71,19 +71,33 @@ def unary_score(line_km: Column, cross: Column, along: Column, s: Scoring = Scor
 
 
 def pair_score(a: Column, b: Column, s: Scoring = Scoring()) -> Column:
-    """Coherence of two candidates (structs with lat, lon, region, grp)."""
+    """Coherence of two candidates: structs of ``PAIR_FIELDS``.
+
+    Runs once per extension of the beam, inside array functions, so the angles come ready
+    and no term is written twice.
+    """
     def coherence(field: str, same: float, differ: float) -> Column:
-        both = (F.coalesce(a[field], F.lit("")) != "") & (F.coalesce(b[field], F.lit("")) != "")
-        return F.when(both, F.when(a[field] == b[field], F.lit(same)).otherwise(-differ)).otherwise(0.0)
+        return F.when(a[field] == b[field], F.lit(same)).when(a[field] != b[field], F.lit(-differ)).otherwise(0.0)
 
     def compact(d: Column) -> Column:
         return (F.when(d <= s.close_km, F.lit(1.0))
-                .when(d <= s.far_km, 1.0 - (d - s.close_km) / (s.far_km - s.close_km))
-                .otherwise(-F.least((d - s.far_km) / s.far_km, F.lit(1.0))))
+                .when(d <= s.far_km, (s.far_km - d) / (s.far_km - s.close_km))
+                .otherwise(F.greatest((s.far_km - d) / s.far_km, F.lit(-1.0))))
 
-    near = let(haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]), compact)
+    north = let(F.sin((a["rlat"] - b["rlat"]) / 2), lambda x: x * x)
+    east = let(F.sin((a["rlon"] - b["rlon"]) / 2), lambda x: x * x)
+    half = F.asin(F.least(F.lit(1.0), F.sqrt(north + a["clat"] * b["clat"] * east)))
     return (coherence("region", s.region_same, s.region_differ) + coherence("grp", s.group_same, s.group_differ)
-            + s.compactness_weight * near)
+            + s.compactness_weight * let(half * (2 * RADIUS_KM), compact))
+
+
+PAIR_FIELDS = ("rlat", "rlon", "clat", "region", "grp")
+
+
+def with_angles(candidates: DataFrame) -> DataFrame:
+    """Add what ``pair_score`` reads; empty region and group names become null."""
+    return (candidates.withColumn("rlat", F.radians("lat")).withColumn("rlon", F.radians("lon")).withColumn("clat", F.cos(F.radians("lat")))
+            .withColumn("region", F.nullif(F.col("region"), F.lit(""))).withColumn("grp", F.nullif(F.col("grp"), F.lit(""))))
 
 
 def _sum(items: Column, value: Callable[[Column], Column]) -> Column:
@@ -107,7 +121,7 @@ def confidences(picks: Column, s: Scoring = Scoring()) -> Column:
 
 # --------------------------------------------------------------- beam search
 
-_PICK = ("loc_no", "row_no", "cid", "lat", "lon", "region", "grp", "qid", "unary")
+_PICK = ("loc_no", "row_no", "cid", "lat", "lon", "rlat", "rlon", "clat", "region", "grp", "qid", "unary")
 
 
 def _pick(df: DataFrame) -> tuple[Column, str]:
@@ -123,12 +137,15 @@ def _rank_score(score: Column) -> Column:
 def _ordered(candidates: DataFrame) -> DataFrame:
     """Order of a candidate within its mention: by distance to a proximity anchor, then gazetteer row."""
     prox = F.coalesce("prox_km", F.lit(0.0)) if "prox_km" in candidates.columns else F.lit(0.0)
-    return candidates.withColumn("_prox", prox)
+    return with_angles(candidates).withColumn("_prox", prox)
 
 
 def _fold(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
     item, kind = _pick(candidates)
-    cands = (candidates.groupBy("event_id", "loc_no")
+    # The rows are few but costly, so their number must not decide the number of tasks.
+    spark = candidates.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cands = (candidates.repartition(tasks, "event_id").groupBy("event_id", "loc_no")
              .agg(F.sort_array(F.collect_list(F.struct("_prox", "row_no", item.alias("c")))).alias("l"))
              .withColumn("cands", F.transform("l", lambda x: x["c"])))
     events = cands.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from georeport.functions.keys import (
     CYRILLIC, alias_key, compare_key, cyrillic_to_latin, exonym_variants, is_latin, location_key, sorted_pack, split_list, strip,
 )
+from georeport.operators.common import let
 from georeport.operators.spatial import assign_polygon, polygon_area
 
 _NONE = "array<string>"
@@ -22,9 +23,10 @@ def _empty() -> Column:
 
 def _append_new(existing: Column, additions: Column) -> Column:
     """Append normalized additions whose key is new, in order."""
-    keys = F.transform(existing, alias_key)
-    fresh = F.filter(F.transform(additions, alias_key), lambda x: (x != "") & ~F.array_contains(keys, x))
-    return F.concat(existing, F.array_distinct(fresh))
+    def fresh(keys: Column) -> Column:
+        return F.filter(F.transform(additions, alias_key), lambda x: (x != "") & ~F.array_contains(keys, x))
+
+    return F.concat(existing, F.array_distinct(let(F.transform(existing, alias_key), fresh)))
 
 
 def normalize_aliases(cell: Column) -> Column:
@@ -93,9 +95,11 @@ def rebuild_aliases(places: DataFrame, merged: DataFrame, names: dict[str, str],
         split_list("aliases"), F.array(strip(F.coalesce("name", F.lit("")))), F.col("names_en"), F.col("names_aliases"),
         F.transform("names_ru", cyrillic_to_latin), F.flatten(F.transform(latin_ua, lambda x: split_list(exonym_variants(x, names, words)))))
     pairs = F.filter(F.transform(F.filter(parts, is_latin), lambda x: F.struct(alias_key(x).alias("k"), x.alias("v"))), lambda p: p["k"] != "")
-    rows = rows.withColumn("_pairs", pairs).withColumn("_keys", F.transform("_pairs", lambda p: p["k"]))
-    kept = F.filter("_pairs", lambda p, i: F.array_position("_keys", p["k"]) == i + 1)
-    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(kept, lambda p: p["v"])), ";")).drop("_pairs", "_keys")
+
+    def kept(ps: Column) -> Column:
+        return let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
+
+    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(let(pairs, kept), lambda p: p["v"])), ";"))
 
 
 def first_per_cid(directions: DataFrame) -> DataFrame:
