@@ -1,17 +1,21 @@
 """Direction axis, unary and pairwise scores, and the joint choice of places per event.
 
-An event is one row that holds its mentions and their candidates, so the beam runs as a fold
-over arrays: no shuffle per step, and no pair of candidates is ever materialized. Events
-with more candidates than ``Params.fold_limit`` take the row-parallel form of the
-same search, which spreads the candidates of one event over tasks.
+Most events have one mention and need only a minimum. The others run the beam one event per
+group, with array arithmetic inside the task: one shuffle by event, and pairs of candidates
+exist only there. Events with more candidates than ``Params.fold_limit`` take the
+row-parallel form of the same search, which spreads the candidates of one event over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from georeport.functions.geo import RADIUS_KM, haversine_km, unit_lat, unit_lon
@@ -140,27 +144,61 @@ def _ordered(candidates: DataFrame) -> DataFrame:
     return with_angles(candidates).withColumn("_prox", prox)
 
 
-def _fold(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
-    item, kind = _pick(candidates)
-    # The rows are few but costly, so their number must not decide the number of tasks.
+def _single(candidates: DataFrame) -> DataFrame:
+    """Events with one mention: the best candidate, combined before the shuffle."""
+    item, _ = _pick(candidates)
+    best = candidates.groupBy("event_id").agg(F.min(F.struct(
+        _rank_score(F.col("unary")).alias("r"), "_prox", "row_no", "unary", item.alias("c"))).alias("b"))
+    return best.select("event_id", F.col("b.unary").alias("score"), F.array("b.c").alias("picks"))
+
+
+def _beam(rows: pd.DataFrame, width: int, s: Scoring) -> pd.DataFrame:
+    """Beam over the mentions of one event; returns its chosen rows in the order of choice."""
+    rows = rows.sort_values(["open", "loc_no", "_prox", "row_no"], kind="stable").reset_index(drop=True)
+    lat, lon, cos, unary = (rows[c].to_numpy() for c in ("rlat", "rlon", "clat", "unary"))
+    names = [(pd.factorize(rows[c])[0], same, differ) for c, same, differ in (
+        ("region", s.region_same, s.region_differ), ("grp", s.group_same, s.group_differ))]
+
+    def pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        north, east = np.sin((lat[p] - lat[q]) / 2), np.sin((lon[p] - lon[q]) / 2)
+        d = 2 * RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(north * north + cos[p] * cos[q] * east * east)))
+        near = np.where(d <= s.close_km, 1.0, np.where(
+            d <= s.far_km, (s.far_km - d) / (s.far_km - s.close_km), np.maximum((s.far_km - d) / s.far_km, -1.0)))
+        total = s.compactness_weight * near
+        for codes, same, differ in names:
+            a, b = codes[p], codes[q]
+            total = total + np.where((a < 0) | (b < 0), 0.0, np.where(a == b, same, -differ))
+        return total
+
+    score, picks = np.zeros(1), np.zeros((1, 0), dtype=int)
+    for _, cands in rows.groupby(["open", "loc_no"], sort=True).indices.items():
+        grown = score[:, None] + unary[cands][None, :]
+        for k in range(picks.shape[1]):
+            grown = grown + pairs(picks[:, k][:, None], cands[None, :])
+        flat = grown.ravel()
+        # A stable sort keeps the earlier assignment, then the earlier candidate, on ties.
+        best = np.argsort(-np.round(flat, 9), kind="stable")[:width]
+        picks = np.hstack([picks[best // len(cands)], cands[best % len(cands)][:, None]])
+        score = flat[best]
+    out = rows.iloc[picks[0]].assign(score=score[0], pos=np.arange(picks.shape[1]))
+    return out.drop(columns=["open", "_prox"])
+
+
+def _grouped_beam(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
+    """Events with several mentions: one event per call, all arithmetic on arrays.
+
+    Only events up to ``Params.fold_limit`` candidates come here, so a group is bounded.
+    """
+    # The rows are few but costly, so their bytes must not decide the number of tasks.
     spark = candidates.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    cands = (candidates.repartition(tasks, "event_id").groupBy("event_id", "loc_no")
-             .agg(F.sort_array(F.collect_list(F.struct("_prox", "row_no", item.alias("c")))).alias("l"))
-             .withColumn("cands", F.transform("l", lambda x: x["c"])))
-    events = cands.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct(
-        (F.size("cands") > 1).alias("open"), "loc_no", "cands"))).alias("mentions"))
-    zero = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast(f"array<{kind}>").alias("picks")))
-
-    def extend(beam: Column, m: Column) -> Column:
-        grown = F.flatten(F.transform(beam, lambda b, bi: F.transform(m["cands"], lambda c, ci: F.struct(
-            (b["s"] + c["unary"] + _sum(b["picks"], lambda p: pair_score(c, p, s))).alias("s"), bi.alias("b"), ci.alias("c")))))
-        ranked = F.sort_array(F.transform(grown, lambda g: F.struct(_rank_score(g["s"]).alias("r"), g["b"], g["c"], g["s"])))
-        return F.transform(F.slice(ranked, 1, width), lambda g: F.struct(
-            g["s"].alias("s"), F.concat(beam[g["b"]]["picks"], F.array(m["cands"][g["c"]])).alias("picks")))
-
-    best = F.aggregate("mentions", zero, extend)
-    return events.select("event_id", best[0].alias("b")).select("event_id", F.col("b.s").alias("score"), "b.picks")
+    rows = candidates.select("event_id", "open", "_prox", *_PICK).repartition(tasks, "event_id")
+    fields = [f for f in rows.schema if f.name not in ("open", "_prox")]
+    kind = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("pos", T.LongType())])
+    chosen = rows.groupBy("event_id").applyInPandas(lambda pdf: _beam(pdf, width, s)[[f.name for f in kind]], kind)
+    item = F.struct("pos", F.struct(*_PICK).alias("c"))
+    return chosen.groupBy("event_id").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(item)).alias("l")).select(
+        "event_id", "score", F.transform("l", lambda x: x["c"]).alias("picks"))
 
 
 def _spread_beam(candidates: DataFrame, width: int, s: Scoring, every: int = 4) -> DataFrame:
@@ -197,13 +235,18 @@ def choose_places(candidates: DataFrame, params: Params = Params()) -> DataFrame
     optionally prox_km. Mentions with one candidate are fixed first, the others follow in order.
     """
     rows = written(_ordered(candidates), "candidates")
-    sizes = rows.groupBy("event_id").agg(F.count("*").alias("_size"))
-    counted = rows.join(sizes, "event_id")
-    small = _fold(counted.filter(F.col("_size") <= params.fold_limit).drop("_size"), params.beam_width, params.scoring)
-    large = counted.filter(F.col("_size") > params.fold_limit).drop("_size")
-    if sizes.filter(F.col("_size") > params.fold_limit).isEmpty():
-        return small
-    return small.unionByName(_spread_beam(large, params.beam_width, params.scoring))
+    per_mention = rows.groupBy("event_id", "loc_no").agg(F.count("*").alias("_n"))
+    sizes = per_mention.groupBy("event_id").agg(F.sum("_n").alias("_size"), F.count("*").alias("_mentions"))
+    sized = rows.join(sizes, "event_id")
+    alone, held = F.col("_mentions") == 1, F.col("_size") <= params.fold_limit
+    parts = [_single(sized.filter(alone).drop("_size", "_mentions"))]
+    several = rows.join(per_mention.withColumn("open", F.col("_n") > 1).drop("_n"), ["event_id", "loc_no"]).join(
+        sizes.filter(~alone & held).select("event_id"), "event_id", "left_semi")
+    parts.append(_grouped_beam(several, params.beam_width, params.scoring))
+    if not sizes.filter(~alone & ~held).isEmpty():
+        large = sized.filter(~alone & ~held).drop("_size", "_mentions")
+        parts.append(_spread_beam(large, params.beam_width, params.scoring))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---------------------------------------------------------------- diagnostics
