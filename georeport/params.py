@@ -45,6 +45,6 @@ class Params:
     post_context_tokens: int = 12
     section_context_chars: int = 40
     templates: tuple = DIRECTION_TEMPLATES
-    # An event whose candidates number more than this is resolved by the
-    # row-parallel search instead of inside one row.
-    fold_limit: int = 5000
+    # An event with more candidates than this is resolved by the row-parallel search
+    # instead of inside one group.
+    fold_limit: int = 50_000
