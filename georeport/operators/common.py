@@ -20,7 +20,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; a larger side keeps the shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,7 +81,13 @@ def totals_before(numbers: Column, block: int = 8, levels: int = 3) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a small input arrives in fewer partitions than there are cores."""
+    """Use every core when a small scan arrives in fewer partitions than there are cores.
+
+    A plan that shuffles is left alone: its partitions are already set, and asking for their
+    number would run it.
+    """
+    query = df._jdf.queryExecution()
+    if "Exchange" in query.executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(cores) if query.toRdd().getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from georeport.functions.geo import lookup_km
 from georeport.functions.keys import location_key, plain_key
-from georeport.operators.common import broadcast_if_small
+from georeport.operators.common import broadcast_if_small, written
 from georeport.operators.lookup import entity_index, expand_groups, locale_index, resolve_entities
 from georeport.operators.spatial import polygon_reach
 from georeport.params import Params
@@ -192,7 +192,8 @@ def constrain_group(candidates: DataFrame, groups: DataFrame, areas: DataFrame,
             .withColumn("grp_key", F.col("_entry.grp_key")).drop("_plain", "_entry")
             .withColumn("_region", plain_key("region"))
             .join(mapped, "grp_key", "left").join(reach, ["grp_key", "_region"], "left"))
-    held = polygon_reach(rows, shapes, ["grp_key"])
+    # The search reads its points several times.
+    held = polygon_reach(written(rows, "grouped"), shapes, ["grp_key"])
     active = F.coalesce("_area", F.lit(False))
     ok = F.coalesce("_near", F.lit(False)) & (F.coalesce(F.col("area_m"), F.lit(float("inf"))) <= GROUP_BUFFER_M)
     same = plain_key("grp") == F.col("grp_key")
