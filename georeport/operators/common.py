@@ -24,16 +24,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a local one only if unset."""
-    sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder for intermediate tables, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that folder would be
+    a different one on each machine, so it is an error there.
+    """
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="georeport-")
-    sc.setCheckpointDir(path)
+    spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
@@ -48,8 +50,8 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     lost executors.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def totals_before(numbers: Column, block: int = 8, levels: int = 3) -> Column:
