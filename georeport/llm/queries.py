@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georeport.llm import near, quality, rules
+from georeport.llm import leaks, near, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,7 @@ WITH words AS (
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
-           ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words
+           ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
 ), classes AS (
     SELECT s, len(s) AS n, min(doc_id) AS head FROM sets WHERE len(s) > 0 GROUP BY s
 ), items AS MATERIALIZED (
@@ -81,3 +81,66 @@ def op6(spark, sf_dir):
     model = quality.train_on_labels(docs, labels)
     return (quality.score(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id")))
             .withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0)).select("doc_id", "held_out", "score", "predicted"))
+
+
+OP3_SQL = r"""
+WITH dw AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), bw AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), win AS MATERIALIZED (
+    SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS p, least(10, len(w)) AS n
+    FROM bw, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT n FROM win
+), occ AS MATERIALIZED (
+    SELECT d.doc_id, d.s, d.n, win.item_id
+    FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS p FROM dw, lens, unnest(range(1, len(w) - n + 2)) AS t(s)) d
+    JOIN win ON win.p = d.p AND win.n = d.n
+), hit AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM (SELECT DISTINCT doc_id, s, n FROM occ)) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id
+)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3(spark, sf_dir):
+    found = leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_KINDS = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+          ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+          ("github", "gh[opsru]_[A-Za-z0-9]{36,}", 0, 1), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+          ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1))
+OP5_SQL = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (" + " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS rank, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS m,
+        regexp_extract_all(t, '{pattern}', {group}) AS g, {least} AS least FROM d"""
+    for i, (kind, pattern, group, least) in enumerate(_KINDS)) + """
+), each AS (
+    SELECT doc_id, rank, kind, least, i, len(gaps[i]) AS gap, len(m[i]) AS n, len(g[i]) AS tested FROM found, unnest(range(1, len(m) + 1)) AS t(i)
+), placed AS (
+    SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM each
+), spans AS (
+    SELECT doc_id, rank, kind, CAST(stop - n AS BIGINT) AS start, kind || ':' || CAST(stop - n AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said FROM placed WHERE tested >= least
+), agg AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(said, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(said, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (doc_id)
+"""
+
+
+@query("op5_secrets", OP5_SQL)
+def op5(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
