@@ -168,8 +168,8 @@ def fit(rows: DataFrame, text: Column, label: Column, key: Column, settings: Set
     return Model(w[:slots].astype(np.float32).astype(np.float64), float(w[slots]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score`` for every row."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns of ``keep`` and the score, under ``name``, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: slots * 8 bytes
     fields = docs.select(*keep).schema
 
@@ -177,9 +177,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         m = shared.value
         for batch in batches:
             s = score_texts(batch.column(batch.num_columns - 1), m.weights, m.bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], name])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, fields.add("score", "double"))
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, fields.add(name, "double"))
 
 
 def held_out(doc_id: Column) -> Column:

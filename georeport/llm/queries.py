@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georeport.llm import leaks, near, quality, rules, secrets
+from georeport.llm import leaks, near, packing, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +145,8 @@ FROM d LEFT JOIN agg USING (doc_id)
 def op5(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select(F.col("row_id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op10_packing")
+def op10(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
