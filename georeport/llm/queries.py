@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georeport.llm import leaks, near, packing, quality, rules, secrets
+from georeport.llm import leaks, near, packing, quality, relative, rules, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,29 @@ def op5(spark, sf_dir):
 @query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_suffixes")
+def op1(spark, sf_dir):
+    return suffixes.removed(table(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH w AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS MATERIALIZED (
+    SELECT doc_id, s, hash(w[s:s + 34]) AS h, md5(array_to_string(w[s:s + 34], ' ')) AS m FROM w, unnest(range(1, len(w) - 33)) AS t(s)
+), twice AS (SELECT h, m FROM win GROUP BY h, m HAVING count(*) > 1
+), gone AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM win JOIN twice USING (h, m)
+), words AS (SELECT doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS t(i)
+), rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+@query("op7_relative", OP7_SQL)
+def op7(spark, sf_dir):
+    return relative.parsed(table(spark, sf_dir, "documents"), 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
