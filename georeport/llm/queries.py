@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georeport.llm import leaks, near, packing, quality, relative, rules, secrets, suffixes
+from georeport.llm import archives, attribution, leaks, near, packing, quality, relative, rules, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,26 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)
 @query("op7_relative", OP7_SQL)
 def op7(spark, sf_dir):
     return relative.parsed(table(spark, sf_dir, "documents"), 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+heads AS (SELECT hex, min(page_id) AS head FROM p GROUP BY hex),
+letters AS (
+    SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31) + 1, 1), '' ORDER BY k, j) AS said
+    FROM heads, range(8) AS a(k), range(4) AS b(j) GROUP BY hex
+)
+SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, said AS payload_digest,
+       CASE WHEN p.page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> head THEN head END AS refers_to
+FROM p JOIN heads USING (hex) JOIN letters USING (hex)
+"""
+
+
+@query("op8_archives", OP8_SQL)
+def op8(spark, sf_dir):
+    return archives.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_attribution")
+def op9(spark, sf_dir):
+    return attribution.attributed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="most")
