@@ -5,8 +5,8 @@ scatters shingles over a ring; coordinate k is the least value of the second per
 from slices of one table. Bands of the signature make buckets.
 
 Documents with equal sets are one class before banding, so groups of exact copies of any size cost one member. In
-a bucket every class is compared with the smallest one; classes still apart after that are compared with each other
-if they share a bucket and are not yet connected. A link at the threshold is missed with a chance of
+a bucket every class is compared with the smallest one. Where a bucket still holds several classes after that, a join on the rarest
+shingles of its documents finds the links among them without trying all pairs. A link at the threshold is missed with a chance of
 ``(1 - t ** rows) ** bands``, 2e-8 at the defaults for t = 0.8; every candidate is confirmed on full sets. No cap.
 
 Null, empty and blank texts have empty sets and are linked with nothing. Fewer words than ``width``: the whole sequence is one
@@ -141,6 +141,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("shared") >= percent * (n - F.col("shared"))).select("a", "b"))
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (head, label) with different labels that may reach the threshold; leaves none of them out.
+
+    Shingles of a set are ordered from rare to frequent among the nodes. Two sets that share enough must share one
+    near the front of both, as too few are left behind it otherwise. A document's own shingles come
+    first, so a heavily changed copy meets few others, however large its group is.
+    """
+    each = sets.join(nodes.select(F.col("head").alias("id"), "label"), "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g")))
+    front = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    fronts = (each.join(counts, "g", "left").groupBy("id", "label", "n").agg(order.alias("o")).select("id", "label", "n", F.posexplode(F.slice("o", 1, front.cast("int"))).alias("at", "x"))
+              .where("x.df > 1").select("id", "label", "n", (F.col("at") + 1).alias("at"), F.col("x.g").alias("g")))
+    fronts = written(fronts, "fronts")
+    a = fronts.select("g", *(F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "at")))
+    b = fronts.select("g", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at")))
+    # The least number of shared shingles at these sizes.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    fits = ((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") >= need)
+            & (F.col("at_a") <= F.col("n_a") - need + 1) & (F.col("at_b") <= F.col("n_b") - need + 1))
+    return a.join(b, (a["g"] == b["g"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """(id, label): label is the smallest id connected with id; only ids that have an edge.
 
@@ -178,14 +201,13 @@ def linked_classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str
     stars = written(shared.where("head <> centre").select(F.col("centre").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     links = written(confirmed(stars, sets, settings.percent), "links")
     found = classes(links)
-    # What a bucket's centre did not connect: the members that are still apart meet each other.
+    # What a bucket's centre did not connect: documents of buckets that hold several classes still.
     label = F.coalesce("label", "head").alias("label")
-    named = shared.join(found, shared["head"] == found["id"], "left").select("key", "head", "centre", label)
+    named = written(shared.join(found, shared["head"] == found["id"], "left").select("key", "head", label), "named")
     apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = written(named.join(apart, "key").where("head <> centre"), "open")
-    rest = (open_.select("key", F.col("head").alias("a"), F.col("label").alias("la"))
-            .join(open_.select("key", F.col("head").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la <> lb").select("a", "b").distinct())
-    more = written(confirmed(rest.join(stars, ["a", "b"], "left_anti"), sets, settings.percent), "more")
+    open_ = written(named.join(apart, "key").select("head", "label").distinct(), "open")
+    rest = prefix_pairs(open_, sets, settings.percent)
+    more = written(confirmed(rest, sets, settings.percent), "more")
     found = classes(links.union(more))
     # Every document's class is that of its head.
     final = heads.select(*same, "head").join(found, F.col("head") == F.col("id"), "left").select(*same, F.coalesce("label", "head").alias("component_id"))
