@@ -39,9 +39,14 @@ def encoder(path: str):
 
 def allocate(token_ends: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens of each section, tokens that cross one of its borders, and tokens outside. All places in one unit."""
-    token_start = np.concatenate([[0], token_ends[:-1]])
+    filled = end > start
+    if not filled.all():  # empty sections get nothing
+        count, crossed = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        count[filled], crossed[filled], outside = allocate(token_ends, start[filled], end[filled], rule)
+        return count, crossed, outside
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), len(token_ends)
+    token_start = np.concatenate([[0], token_ends[:-1]])
     # The sections that a token touches are first..last: the join of two sorted interval lists.
     first = np.searchsorted(end, token_start, "right")
     last = np.searchsorted(start, token_ends, "left") - 1
