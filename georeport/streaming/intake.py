@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from georeport.plans.intake import select_posts
-from georeport.sources.posts import MESSAGE_SCHEMA, post_records
+from georeport.sources.posts import MESSAGE_SCHEMA, POST_SCHEMA, post_records, write_posts
 
 
 def message_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def unique_posts(messages: DataFrame, channels: DataFrame, start, end=None, lateness: str = "7 days", **filters) -> DataFrame:
-    """Filtered posts, repeated (channel, post_id) dropped while the watermark keeps them.
+def stream_posts(messages: DataFrame, channels: DataFrame, start, end=None, **filters) -> DataFrame:
+    """Filtered posts of a message stream, repeats included."""
+    return select_posts(messages, channels, start, end, **filters)
 
-    The filters come first, so only the few kept posts enter the state.
+
+def add_posts(posts: DataFrame, path: str) -> None:
+    """Append the posts that are not yet in the folder, each (channel, post_id) once.
+
+    A post's day never changes, so only the days at hand are read. Posts may come in any order and
+    at any age, and a batch that is run again adds nothing twice.
     """
-    posts = select_posts(messages, channels, start, end, **filters)
-    return posts.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["channel", "post_id"])
+    rows = posts.dropDuplicates(["channel", "post_id"])
+    try:
+        known = posts.sparkSession.read.schema(f"{POST_SCHEMA}, dt string").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        fresh = post_records(rows).join(known, ["dt", "channel", "post_id"], "left_anti").select("channel", "post_id")
+        rows = rows.join(fresh, ["channel", "post_id"], "left_semi")
+    write_posts(rows, path)
 
 
 def write_stream(posts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append post records by day; processes what is there and stops."""
-    return (post_records(posts).writeStream.format("json").partitionBy("dt").option("path", path)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    """Add post records by day; processes what is there and stops."""
+    return (posts.writeStream.foreachBatch(lambda batch, _: add_posts(batch, path)).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
