@@ -67,7 +67,7 @@ CTES: dict[str, str] = {
         c.w || ' oblast' AS region, d.w AS grp, CASE WHEN k % 11 <> 0 THEN 'Q' || (k % 997) END AS qid
         FROM fx_base JOIN fx_vocab a ON a.r = 61 + k % 400 JOIN fx_vocab b ON b.r = 61 + (k * 7 + 3) % 400
         JOIN fx_vocab c ON c.r = 31 + nk JOIN fx_vocab d ON d.r = 56 + rk""",
-    "fx_directions": "SELECT row_no, name, cid AS anchor_cid, aliases FROM fx_locales WHERE row_no < 40",
+    "fx_directions": "SELECT row_no, name, cid AS anchor_cid, aliases FROM fx_locales",
     "fx_index": f"SELECT {lockey('a')} AS key, * EXCLUDE (a) FROM (SELECT unnest(list_append(aliases, name)) AS a, * FROM fx_locales)",
     "fx_region_index": f"""SELECT key, arg_max(name, row_no) AS entity FROM (SELECT {lockey('a')} AS key, name, row_no FROM
         (SELECT unnest(list_append(aliases, name)) AS a, name, row_no FROM fx_regions)) GROUP BY key""",
@@ -100,11 +100,14 @@ CTES: dict[str, str] = {
     # Text layer: pieces of a text alternate between words and gaps.
     "tx_pieces": f"""SELECT post_id, i, p, regexp_matches(p, '^{_WRD}') AS is_word FROM (SELECT post_id, unnest(l) AS p, generate_subscripts(l, 1) AS i
         FROM (SELECT post_id, regexp_extract_all(text, '{_WRD}+|{_GAP}+') AS l FROM fx_posts))""",
+    "tx_before": r"""SELECT *, lower(lag(p) OVER (PARTITION BY post_id ORDER BY i)) AS prev FROM tx_pieces""",
     "tx_counted": r"""SELECT *, CAST(sum(length(p)) OVER w AS BIGINT) AS ce,
         CAST(sum(CASE WHEN is_word THEN 1 ELSE length(regexp_replace(p, '\s+', '', 'g')) END) OVER w AS BIGINT) AS te,
         CAST(sum(CASE WHEN is_word THEN 0 ELSE length(p) - length(replace(p, chr(10), '')) END) OVER w AS BIGINT) AS ln,
-        CAST(sum(CASE WHEN NOT is_word AND i > 1 AND regexp_matches(p, '[.!?\n]') THEN 1 ELSE 0 END) OVER w AS BIGINT) AS sn,
-        lag(p) OVER w AS gap FROM tx_pieces WINDOW w AS (PARTITION BY post_id ORDER BY i)""",
+        CAST(sum(CASE WHEN NOT is_word AND i > 1 AND (contains(p, chr(10)) OR (regexp_matches(p, '[.!?…]["»”)\]]*[\s\x{00A0}]')
+            AND NOT (prev IN ('gen', 'col', 'lt', 'maj', 'capt', 'sgt', 'dr', 'mr', 'mrs', 'st', 'ген', 'обл') AND regexp_matches(p, '^\.[ \t\r\f\v\x{00A0}]*$'))))
+            THEN 1 ELSE 0 END) OVER w AS BIGINT) AS sn,
+        lag(p) OVER w AS gap FROM tx_before WINDOW w AS (PARTITION BY post_id ORDER BY i)""",
     "tx_words": f"""SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY i) AS wi, p AS w, gap, ce - length(p) AS cs, ce,
         te - 1 AS ts, te, ln, sn, lower(p) AS lw, {lockey('p')} AS key FROM tx_counted WHERE is_word""",
     "tx_names": f"""SELECT DISTINCT key, label FROM (SELECT key, 'LOCALE' AS label FROM fx_index
@@ -126,9 +129,12 @@ CTES: dict[str, str] = {
         FROM (SELECT post_id, unnest(l) AS s FROM tx_chosen)""",
     "tx_sentences": """SELECT post_id, sn, min(ts) AS s_ts, max(te) AS s_te, min(cs) AS s_cs, max(ce) AS s_ce FROM tx_words GROUP BY ALL""",
     "tx_triggered": """SELECT post_id, sn, label, trigger, min(ts) AS ts FROM tx_words JOIN fx_triggers ON lw = trigger GROUP BY ALL""",
-    "tx_sentence_texts": r"""SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY i) - 1 AS sn, trim(s, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS text FROM
-        (SELECT post_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT post_id, regexp_extract_all(text, '[^.!?\n]+') AS l FROM fx_posts))
-        WHERE regexp_matches(s, '[\p{L}\p{N}''’ʼ]')""",
+    # A sentence is its words, the gaps between them, and what of the gaps at its borders lies on its side of the cut.
+    "tx_cut": r"""SELECT *, string_split(regexp_replace(p, '([.!?…]["»”)\]]*)[\s\x{00A0}]', '\1' || chr(10), 'g'), chr(10)) AS parts,
+        lag(sn) OVER (PARTITION BY post_id ORDER BY i) AS sn0, max(i) OVER (PARTITION BY post_id) AS last FROM tx_counted""",
+    "tx_sentence_texts": r"""SELECT post_id, sn, trim(string_agg(p, '' ORDER BY i), chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS text FROM (
+        SELECT post_id, sn, i, CASE WHEN is_word THEN p WHEN i = 1 THEN parts[-1] WHEN sn0 <> sn THEN parts[-1] WHEN i = last THEN parts[1] ELSE p END AS p FROM tx_cut
+        UNION ALL SELECT post_id, sn0, i, parts[1] FROM tx_cut WHERE sn0 <> sn) GROUP BY post_id, sn""",
     "tx_events0": """SELECT t.post_id, t.post_id || ':' || (row_number() OVER (PARTITION BY t.post_id ORDER BY t.sn, t.ts, t.trigger, t.label) - 1) AS event_id,
         t.label, t.trigger, t.sn, s_ts, s_te, s_cs FROM tx_triggered t JOIN tx_sentences USING (post_id, sn)""",
 }

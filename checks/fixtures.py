@@ -148,7 +148,7 @@ class Fixtures:
 
     @property
     def directions(self) -> DataFrame:
-        return self.locales.filter("row_no < 40").select(
+        return self.locales.select(
             "row_no", "name", F.col("cid").alias("anchor_cid"), "aliases")
 
     @cached_property
@@ -210,7 +210,7 @@ class Fixtures:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return self.stored(tagging.match_words(self.posts, self.patterns, TEMPLATES), "hits")
+        return self.stored(tagging.match_words(self.posts, self.patterns, TEMPLATES, partitions=self.spark.sparkContext.defaultParallelism), "hits")
 
     @cached_property
     def spans(self) -> DataFrame:

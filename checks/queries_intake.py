@@ -8,6 +8,7 @@ from georeport.functions.labels import utc_iso
 from georeport.operators import filters
 from georeport.operators.common import scratch_path
 from georeport.plans.intake import select_posts
+from georeport.plans.report import report
 from georeport.sources import posts as post_files
 from georeport.streaming import intake as stream
 
@@ -112,3 +113,11 @@ def _(fx):
                                 phrases=fx.phrases, words=fx.blacklist, blacklist_lang="de")
     stream.write_stream(posts, out, state).awaitTermination()
     return post_files.read_posts(fx.spark, out).select("channel", "post_id", utc_iso(F.col("published_at")).alias("published_at"), "text")
+
+
+@query("l02_report_of_messages")
+def _(fx):
+    """The whole way from messages to places, with ids that repeat over channels."""
+    again = fx.messages.withColumn("channel", F.lit("src1")).withColumn("post_id", F.col("post_id") % 50).dropDuplicates(["post_id"])
+    posts = _selected(fx, fx.messages.filter("channel <> 'src1'").unionByName(again))
+    return report(posts, fx.patterns, fx.gazetteer, fx.segments, partitions=fx.spark.sparkContext.defaultParallelism).mentions

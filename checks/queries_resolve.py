@@ -6,7 +6,6 @@ from checks.ctes import CTES, km, lockey, lookup_km
 from checks.queries_spatial import EDGES_M, seg_sql
 from checks.registry import query
 from georeport.operators import context, scoring, spatial
-from georeport.params import Params
 from georeport.plans.resolve import resolve_mentions
 
 
@@ -208,9 +207,9 @@ def _(fx):
 
 
 def _projected(fx):
-    axes = scoring.direction_axes(fx.locales.filter("row_no < 100").select("row_no", "lat", "lon"), fx.segments)
+    axes = scoring.direction_axes(fx.locales.select("row_no", "lat", "lon"), fx.segments)
     axes = axes.withColumnRenamed("row_no", "_a")
-    return scoring.project_on_axis(fx.candidates.withColumn("_a", F.col("loc_no").cast("long") * 37 % 100).join(F.broadcast(axes), "_a"))
+    return scoring.project_on_axis(fx.candidates.withColumn("_a", F.col("loc_no").cast("long") * 37 % 100).join(axes, "_a"))
 
 
 @query("j07_axis_projection", "SELECT event_id, loc_no, cid, round(along, 4) AS along_km, round(crs, 4) AS cross_km FROM tx_projected")
@@ -247,10 +246,10 @@ def _first(fx):
 
 
 @query("j11_pair_score", f"""SELECT a.event_id, a.loc_no AS loc_a, b.loc_no AS loc_b, round({pair('a', 'b')}, 6) AS score FROM tx_first a JOIN tx_first b
-  ON b.event_id = a.event_id AND b.loc_no = a.loc_no + 1""")
+  ON b.event_id = a.event_id AND b.loc_no > a.loc_no""")
 def _(fx):
     rows = _first(fx).select("event_id", F.explode("picks").alias("a"), "picks")
-    rows = rows.select("event_id", "a", F.explode(F.filter("picks", lambda p: p["loc_no"] == F.col("a.loc_no") + 1)).alias("b"))
+    rows = rows.select("event_id", "a", F.explode(F.filter("picks", lambda p: p["loc_no"] > F.col("a.loc_no"))).alias("b"))
     return rows.select("event_id", F.col("a.loc_no").alias("loc_a"), F.col("b.loc_no").alias("loc_b"),
                        F.round(scoring.pair_score(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -271,7 +270,7 @@ def _(fx):
 
 @query("e10_beam_over_rows", beam_sql("tx_scored") + " SELECT d.event_id, round(d.score, 6) AS score, p.loc_no, p.cid FROM beam_done d JOIN beam_picks p USING (event_id)")
 def _(fx):
-    got = scoring.choose_places(fx.scored, Params(fold_limit=0))
+    got = scoring.choose_places_by_rows(fx.scored)
     return got.select("event_id", F.round("score", 6).alias("score"), F.explode("picks").alias("p")).select("event_id", "score", "p.loc_no", "p.cid")
 
 

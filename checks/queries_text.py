@@ -78,7 +78,7 @@ def _(fx):
 
 
 _PARA = {k.replace("tx_", "rx_"): v.replace("tx_", "rx_").replace("fx_posts", "fx_paragraph_posts")
-         for k, v in CTES.items() if k in ("tx_pieces", "tx_counted", "tx_words", "tx_names", "tx_pairs", "tx_hits", "tx_chosen", "tx_spans",
+         for k, v in CTES.items() if k in ("tx_pieces", "tx_before", "tx_counted", "tx_words", "tx_names", "tx_pairs", "tx_hits", "tx_chosen", "tx_spans",
                                            "tx_lines", "tx_sections0", "tx_sections1", "tx_sections")}
 CTES.update(_PARA)
 
@@ -87,7 +87,7 @@ CTES.update(_PARA)
 def _(fx):
     from checks.fixtures import TEMPLATES
     posts = fx.paragraph_posts
-    spans = tagging.tag_spans(posts, fx.patterns, TEMPLATES)
+    spans = tagging.tag_spans(posts, fx.patterns, TEMPLATES, fx.spark.sparkContext.defaultParallelism)
     got = structure.gather_posts(posts, spans).select(
         "post_id", structure.section_array(F.col("text"), F.col("spans")).alias("sections"))
     return structure.sections_of(got).select("post_id", "section_no", "section_id", "text", *_long("cs", "ce"))

@@ -43,25 +43,38 @@ def phrase_key(c: Column | str) -> Column:
     return squeeze(text_key(c))
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters of the Latin and Cyrillic blocks whose decomposition is one base letter."""
-    src, dst = [], []
-    for code in (*range(0xC0, 0x250), *range(0x400, 0x500), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code))
-                       if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """All code points with a compatibility decomposition: those with one base letter, and the others with their text.
+
+    Hangul syllables stay whole: taken apart, they hold no accents.
+    """
+    src, dst, longer = [], [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x110000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if base == chr(code) or not base:
+            continue
+        if len(base) == 1:
             src.append(chr(code))
             dst.append(base)
-    return "".join(src), "".join(dst)
+        else:
+            longer[chr(code)] = base
+    return "".join(src), "".join(dst), longer
+
+
+_ACCENTED, _PLAIN, _LONGER = _accent_tables()
+_LONGER_CLASS = "[" + "".join(_LONGER) + "]"
 
 
-_ACCENTED, _PLAIN = _accent_table()
+def _spelled_out(s: Column) -> Column:
+    """Ligatures and the like as several letters; only texts that have one are taken apart."""
+    table = F.create_map(*(F.lit(x) for pair in _LONGER.items() for x in pair))
+    return F.when(s.rlike(_LONGER_CLASS), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(table[c], c)), "")).otherwise(s)
 
 
 def accent_free(c: Column | str) -> Column:
-    """Trimmed lower text without accents; covers the Latin and Cyrillic blocks."""
-    s = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
-    s = F.regexp_replace(F.translate(s, _ACCENTED, _PLAIN), r"\p{Mn}", "")
+    """Trimmed lower text without accents; ligatures, full-width and other compatibility forms as plain letters."""
+    s = F.translate(F.lower(strip(F.coalesce(_col(c), F.lit("")))), _ACCENTED, _PLAIN)
+    s = F.regexp_replace(_spelled_out(s), r"\p{Mn}", "")
     return squeeze(F.translate(s, "’`–", "''-"))
 
 

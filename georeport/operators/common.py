@@ -9,20 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it was counted and holds at most this many rows.
-BROADCAST_ROWS = 500_000
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once, so that nested lambdas do not evaluate it again per element."""
     return F.transform(F.array(value), body)[0]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a larger side keeps the shuffled join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables, from ``spark.checkpoint.dir``.
 
@@ -80,16 +72,3 @@ def totals_before(numbers: Column, block: int = 8, levels: int = 3) -> Column:
         return let(chunks, join)
 
     return let(numbers, run)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a small scan arrives in fewer partitions than there are cores.
-
-    A plan that shuffles is left alone: its partitions are already set, and asking for their
-    number would run it.
-    """
-    query = df._jdf.queryExecution()
-    if "Exchange" in query.executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if query.toRdd().getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from georeport.functions.geo import lookup_km
 from georeport.functions.keys import location_key, plain_key
-from georeport.operators.common import broadcast_if_small, written
+from georeport.operators.common import written
 from georeport.operators.lookup import entity_index, expand_groups, locale_index, resolve_entities
 from georeport.operators.spatial import polygon_reach
 from georeport.params import Params
@@ -80,7 +80,7 @@ def narrow_candidates(mentions: DataFrame, contexts: DataFrame, locales: DataFra
              .withColumn("_gk", F.when(F.col("grp") != "", location_key("grp"))))
 
     def known(*keys: str) -> DataFrame:
-        return broadcast_if_small(index.select("key", *keys).dropna().distinct().withColumn("_has" + "".join(keys), F.lit(True)))
+        return index.select("key", *keys).dropna().distinct().withColumn("_has" + "".join(keys), F.lit(True))
 
     asked = (mentions.select(*MENTION, "text").join(contexts.select(
                 "event_id", "in_region", "in_group", "prox_lat", "prox_lon"), "event_id", "left")
@@ -97,7 +97,7 @@ def narrow_candidates(mentions: DataFrame, contexts: DataFrame, locales: DataFra
     asked = asked.select(*MENTION, "key", "in_region", "in_group", "prox_lat", "prox_lon",
                          F.when(by_region, F.col("_rk")).alias("_rw"), F.when(by_group, F.col("_gk")).alias("_gw"),
                          region_given.alias("_rg"), group_given.alias("_gg"))
-    rows = asked.join(broadcast_if_small(index), "key").filter(
+    rows = asked.join(index, "key").filter(
         (F.col("_rw").isNull() | (F.col("_rk") == F.col("_rw"))) & (F.col("_gw").isNull() | (F.col("_gk") == F.col("_gw"))))
     rows = unique_places(rows)
 
@@ -162,8 +162,8 @@ def constrain_region(candidates: DataFrame, regions: DataFrame, text: str = "reg
 
     Rows whose context text is null or unknown pass unscored.
     """
-    entries = broadcast_if_small(_entries(regions, plain_key("name").alias("own"),
-                                          F.transform("neighbors", plain_key).alias("near")))
+    entries = _entries(regions, plain_key("name").alias("own"),
+                                          F.transform("neighbors", plain_key).alias("near"))
     rows = (candidates.withColumn("_plain", plain_key(text)).join(entries, "_plain", "left")
             .withColumn("_region", plain_key("region")))
     same = F.col("_region") == F.col("_entry.own")
@@ -184,10 +184,10 @@ def constrain_group(candidates: DataFrame, groups: DataFrame, areas: DataFrame,
     ``areas``: name, poly_no, polygons. Rows whose group is null, unknown or without an
     area pass unscored.
     """
-    entries = broadcast_if_small(_entries(groups, plain_key("name").alias("grp_key")))
+    entries = _entries(groups, plain_key("name").alias("grp_key"))
     shapes = areas.select(plain_key("name").alias("grp_key"), "poly_no", "polygons")
-    mapped = broadcast_if_small(shapes.select("grp_key").distinct().withColumn("_area", F.lit(True)))
-    reach = broadcast_if_small(expand_groups(groups).select("grp_key", F.col("region_key").alias("_region"), F.lit(True).alias("_near")))
+    mapped = shapes.select("grp_key").distinct().withColumn("_area", F.lit(True))
+    reach = expand_groups(groups).select("grp_key", F.col("region_key").alias("_region"), F.lit(True).alias("_near"))
     rows = (candidates.withColumn("_plain", plain_key(text)).join(entries, "_plain", "left")
             .withColumn("grp_key", F.col("_entry.grp_key")).drop("_plain", "_entry")
             .withColumn("_region", plain_key("region"))

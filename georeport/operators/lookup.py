@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from georeport.functions.geo import lookup_km
 from georeport.functions.keys import location_key, plain_key
-from georeport.operators.common import broadcast_if_small
 from georeport.operators.spatial import nearest
 
 
@@ -58,7 +57,7 @@ def resolve_entities(texts: DataFrame, index: DataFrame, kind: str,
     The index is unique per key, so each try is a left join without fan-out; with a
     small index nothing is shuffled.
     """
-    index = broadcast_if_small(index.select("key", "entity"))
+    index = index.select("key", "entity")
     found, hits = texts, []
     for no, key in enumerate(_tries(kind, location_key(text))):
         found = found.withColumn(f"_k{no}", key).join(

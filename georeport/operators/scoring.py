@@ -1,21 +1,19 @@
 """Direction axis, unary and pairwise scores, and the joint choice of places per event.
 
-Most events have one mention and need only a minimum. The others run the beam one event per
-group, with array arithmetic inside the task: one shuffle by event, and pairs of candidates
-exist only there. Events with more candidates than ``Params.fold_limit`` take the
-row-parallel form of the same search, which spreads the candidates of one event over tasks.
+The beam runs in tasks that hold their events in order: one shuffle by event, array arithmetic over
+many events per call, and pairs of candidates exist only there. A second form of the same search keeps
+partial assignments as rows and spreads the candidates of one event over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from georeport.functions.geo import RADIUS_KM, haversine_km, unit_lat, unit_lon
@@ -144,61 +142,91 @@ def _ordered(candidates: DataFrame) -> DataFrame:
     return with_angles(candidates).withColumn("_prox", prox)
 
 
-def _single(candidates: DataFrame) -> DataFrame:
-    """Events with one mention: the best candidate, combined before the shuffle."""
-    item, _ = _pick(candidates)
-    best = candidates.groupBy("event_id").agg(F.min(F.struct(
-        _rank_score(F.col("unary")).alias("r"), "_prox", "row_no", "unary", item.alias("c"))).alias("b"))
-    return best.select("event_id", F.col("b.unary").alias("score"), F.array("b.c").alias("picks"))
+class _Rows:
+    """Candidate rows as arrays, for pair scores of many index pairs at once."""
 
+    def __init__(self, table: pa.Table, s: Scoring):
+        self.s = s
+        self.lat, self.lon, self.cos, self.unary = (table[c].to_numpy() for c in ("rlat", "rlon", "clat", "unary"))
+        self.names = [(self._codes(table[c]), same, differ) for c, same, differ in (
+            ("region", s.region_same, s.region_differ), ("grp", s.group_same, s.group_differ))]
 
-def _beam(rows: pd.DataFrame, width: int, s: Scoring) -> pd.DataFrame:
-    """Beam over the mentions of one event; returns its chosen rows in the order of choice."""
-    rows = rows.sort_values(["open", "loc_no", "_prox", "row_no"], kind="stable").reset_index(drop=True)
-    lat, lon, cos, unary = (rows[c].to_numpy() for c in ("rlat", "rlon", "clat", "unary"))
-    names = [(pd.factorize(rows[c])[0], same, differ) for c, same, differ in (
-        ("region", s.region_same, s.region_differ), ("grp", s.group_same, s.group_differ))]
+    @staticmethod
+    def _codes(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
-    def pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        north, east = np.sin((lat[p] - lat[q]) / 2), np.sin((lon[p] - lon[q]) / 2)
-        d = 2 * RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(north * north + cos[p] * cos[q] * east * east)))
+    def pairs(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        s = self.s
+        north, east = np.sin((self.lat[p] - self.lat[q]) / 2), np.sin((self.lon[p] - self.lon[q]) / 2)
+        d = 2 * RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(north * north + self.cos[p] * self.cos[q] * east * east)))
         near = np.where(d <= s.close_km, 1.0, np.where(
             d <= s.far_km, (s.far_km - d) / (s.far_km - s.close_km), np.maximum((s.far_km - d) / s.far_km, -1.0)))
         total = s.compactness_weight * near
-        for codes, same, differ in names:
+        for codes, same, differ in self.names:
             a, b = codes[p], codes[q]
             total = total + np.where((a < 0) | (b < 0), 0.0, np.where(a == b, same, -differ))
         return total
 
-    score, picks = np.zeros(1), np.zeros((1, 0), dtype=int)
-    for _, cands in rows.groupby(["open", "loc_no"], sort=True).indices.items():
-        grown = score[:, None] + unary[cands][None, :]
-        for k in range(picks.shape[1]):
-            grown = grown + pairs(picks[:, k][:, None], cands[None, :])
-        flat = grown.ravel()
-        # A stable sort keeps the earlier assignment, then the earlier candidate, on ties.
-        best = np.argsort(-np.round(flat, 9), kind="stable")[:width]
-        picks = np.hstack([picks[best // len(cands)], cands[best % len(cands)][:, None]])
-        score = flat[best]
-    out = rows.iloc[picks[0]].assign(score=score[0], pos=np.arange(picks.shape[1]))
-    return out.drop(columns=["open", "_prox"])
-
-
-def _grouped_beam(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
-    """Events with several mentions: one event per call, all arithmetic on arrays.
-
-    Only events up to ``Params.fold_limit`` candidates come here, so a group is bounded.
-    """
+    def beam(self, mentions: list[np.ndarray], width: int, step: int = 64) -> tuple[np.ndarray, float]:
+        """Rows chosen for the mentions of one event, in turn, and their score."""
+        score, picks = np.zeros(1), np.zeros((1, 0), dtype=np.int64)
+        for cands in mentions:
+            grown = score[:, None] + self.unary[cands][None, :]
+            for k in range(0, picks.shape[1], step):
+                grown = grown + self.pairs(picks[:, k:k + step, None], cands[None, None, :]).sum(1)
+            flat = grown.ravel()
+            # A stable sort keeps the earlier assignment, then the earlier candidate, on ties.
+            best = np.argsort(-np.round(flat, 9), kind="stable")[:width]
+            picks = np.hstack([picks[best // len(cands)], cands[best % len(cands)][:, None]])
+            score = flat[best]
+        return picks[0], float(score[0])
+
+
+def _choose(table: pa.Table, width: int, s: Scoring) -> pa.RecordBatch:
+    """The best assignment of each event of a table in order of event, mention and candidate."""
+    table = table.combine_chunks()
+    rows, loc = _Rows(table, s), table["loc_no"].to_numpy()
+    ids = table["event_id"]
+    new_event = np.concatenate([[True], pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy()])
+    new_mention = new_event | np.concatenate([[True], loc[1:] != loc[:-1]])
+    events = np.append(np.flatnonzero(new_event), len(loc))
+    mentions = np.append(np.flatnonzero(new_mention), len(loc))
+    first = np.searchsorted(mentions, events)
+    picks, scores = [], []
+    for a, b in zip(first[:-1], first[1:]):
+        each = [np.arange(mentions[m], mentions[m + 1]) for m in range(a, b)]
+        # Mentions with one candidate are fixed first.
+        got, score = rows.beam([m for m in each if len(m) == 1] + [m for m in each if len(m) > 1], width)
+        picks.append(got)
+        scores.append(score)
+    flat, ends = pa.array(np.concatenate(picks)), np.concatenate([[0], np.cumsum([len(x) for x in picks])])
+    items = pa.StructArray.from_arrays([table[c].take(flat).combine_chunks() for c in _PICK], list(_PICK))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(events[:-1])).combine_chunks(), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+                                      ["event_id", "score", "picks"])
+
+
+def _batched_beam(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
+    """One shuffle by event; each task then runs over its rows in order, many events per call. An event is held whole, bounded by its sentence."""
     # The rows are few but costly, so their bytes must not decide the number of tasks.
     spark = candidates.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    rows = candidates.select("event_id", "open", "_prox", *_PICK).repartition(tasks, "event_id")
-    fields = [f for f in rows.schema if f.name not in ("open", "_prox")]
-    kind = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("pos", T.LongType())])
-    chosen = rows.groupBy("event_id").applyInPandas(lambda pdf: _beam(pdf, width, s)[[f.name for f in kind]], kind)
-    item = F.struct("pos", F.struct(*_PICK).alias("c"))
-    return chosen.groupBy("event_id").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(item)).alias("l")).select(
-        "event_id", "score", F.transform("l", lambda x: x["c"]).alias("picks"))
+    rows = (candidates.select("event_id", "_prox", *_PICK).repartition(tasks, "event_id").sortWithinPartitions("event_id", "loc_no", "_prox", "row_no")
+            .select("event_id", *_PICK))
+    _, kind = _pick(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch["event_id"]
+            last = pc.index(ids, ids[-1]).as_py()  # where the last event of the batch begins
+            if last > 0 or (held and held[0]["event_id"][0] != ids[0]):
+                yield _choose(pa.Table.from_batches([*held, batch.slice(0, last)]), width, s)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield _choose(pa.Table.from_batches(held), width, s)
+
+    return rows.mapInArrow(run, f"event_id {dict(candidates.dtypes)['event_id']}, score double, picks array<{kind}>")
 
 
 def _spread_beam(candidates: DataFrame, width: int, s: Scoring, every: int = 4) -> DataFrame:
@@ -234,19 +262,12 @@ def choose_places(candidates: DataFrame, params: Params = Params()) -> DataFrame
     ``candidates``: event_id, loc_no, row_no, cid, lat, lon, region, grp, qid, unary and
     optionally prox_km. Mentions with one candidate are fixed first, the others follow in order.
     """
-    rows = written(_ordered(candidates), "candidates")
-    per_mention = rows.groupBy("event_id", "loc_no").agg(F.count("*").alias("_n"))
-    sizes = per_mention.groupBy("event_id").agg(F.sum("_n").alias("_size"), F.count("*").alias("_mentions"))
-    sized = rows.join(sizes, "event_id")
-    alone, held = F.col("_mentions") == 1, F.col("_size") <= params.fold_limit
-    parts = [_single(sized.filter(alone).drop("_size", "_mentions"))]
-    several = rows.join(per_mention.withColumn("open", F.col("_n") > 1).drop("_n"), ["event_id", "loc_no"]).join(
-        sizes.filter(~alone & held).select("event_id"), "event_id", "left_semi")
-    parts.append(_grouped_beam(several, params.beam_width, params.scoring))
-    if not sizes.filter(~alone & ~held).isEmpty():
-        large = sized.filter(~alone & ~held).drop("_size", "_mentions")
-        parts.append(_spread_beam(large, params.beam_width, params.scoring))
-    return reduce(DataFrame.unionByName, parts)
+    return _batched_beam(_ordered(candidates), params.beam_width, params.scoring)
+
+
+def choose_places_by_rows(candidates: DataFrame, params: Params = Params()) -> DataFrame:
+    """The same with the partial assignments as rows: for events that no task can hold."""
+    return _spread_beam(written(_ordered(candidates), "candidates"), params.beam_width, params.scoring)
 
 
 # ---------------------------------------------------------------- diagnostics

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from georeport.functions.keys import strip
+from georeport.functions.keys import WS, strip
 from georeport.functions.labels import action_kind, action_label, action_text
 from georeport.operators.common import let
 from georeport.operators.tagging import CONTEXT_LABELS, sentences
 from georeport.params import Params
 
-HEADING = (r"^[ \t\x0B\f\r]*(?:[-•*]|#+|\*)[ \t\x0B\f\r]*"
-           r"[A-ZА-ЯЁІЇЄҐ][^:]{2,}:?\z")
+# Fixed value: a bullet or hash marks, then a capital letter.
+HEADING = rf"^[{WS}]*(?:[-•*]|#+|\*)[{WS}]*[A-ZА-ЯЁІЇЄҐ][^:]{{2,}}:?\z"
 BOUNDARY_LABELS = ("DIRECTION", "GROUP", "REGION")
 
 
@@ -163,7 +163,7 @@ def analyse(gathered: DataFrame, params: Params = Params()) -> DataFrame:
     sections = let(section_array(text, spans, params), lambda secs: F.transform(secs, lambda s: F.struct(
         s["section_id"].alias("section_id"), s["text"].alias("text"), s["cs"].alias("cs"), s["ce"].alias("ce"),
         section_contexts(s, spans, params).alias("contexts"))))
-    events = let(F.struct(sentences(text).alias("t"), sections.alias("s")), lambda b: F.struct(
+    events = let(F.struct(sentences(text, params.abbreviations).alias("t"), sections.alias("s")), lambda b: F.struct(
         b["s"].alias("sections"), F.transform(hits, lambda h, i: event(b["t"], b["s"], h, i)).alias("events")))
     return gathered.select("post_id", "text", post_contexts(spans, params).alias("contexts"), events.alias("b")).select(
         "post_id", "text", "contexts", "b.sections", "b.events")

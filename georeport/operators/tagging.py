@@ -1,6 +1,6 @@
 """Dictionary tagging: gazetteer names, phrase shapes and triggers in post texts.
 
-A text is cut in words once, inside its row. Word runs of the lengths that occur in the
+A text is cut in words once, inside its row. Word runs up to the longest length of the
 dictionary become keys, are exploded, and meet the dictionary in one hash join.
 With a dictionary small enough to broadcast, posts are not shuffled for this.
 """
@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from georeport.functions.keys import location_key, phrase_key, strip
-from georeport.operators.common import broadcast_if_small, let, spread, totals_before
+from georeport.operators.common import let, totals_before, written
+from georeport.params import ABBREVIATIONS
 
 WORD = r"[\p{L}\p{N}'’ʼ]+"
+# A sentence ends at one of these marks before white space, or with its line.
+SENTENCE_MARK, SENTENCE_GAP = r"[.!?…][\"»”)\]]*", r"[\s\u00A0]"
 # Order in which labels win when two spans cover the same words.
 LABELS = ("LOCALE", "REGION", "GROUP", "DIRECTION", "PROXIMITY")
 CONTEXT_LABELS = ("REGION", "DIRECTION", "PROXIMITY", "GROUP")
 
 
-def word_table(text: Column) -> Column:
+def word_table(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """Array of words: text ``w``, gap before ``g``, char range ``cs``-``ce``, token number
     ``ts`` (other visible characters count as tokens), line ``ln`` and sentence ``sn``."""
     def pack(high: Column, low: Column) -> Column:
@@ -33,8 +36,12 @@ def word_table(text: Column) -> Column:
             F.length(g) + F.length(w),
             F.when(g == " ", F.lit(1)).otherwise(F.length(F.regexp_replace(g, r"\s+", "")) + 1)))
         # What precedes the first word does not start a second sentence.
+        def ends(g: Column, i: Column) -> Column:
+            short = F.lower(ws[F.greatest(i - 1, F.lit(0))]).isin(*abbreviations) & g.rlike(r"^\.(?:[^\S\n]|\u00A0)*$")
+            return (i > 0) & (g.contains("\n") | (g.rlike(SENTENCE_MARK + SENTENCE_GAP) & ~short))
+
         breaks = F.transform(gaps, lambda g, i: F.when(g == " ", F.lit(0).cast("long")).otherwise(pack(
-            F.length(g) - F.length(F.translate(g, "\n", "")), ((i > 0) & g.rlike(r"[.!?\n]")).cast("int"))))
+            F.length(g) - F.length(F.translate(g, "\n", "")), ends(g, i).cast("int"))))
         return F.struct(ws.alias("w"), gaps.alias("g"), chars.alias("x"), breaks.alias("y"))
 
     def word(v: Column, w: Column, i: Column) -> Column:
@@ -140,8 +147,14 @@ def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, direct
     return out.groupBy("space", "key", "label").agg(F.max("words").alias("words"))
 
 
-def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence) -> DataFrame:
-    """All dictionary hits in posts (``post_id``, ``text``), overlapping ones included."""
+def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbreviations: Sequence[str] = ABBREVIATIONS,
+                partitions: int | None = None) -> DataFrame:
+    """All dictionary hits in posts (``post_id``, ``text``), overlapping ones included.
+
+    The patterns are written first, so Spark knows their size and sends them around only if they are
+    small. ``partitions`` deals posts out anew, for inputs that arrive in few pieces.
+    """
+    patterns = written(patterns.select("space", "key", "label", "words"), "patterns")
     lengths = {r["space"]: r["n"] for r in
                patterns.groupBy("space").agg(F.max("words").alias("n")).collect()}
     names = range(1, lengths.get("NAME", 0) + 1)
@@ -156,8 +169,9 @@ def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence) -> D
             parts.append(_trigger_grams(ws, range(1, lengths["TRIGGER"] + 1)))
         return F.concat(*parts)
 
-    found = spread(posts).select("post_id", F.explode(let(word_table(F.col("text")), grams)).alias("g")).select("post_id", "g.*")
-    return found.join(broadcast_if_small(patterns.select("space", "key", "label")), ["space", "key"])
+    dealt = posts.repartition(partitions) if partitions else posts
+    found = dealt.select("post_id", F.explode(let(word_table(F.col("text"), abbreviations), grams)).alias("g")).select("post_id", "g.*")
+    return found.join(patterns.select("space", "key", "label"), ["space", "key"])
 
 
 def choose_spans(hits: DataFrame) -> DataFrame:
@@ -187,10 +201,10 @@ def choose_spans(hits: DataFrame) -> DataFrame:
             .select("post_id", "s.*"))
 
 
-def tag_spans(posts: DataFrame, patterns: DataFrame, templates: Sequence) -> DataFrame:
+def tag_spans(posts: DataFrame, patterns: DataFrame, templates: Sequence, partitions: int | None = None) -> DataFrame:
     """Labelled spans of posts."""
     places = patterns.filter("space <> 'TRIGGER'")
-    return choose_spans(match_words(posts, places, templates))
+    return choose_spans(match_words(posts, places, templates, partitions=partitions))
 
 
 def trigger_hits(hits: DataFrame) -> DataFrame:
@@ -200,7 +214,11 @@ def trigger_hits(hits: DataFrame) -> DataFrame:
             .select("post_id", "sn", "label", "trigger", "s.*"))
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """Sentences that hold a word, in the numbering of ``sn``."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+"), F.lit(0))
-    return F.transform(F.filter(parts, lambda s: s.rlike(WORD)), strip)
+    one = WORD.removesuffix("+")
+    # The dot of an abbreviation is veiled while the text is cut.
+    veiled = F.regexp_replace(text, rf"(?<!{one})((?iu:{'|'.join(abbreviations)}))\.(?=(?:[^\S\n]|\u00A0)*{one})", "$1\uE000")
+    cut = F.regexp_replace(veiled, f"({SENTENCE_MARK}){SENTENCE_GAP}", "$1\n")
+    parts = F.filter(F.split(cut, "\n", -1), lambda s: s.rlike(WORD))
+    return F.transform(parts, lambda s: F.translate(strip(s), "\uE000", "."))

@@ -32,6 +32,10 @@ DIRECTION_TEMPLATES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] =
 )
 
 
+# Short forms whose dot does not end a sentence, in lower case.
+ABBREVIATIONS = ("gen", "col", "lt", "maj", "capt", "sgt", "dr", "mr", "mrs", "st", "ген", "обл")
+
+
 @dataclass(frozen=True)
 class Params:
     scoring: Scoring = field(default_factory=Scoring)
@@ -45,6 +49,4 @@ class Params:
     post_context_tokens: int = 12
     section_context_chars: int = 40
     templates: tuple = DIRECTION_TEMPLATES
-    # An event with more candidates than this is resolved by the row-parallel search
-    # instead of inside one group.
-    fold_limit: int = 50_000
+    abbreviations: tuple[str, ...] = ABBREVIATIONS

@@ -26,7 +26,7 @@ def event_contexts(events: DataFrame, contexts: DataFrame, gaz: Gazetteer) -> Da
     resolved = context.resolve_contexts(contexts, gaz.regions, gaz.groups, gaz.directions)
     merged = context.inherit_contexts(events, resolved)
     anchors = (gaz.directions.groupBy("name").agg(F.max_by("anchor_cid", "row_no").alias("cid"))
-               .join(gaz.locales.select("cid", "lat", "lon").dropDuplicates(["cid"]), "cid").drop("cid"))
+               .join(gaz.locales.groupBy("cid").agg(F.max_by("lat", "row_no").alias("lat"), F.max_by("lon", "row_no").alias("lon")), "cid").drop("cid"))
     for kind, lat, lon in (("direction", "dir_lat", "dir_lon"), ("proximity", "prox_lat", "prox_lon")):
         merged = merged.join(anchors.select(F.col("name").alias(f"ctx_{kind}"), F.col("lat").alias(lat), F.col("lon").alias(lon)),
                              f"ctx_{kind}", "left")

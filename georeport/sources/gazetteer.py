@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from georeport.functions.keys import pack_list, split_list, strip
+from georeport.sources.order import in_file_order
 
 # Fixed value: column order of the places file.
 PLACE_COLUMNS = ("name", "aliases", "place", "wikidata", "region", "ru_group", "usage", "lon", "lat", "cid")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.csv(path, header=True, multiLine=False, escape='"')
-            .withColumn("row_no", F.monotonically_increasing_id()))
+    return in_file_order(spark.read.csv(path, header=True, multiLine=False, escape='"'), "row_no")
 
 
 def _col(df: DataFrame, *names: str, default: str | None = None) -> Column:
@@ -64,7 +64,9 @@ def read_directions(spark: SparkSession, path: str, locales: DataFrame) -> DataF
 
 
 def attach_anchor(directions: DataFrame, locales: DataFrame) -> DataFrame:
-    places = locales.select(F.col("cid").alias("anchor_cid"), F.struct("name", "lat", "lon").alias("anchor")).dropDuplicates(["anchor_cid"])
+    places = locales.select(F.col("cid").alias("anchor_cid"), F.struct("name", "lat", "lon").alias("anchor"),
+                            (F.col("row_no") if "row_no" in locales.columns else F.lit(0)).alias("row_no"))
+    places = places.groupBy("anchor_cid").agg(F.max_by("anchor", F.struct("row_no", "anchor")).alias("anchor"))
     problem = F.concat(F.lit("direction anchor is no known place: "), F.coalesce(F.col("anchor_cid").cast("string"), F.lit("none")))
     return (directions.join(places, "anchor_cid", "left")
             .withColumn("anchor", F.when(F.col("anchor").isNull(), F.raise_error(problem)).otherwise(F.col("anchor"))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from georeport.functions.keys import is_latin, split_list, strip
+from georeport.sources.order import in_file_order
 
 _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
@@ -18,7 +19,7 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     """Features in file order: ``feature_no``, ``properties``, ``type``, ``coordinates`` (JSON text)."""
     if lines:
         rows = spark.read.schema(_FEATURE[7:-1].replace("properties:", "properties ").replace(",geometry:", ", geometry ")).json(path)
-        return rows.select(F.monotonically_increasing_id().alias("feature_no"), "properties", "geometry.type", "geometry.coordinates")
+        return in_file_order(rows, "feature_no").select("feature_no", "properties", "geometry.type", "geometry.coordinates")
     rows = spark.read.schema(f"features array<{_FEATURE}>").json(path, multiLine=True)
     return rows.select(F.posexplode("features").alias("feature_no", "f")).select(
         "feature_no", "f.properties", "f.geometry.type", "f.geometry.coordinates")

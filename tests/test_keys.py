@@ -60,3 +60,16 @@ def test_snippet_and_action(spark):
     assert one(spark, labels.action_kind, " Shelled ") == "shelling"
     assert one(spark, labels.action_label, "took") == "capture"
     assert one(spark, labels.action_kind, "") is None
+
+
+def test_accents_of_all_scripts(spark):
+    import unicodedata
+    texts = ["Ĥéllo", "ﬁne ﬂag", "ＡＢＣ１２", "Άθήνα", "ǆep", "Ǆ", "ĳ", "½ x", "ёй Ї", "ﷺ", "한국", "a\u0301b", "x²", "№ 5", "ß", "Ａ’ｂ–c", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keys.accent_free("t").alias("k")).collect()
+    for r in rows:
+        if r["t"] != "한국":
+            base = "".join(c for c in unicodedata.normalize("NFKD", r["t"].strip().lower()) if not unicodedata.combining(c))
+            for a, b in (("’", "'"), ("`", "'"), ("–", "-")):
+                base = base.replace(a, b)
+            assert r["k"] == " ".join(base.split()), r["t"]
+    assert rows[10]["k"] == "한국"

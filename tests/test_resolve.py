@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from georeport.operators import context, scoring
-from georeport.params import Params
 
 CAND = "event_id string, loc_no int, row_no long, cid long, lat double, lon double, region string, grp string, qid string, unary double"
 
@@ -40,10 +39,10 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_beam_is_exhaustive_when_it_can_be(spark, limit):
+@pytest.mark.parametrize("choose", [scoring.choose_places, scoring.choose_places_by_rows])
+def test_beam_is_exhaustive_when_it_can_be(spark, choose):
     rows = _rows()
-    chosen = scoring.choose_places(spark.createDataFrame(rows, CAND), Params(fold_limit=limit)).collect()
+    chosen = choose(spark.createDataFrame(rows, CAND)).collect()
     got = {r["event_id"]: (r["score"], {p["loc_no"]: p["cid"] for p in r["picks"]}) for r in chosen}
     for e in {r[0] for r in rows}:
         locs = [list(g) for _, g in itertools.groupby(sorted((r for r in rows if r[0] == e), key=lambda r: r[1]), key=lambda r: r[1])]
@@ -53,10 +52,10 @@ def test_beam_is_exhaustive_when_it_can_be(spark, limit):
         assert got[e][1] == {x[1]: x[3] for x in best}
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_ties_go_to_the_earlier_candidate(spark, limit):
+@pytest.mark.parametrize("choose", [scoring.choose_places, scoring.choose_places_by_rows])
+def test_ties_go_to_the_earlier_candidate(spark, choose):
     rows = [("e", loc, 10 * loc + c, 10 * loc + c, 48.0, 31.0, None, None, "Q1", 0.0) for loc in (0, 1) for c in (2, 1, 0)]
-    chosen = scoring.choose_places(spark.createDataFrame(rows, CAND), Params(fold_limit=limit))
+    chosen = choose(spark.createDataFrame(rows, CAND))
     assert [p["cid"] for p in chosen.first()["picks"]] == [0, 10]
     d = scoring.diagnostics(chosen).first()
     assert d["duplicate_qids"][0]["loc_nos"] == [0, 1] and d["bbox_km"] == 0.0 and d["structural_outliers"] == []
@@ -86,3 +85,16 @@ def test_last_resolved_context_wins(spark):
         ("p", "section", "S1", None, 0, "region", "B"), ("p", "section", "S1", None, 1, "region", None), ("p", "event", None, "p:1", 0, "group", None)], kind)
     got = {r["event_id"]: (r["ctx_region"], r["ctx_group"]) for r in context.inherit_contexts(events, ctx).collect()}
     assert got == {"p:0": (None, "G"), "p:1": ("B", "G")}
+
+
+def test_event_with_many_mentions_and_small_batches(spark):
+    rows = [("big", loc, 10 * loc + c, 10 * loc + c, 48.0 + c, 31.0, None, None, None, float(c == loc % 2)) for loc in range(2000) for c in range(2 if loc < 3 else 1)]
+    rows += [(f"s{e}", 0, e, e, 48.0, 31.0, None, None, None, 0.5) for e in range(50)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["event_id"]: r["picks"] for r in scoring.choose_places(spark.createDataFrame(rows, CAND)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 51 and sorted(p["loc_no"] for p in got["big"]) == list(range(2000))
+    assert all(len(got[f"s{e}"]) == 1 and got[f"s{e}"][0]["cid"] == e for e in range(50))

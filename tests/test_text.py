@@ -67,3 +67,42 @@ def test_long_sections_are_cut_at_blank_lines(spark):
         "spans", F.expr("cast(array() as array<struct<ts:int,te:int,cs:int,ce:int,ln:int,label:string,surface:string,key:string>>)"))
     got = {r["post_id"]: [s["section_id"] for s in r["s"]] for r in rows.select("post_id", structure.section_array(F.col("text"), F.col("spans")).alias("s")).collect()}
     assert got == {1: ["S0.0", "S0.1"], 2: ["S0"]}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Forces struck a depot 3.5 km from Lyman today.", ["Forces struck a depot 3.5 km from Lyman today."]),
+    ("It began at 11:30. Next day calm.", ["It began at 11:30.", "Next day calm."]),
+    ("Gen. Smith and Col. Gen. Jones met. Fine", ["Gen. Smith and Col. Gen. Jones met.", "Fine"]),
+    ("He said \"go.\" They went… Then left!\n- Last", ["He said \"go.\"", "They went…", "Then left!", "- Last"]),
+    ("... \n", []), ("First.\u00a0Second", ["First.", "Second"]), ("v1.2.3 is out", ["v1.2.3 is out"]),
+])
+def test_sentences(spark, text, want):
+    row = spark.createDataFrame([(text,)], "t string").select(tagging.sentences(F.col("t")).alias("s"), tagging.word_table(F.col("t")).alias("w")).first()
+    assert row["s"] == want
+    # Words are numbered as the sentences are.
+    assert sorted({w["sn"] for w in row["w"]}) == list(range(len(want)))
+    for w in row["w"]:
+        assert w["w"] in want[w["sn"]]
+
+
+def test_heading_after_a_no_break_space(spark):
+    from georeport.operators.structure import HEADING
+    row = spark.createDataFrame([("-\u00a0Heading here",), ("- lower",), ("*Ab",)], "t string").select(F.col("t").rlike(HEADING)).collect()
+    assert [r[0] for r in row] == [True, False, False]
+
+
+def test_posts_of_two_channels_stay_apart(spark, patterns):
+    from georeport.plans.report import keyed_posts, report
+    from georeport.plans.resolve import Gazetteer
+    rows = [("s", "a", 7, "Troops attack Kale"), ("s", "b", 7, "Troops attack Lyman. Then attack Kale")]
+    posts = spark.createDataFrame(rows, "source string, channel string, post_id long, text string")
+    kind = "row_no long, cid long, name string, aliases array<string>, lat double, lon double, region string, grp string, qid string, place string, usage int, source string"
+    locales = spark.createDataFrame([(i, i, n, [], 48.0 + i, 31.0, "r", "g", None, None, 0, "base") for i, n in enumerate(["Kale", "Lyman"])], kind)
+    none = spark.createDataFrame([], "row_no long, name string, aliases array<string>, qid string, anchor_cid long, regions array<string>, neighbors array<string>, group_id int")
+    segments = spark.createDataFrame([(0, 0, 30.0, 47.0), (0, 1, 32.0, 49.0)], "line_no int, pt_no int, lon double, lat double")
+    from georeport.operators.spatial import line_segments
+    got = report(posts, patterns, Gazetteer(locales, none, none, none), line_segments(segments))
+    found = sorted((r["post_id"], r["event_id"], r["final_name"]) for r in got.mentions.collect())
+    assert found == [("s/a/7", "s/a/7:0", "Kale"), ("s/b/7", "s/b/7:0", "Lyman"), ("s/b/7", "s/b/7:1", "Kale")]
+    with pytest.raises(ValueError, match="more than once"):
+        keyed_posts(posts.union(posts))
