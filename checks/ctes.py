@@ -67,7 +67,7 @@ CTES: dict[str, str] = {
         c.w || ' oblast' AS region, d.w AS grp, CASE WHEN k % 11 <> 0 THEN 'Q' || (k % 997) END AS qid
         FROM fx_base JOIN fx_vocab a ON a.r = 61 + k % 400 JOIN fx_vocab b ON b.r = 61 + (k * 7 + 3) % 400
         JOIN fx_vocab c ON c.r = 31 + nk JOIN fx_vocab d ON d.r = 56 + rk""",
-    "fx_directions": "SELECT row_no, name, cid AS anchor_cid, aliases FROM fx_locales",
+    "fx_directions": "SELECT row_no, name, cid AS anchor_cid, aliases FROM fx_locales QUALIFY row_number() OVER (PARTITION BY name ORDER BY row_no DESC) = 1",
     "fx_index": f"SELECT {lockey('a')} AS key, * EXCLUDE (a) FROM (SELECT unnest(list_append(aliases, name)) AS a, * FROM fx_locales)",
     "fx_region_index": f"""SELECT key, arg_max(name, row_no) AS entity FROM (SELECT {lockey('a')} AS key, name, row_no FROM
         (SELECT unnest(list_append(aliases, name)) AS a, name, row_no FROM fx_regions)) GROUP BY key""",

@@ -148,8 +148,8 @@ class Fixtures:
 
     @property
     def directions(self) -> DataFrame:
-        return self.locales.select(
-            "row_no", "name", F.col("cid").alias("anchor_cid"), "aliases")
+        last = self.locales.groupBy("name").agg(F.max_by(F.struct("row_no", "cid", "aliases"), "row_no").alias("s"))
+        return last.select("s.row_no", "name", F.col("s.cid").alias("anchor_cid"), "s.aliases")
 
     @cached_property
     def patterns(self) -> DataFrame:
