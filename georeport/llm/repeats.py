@@ -158,13 +158,14 @@ def _place() -> Column:
 
 def level(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, open): windows with another place, and the first of each class that has to be cut finer."""
-    repeated = items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Counts are written first: a join of tables is dealt by itself, so adaptive execution can split a frequent core.
+    repeated = written(items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeated")
     busy = written(items.join(repeated, "core"), "busy")
     each = written(busy.groupBy("core", "whole1", "whole2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "classes")
     members = busy.join(each.where("n > 1").select("core", "whole1", "whole2", "first"), ["core", "whole1", "whole2"])
     is_first = _place() == F.col("first")
     found = members.select("doc", "twin", "lo", "hi", *(F.when(~is_first, F.col(f"first.{c}")).alias(f"from_{c}") for c in ("doc", "twin", "lo")))
-    several = each.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    several = written(each.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "several")
     return found, each.join(several, "core").select("first.*")
 
 
