@@ -16,9 +16,12 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ class Settings:
     capacity: int = 4096
     end_token: int = 1
     group_rows: int = 10_000
-    known_words: int = 200_000
+    known_words: int = 600_000
 
 
 class WordEncoder:
@@ -46,29 +49,39 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = defaultdict()
+        self.numbers: dict[str, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one entry more than texts)."""
         if len(self.numbers) > self.bound:
             self._forget()
-        number, before = self.numbers.__getitem__, len(self.numbers)
-        lists = [list(map(number, t.encode().split())) if t else [] for t in texts]
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        flat = lists.flatten()
+        filled = pc.greater(pc.binary_length(flat), 0)
+        upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+        first = upto[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)]
+        coded = flat.filter(filled).dictionary_encode()
+        before = len(self.numbers)
+        known = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if len(self.numbers) > before:
-            new = [w.decode() for w in list(self.numbers)[before:]]
-            ids = [e.ids for e in self.encode(new, add_special_tokens=False)]
+            ids = [e.ids for e in self.encode(list(islice(self.numbers, before, None)), add_special_tokens=False)]
             ends = self.ends[-1] + np.cumsum([len(x) for x in ids])
             while len(self.ids) < ends[-1]:
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[self.ends[-1]:ends[-1]] = [i for x in ids for i in x]
+            self.ids[self.ends[-1]:ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - self.ends[-1])
             self.ends = np.concatenate([self.ends, ends])
-        words = np.fromiter((w for x in lists for w in x), np.int64)
+        words = known[coded.indices.to_numpy()]
         n = self.ends[words + 1] - self.ends[words]
         upto = np.concatenate([[0], np.cumsum(n)])
-        flat = self.ids[np.repeat(self.ends[words] - upto[:-1], n) + np.arange(upto[-1])]
-        return flat, upto[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+        return self.ids[np.repeat(self.ends[words] - upto[:-1], n) + np.arange(upto[-1])], upto[first]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str, known_words: int) -> WordEncoder:
+    """One per Python worker, kept from task to task."""
+    return WordEncoder(path, known_words)
 
 
 def pieces(docs: DataFrame, path: str, settings: Settings = Settings(), with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,12 +94,12 @@ def pieces(docs: DataFrame, path: str, settings: Settings = Settings(), with_ids
         schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path, settings.known_words)
+        encode = word_encoder(path, settings.known_words)
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                flat, at = encode(part.column(1).to_pylist())
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                flat, at = encode(part.column(1))
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i in range(part.num_rows):
                     own = np.append(flat[at[i]:at[i + 1]], np.uint32(settings.end_token)).astype("<u4")
