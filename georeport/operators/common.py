@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +17,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Folders chosen here, by application: that of the job at hand, or a local session's own.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables, from ``spark.checkpoint.dir``.
+    """The folder for intermediate tables: that of the job at hand, else the cluster's shared one, from ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a folder of its own; on a cluster that folder would be
+    Where that is unset, a local session gets a folder of its own; on a cluster it would be
     a different one on each machine, so it is an error there.
     """
+    app = spark.sparkContext.applicationId
+    if app in _FOLDERS:
+        return _FOLDERS[app]
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="georeport-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    _FOLDERS[app] = tempfile.mkdtemp(prefix="georeport-")
+    return _FOLDERS[app]
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Steps written inside the block go to a folder of their own, which is deleted at its end; results have to be stored elsewhere by then."""
+    app, root = spark.sparkContext.applicationId, shared_dir(spark)
+    own, outer = f"{root.rstrip('/')}/job-{uuid.uuid4().hex}", _FOLDERS.get(app)
+    _FOLDERS[app] = own
+    try:
+        yield own
+    finally:
+        del _FOLDERS[app]
+        if outer:
+            _FOLDERS[app] = outer
+        files, path = pafs.FileSystem.from_uri(own) if ":" in own else (pafs.LocalFileSystem(), own)
+        if files.get_file_info(path).type == pafs.FileType.Directory:
+            files.delete_dir(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -39,7 +39,16 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     class Session:
         conf = Conf()
-        sparkContext = type("C", (), {"master": "spark://host:7077"})
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "none"})
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_steps_of_a_job_are_deleted(spark):
+    import os
+    before = common.shared_dir(spark)
+    with common.job_folder(spark) as folder:
+        rows = common.written(spark.range(3))
+        assert rows.count() == 3 and os.listdir(folder)
+    assert not os.path.exists(folder) and common.shared_dir(spark) == before
