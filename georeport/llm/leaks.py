@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
 Benchmark texts are cut in windows of consecutive words. Word counts over the whole corpus tell the rarest and second rarest
-word of each window. The index holds the postings of just these words: row, position, and the words around it.
+word of each window. The index holds the postings of just these words: row, position, and for the rarest the words around it.
 Per window the two lists, shifted by the word's offset, are intersected; survivors are checked word by word. Words that
 no window needs never leave the scan, and counts are combined before they are shuffled.
 
@@ -64,7 +64,10 @@ def ranked(phrases: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, terms: DataFrame, around: int, part_bytes: int = 4 << 20) -> DataFrame:
-    """Index rows (term, row, pos, near, near_from) of the given terms; ``near`` are the words from ``near_from`` on, up to ``around`` each side."""
+    """Index rows (term, row, pos, near, near_from) of the given terms (term, leads).
+
+    For terms that lead a phrase, ``near`` are the raw words from ``near_from`` on, up to ``around`` each side; for others it is null.
+    """
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
     parts = size // part_bytes + 1
     terms = written(terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts))), "terms")
@@ -72,9 +75,9 @@ def postings(rows: DataFrame, terms: DataFrame, around: int, part_bytes: int = 4
     start = F.greatest(F.col("pos") - (around - 1), F.lit(0))
 
     def scan(part: int) -> DataFrame:
-        few = F.broadcast(terms.where(F.col("part") == part).select("term"))  # at most about part_bytes
-        return (words.withColumn("low", lower_ascii(F.col("word"))).join(few, F.col("low") == F.col("term"))
-                .select("term", *KEY, "pos", start.alias("near_from"), F.transform(F.slice("w", start + 1, 2 * around - 1), lower_ascii).alias("near")))
+        few = F.broadcast(terms.where(F.col("part") == part).select("term", "leads"))  # at most about part_bytes
+        return (words.join(few, lower_ascii(F.col("word")) == F.col("term"))
+                .select("term", *KEY, "pos", start.alias("near_from"), F.when(F.col("leads"), F.slice("w", start + 1, 2 * around - 1)).alias("near")))
 
     return reduce(DataFrame.union, [scan(p) for p in range(parts)])
 
@@ -89,11 +92,11 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(row, start, length, phrase_no): exact occurrences of the phrases."""
     place = [*KEY, "start", "phrase_no"]
     first = shifted(index, phrases, "first")
-    right = shifted(index, phrases, "second").select(*(F.col(c).alias(f"r_{c}") for c in place))
+    right = shifted(index.drop("near"), phrases, "second").select(*(F.col(c).alias(f"r_{c}") for c in place))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in KEY], (F.col("start") == F.col("r_start")) & (F.col("phrase_no") == F.col("r_phrase_no")))
     both = first.where("second is not null").join(right, same, "left_semi")
     found = both.unionByName(first.where("second is null"))
-    inside = F.slice("near", F.greatest(F.col("start") - F.col("near_from") + 1, F.lit(1)), F.col("length"))
+    inside = F.transform(F.slice("near", F.greatest(F.col("start") - F.col("near_from") + 1, F.lit(1)), F.col("length")), lower_ascii)
     return found.where(inside == F.col("phrase")).select(*KEY, "start", "length", "phrase_no").distinct()
 
 
@@ -112,7 +115,8 @@ def build(docs: DataFrame, items: DataFrame, width: int = 10, doc_id: str = "doc
     of_items = written(windows(items, width, item_id), "windows")
     numbered = written(of_items.select("phrase").distinct().withColumn("phrase_no", F.monotonically_increasing_id()), "phrases")
     phrases = written(ranked(numbered, rows), "ranked")
-    terms = phrases.select(F.explode(F.array("first", "second")).alias("term")).where("term is not null").distinct()
+    each = F.explode(F.array(F.struct(F.col("first").alias("term"), F.lit(True).alias("leads")), F.struct(F.col("second").alias("term"), F.lit(False).alias("leads"))))
+    terms = phrases.select(each.alias("t")).where("t.term is not null").groupBy("t.term").agg(F.max("t.leads").alias("leads"))
     longest = phrases.agg(F.coalesce(F.max("length"), F.lit(1))).first()[0]
     index = written(postings(rows, terms, longest), "index")
     return phrases, of_items.join(numbered, "phrase").select("item_id", "phrase_no"), index
