@@ -45,7 +45,7 @@ class WordEncoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode, self.bound = Tokenizer.from_file(path).encode_batch_fast, known_words
+        self.encode, self.bound = Tokenizer.from_file(path).encode, known_words
         self._forget()
 
     def _forget(self) -> None:
@@ -53,6 +53,13 @@ class WordEncoder:
         self.numbers.default_factory = self.numbers.__len__
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words and their number per word, from one call: a token belongs to the word that it begins in."""
+        made = self.encode(" ".join(words), add_special_tokens=False)
+        begins = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        return np.array(made.ids, np.uint32), np.bincount(np.searchsorted(starts, begins, "right") - 1, minlength=len(words))
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one entry more than texts)."""
         if len(self.numbers) > self.bound:
@@ -66,11 +73,13 @@ class WordEncoder:
         before = len(self.numbers)
         known = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if len(self.numbers) > before:
-            ids = [e.ids for e in self.encode(list(islice(self.numbers, before, None)), add_special_tokens=False)]
-            ends = self.ends[-1] + np.cumsum([len(x) for x in ids])
+            new = list(islice(self.numbers, before, None))
+            found = [self._ids(new[i:i + 1000]) for i in range(0, len(new), 1000)]
+            ids = np.concatenate([x[0] for x in found])
+            ends = self.ends[-1] + np.cumsum(np.concatenate([x[1] for x in found]))
             while len(self.ids) < ends[-1]:
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[self.ends[-1]:ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - self.ends[-1])
+            self.ids[self.ends[-1]:ends[-1]] = ids
             self.ends = np.concatenate([self.ends, ends])
         words = known[coded.indices.to_numpy()]
         n = self.ends[words + 1] - self.ends[words]
