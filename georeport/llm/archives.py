@@ -207,7 +207,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     Work is dealt out in stretches of index entries, so an archive of any size feeds many tasks.
     """
-    step = 256
+    step, per_task = 256, 16
+    # Few bytes name much work here, so their size must not decide the number of tasks.
+    stretches = archives.agg(F.coalesce(F.sum(F.ceil(F.col("n_records") / step)), F.lit(0))).first()[0]
     parts = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_records") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
-    return parts.repartition(F.col("path"), F.col("first")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return parts.repartition(stretches // per_task + 1, F.col("path"), F.col("first")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
