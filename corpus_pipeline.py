@@ -18,10 +18,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more. Of rows that repeat an id one stays."""
-    kept = near.linked_classes(docs, near.Settings(width=5)).where("kept and id is not null").select(F.col("id").alias("__id")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows are told apart by a number of their own, so null and repeated ids are like any others. Of a group the least id
+    stays (null last, then by the hash of the row); rows without words all stay.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near.linked_classes(rows, near.Settings(width=5), doc_id="__row").select("id", "component_id")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row").alias("order"))
+    first = found.join(order, found["id"] == order["__row"]).groupBy("component_id").agg(F.min("order").alias("least"))
+    kept = written(first.select(F.col("least.__row").alias("__row")), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,3 +235,15 @@ def test_pipeline(spark, tmp_path):
     assert kept["secrets"] == kept["decontamination"] and set(kept["packing"]) == set(kept["secrets"])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == step.count() and out.columns == step.columns
+
+
+def test_pipeline_keeps_one_row_of_each_near_class(spark):
+    """Ids that repeat over unrelated texts, and no ids at all."""
+    import corpus_pipeline
+    r = random.Random(2)
+    a, b, c, d = (" ".join(r.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, c), (7, b + " q"), (None, a + " q"), (None, d), (None, d), (None, d + " q"), (None, None), (None, ""), (5, ""), (5, None)]
+    got = corpus_pipeline.keep_one_of_near(spark, frame(spark, rows).repartition(3), "").collect()
+    left = collections.Counter((x["doc_id"], x["text"]) for x in got)
+    (of_d,) = [x for x in left if x[1] in (d, d + " q")]
+    assert left == collections.Counter([(1, a), (5, b), (5, c), of_d, (None, None), (None, ""), (5, ""), (5, None)])
