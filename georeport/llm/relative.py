@@ -1,8 +1,7 @@
-"""Substring duplicates in words by relative Lempel-Ziv parsing.
+"""Substring duplicates in words by counts of hashed windows (``repeats``), in place of a relative Lempel-Ziv parse.
 
-Every document is a reference block, indexed by anchors (``repeats``). A document is factored greedily from its first word: at each word the longest
-stretch that also stands elsewhere in one reference block is the next factor; a word in no stretch is a literal. Stretches are known in full before the parse, windows that cross
-a border between two factors included, so a duplicate is found even where no single factor holds it.
+Words are removed by repeated windows alone. Factors are made afterwards, from the finished windows and earlier documents: greedily from the first word,
+at each word the longest stretch along one earlier document; a word in no stretch is a literal. No removed word depends on a factor.
 
 Null and blank texts have no words. Texts shorter than a window lose nothing. Rows equal in id and text are copies of each other.
 A null id stands before all others. Other columns are ignored.
