@@ -1,10 +1,7 @@
-"""Substring duplicates in bytes by longest previous factors in suffix order.
+"""Substring duplicates in bytes by counts of hashed windows (``repeats``), in place of a suffix array.
 
-Suffixes are ordered by their first ``least`` bytes, and by place among equals: (document, text hash, position). In this order the
-suffixes with an equal start are neighbours, so the entries before and after one are its previous and next smaller or larger
-places, and the longest previous factor reaches ``least`` where a smaller place is in the same run. A suffix is ranked through hashes of
-growing precision (``repeats``), not letter by letter, and only as far as the question needs; the array is kept in runs of
-consecutive places, since the factor at p + 1 is at most one shorter than the factor at p.
+Whether a window of ``least`` bytes starts elsewhere is all that is asked, so windows are grouped by hashes of growing precision; no suffix is
+sorted. The smallest place of a class, (document, text hash, position), stands for the previous factor of its other members.
 
 ``keep="first"`` removes the bytes of later copies, whatever covers them; ``keep="none"`` removes every copy, the first included.
 Matches never cross rows. Null and short texts lose nothing. Rows equal in id and text are copies of each other: with "none" both lose
