@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from georeport.llm import archives, attribution, leaks, near, packing, quality, relative, rules, secrets, suffixes
+from georeport.llm import archives, attribution, leaks, merkle, near, packing, ppm, prefixes, quality, relative, rules, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +199,100 @@ def op8(spark, sf_dir):
 @query("op9_attribution")
 def op9(spark, sf_dir):
     return attribution.attributed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="most")
+
+
+def crc_sql(number: str) -> str:
+    """Unsigned CRC-32 of a number as text, bit by bit."""
+    said = f"CAST({number} AS VARCHAR)"
+    a = f"xor(a, CASE WHEN i % 8 = 0 THEN CAST(ascii(substr({said}, i // 8 + 1, 1)) AS BIGINT) ELSE 0 END)"
+    return f"xor(list_reduce(range(8 * len({said})), lambda a, i: xor({a} >> 1, ({a} & 1) * 3988292384), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH turns AS MATERIALIZED (
+    SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (SELECT conv_id, {crc_sql('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), built AS (
+    SELECT c.conv_id, 0 AS part, pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+    UNION ALL SELECT c.conv_id, 1, pos, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h
+), steps AS (
+    SELECT conv_id, words, row_number() OVER w AS d, string_agg(digest, '') OVER w AS path FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+), members AS MATERIALIZED (
+    SELECT conv_id, d, words, path, left(path, len(path) - 32) AS up FROM steps UNION ALL SELECT conv_id, 0, 0, '', NULL FROM convs
+), nodes AS MATERIALIZED (SELECT path, d, any_value(up) AS up, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n FROM members GROUP BY path, d
+), kids AS (SELECT up AS path, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+    SELECT m.path, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves
+    FROM nodes n LEFT JOIN kids ON kids.path = n.path JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.path
+), ends AS (
+    SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, path, d, max(d) OVER (PARTITION BY conv_id) AS last FROM members) WHERE d = last GROUP BY path
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.up LEFT JOIN kids ON kids.path = n.path JOIN below ON below.path = n.path LEFT JOIN ends ON ends.path = n.path
+"""
+
+
+@query("op11_prefixes", OP11_SQL)
+def op11(spark, sf_dir):
+    return prefixes.prefix_trie(prefixes.rebuilt(prefixes.paths(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_partial_matching")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    return (ppm.scores(docs, model).withColumn("held_out", ppm.held_out(F.col("doc_id")))
+            .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+def _said(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column} END"
+
+
+_LEAF = "sha256(" + " || ".join(map(_said, ("doc_id", "source", "lang", "n_chars"))) + " || {})"
+
+
+def _levels(name: str, given: str) -> str:
+    return f"""{name} AS (
+    SELECT 0 AS lev, * FROM ({given})
+    UNION ALL SELECT lev + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(total) + 2) // 3 FROM {name} WHERE total > 1 GROUP BY lev, source, i // 3
+)"""
+
+
+def _walk(name: str, levels: str, given: str) -> str:
+    """Up from a leaf, original (h) and changed (c), with the siblings met."""
+    return f"""{name} AS (
+    SELECT 0 AS lev, * FROM ({given})
+    UNION ALL SELECT v.lev + 1, v.r, v.source, v.i // 3, sha256(string_agg(CASE WHEN l.i = v.i THEN v.c ELSE l.h END, '' ORDER BY l.i)),
+           any_value(v.proof) || coalesce(string_agg(CASE WHEN l.i <> v.i THEN l.h END, '' ORDER BY l.i), '')
+    FROM {name} v JOIN {levels} l ON l.lev = v.lev AND l.source IS NOT DISTINCT FROM v.source AND l.i // 3 = v.i // 3 AND l.total > 1
+    GROUP BY v.lev, v.r, v.source, v.i
+)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+    SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS total
+    FROM (SELECT doc_id, source, {_LEAF.format(_said('text'))} AS leaf,
+                 CASE WHEN {crc_sql('doc_id')} % 2 = 0 THEN {_LEAF.format(_said("replace(text, chr(10), '')"))} ELSE {_LEAF.format(_said('text'))} END AS changed FROM documents)
+), {_levels('own', 'SELECT source, i, leaf AS h, total FROM leaves')
+}, subroots AS MATERIALIZED (
+    SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS total FROM own WHERE total = 1
+), {_levels('top', "SELECT '' AS source, i, h, total FROM subroots")
+}, {_walk('walk', 'own', "SELECT r, source, i, changed AS c, '' AS proof FROM leaves")
+}, half AS (SELECT r, source, c, proof FROM walk QUALIFY row_number() OVER (PARTITION BY r ORDER BY lev DESC) = 1
+), {_walk('climb', 'top', "SELECT r, '' AS source, s.i, c, proof FROM half JOIN subroots s ON s.source IS NOT DISTINCT FROM half.source")
+}, whole AS (SELECT r, c, proof FROM climb QUALIFY row_number() OVER (PARTITION BY r ORDER BY lev DESC) = 1)
+SELECT doc_id, leaf, subroots.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, c AS folded_root, c = root.h AS verified
+FROM leaves JOIN whole USING (r) JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source, (SELECT h FROM top WHERE total = 1) root
+"""
+
+
+@query("op13_manifest", OP13_SQL)
+def op13(spark, sf_dir):
+    tree = merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+    return merkle.versions(tree).withColumnRenamed("id", "doc_id")
