@@ -80,8 +80,3 @@ def foot(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column)
     len2 = dx * dx + dy * dy
     t = ((px - x1) * dx + (py - y1) * dy) / F.when(len2 > 0, len2)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
-
-
-def crosses(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Does an eastward ray from the point cross the edge? An odd count means inside."""
-    return ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)

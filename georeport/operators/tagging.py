@@ -1,17 +1,19 @@
 """Dictionary tagging: gazetteer names, phrase shapes and triggers in post texts.
 
-A text is cut in words once, inside its row. Word runs up to the longest length of the
-dictionary become keys, are exploded, and meet the dictionary in one hash join.
+A text is cut in words once, inside its row. The dictionary's first words, each with the numbers of words that names beginning with it have, are a
+bit map of bounded size that goes into the plan; a word run is only made where its first word and its length
+may begin a name. Those few runs become keys and meet the dictionary in one hash join, which decides.
 With a dictionary small enough to broadcast, posts are not shuffled for this.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from georeport.functions.keys import location_key, phrase_key, strip
 from georeport.operators.common import let, totals_before, written
@@ -25,9 +27,41 @@ LABELS = ("LOCALE", "REGION", "GROUP", "DIRECTION", "PROXIMITY")
 CONTEXT_LABELS = ("REGION", "DIRECTION", "PROXIMITY", "GROUP")
 
 
+#: Size limit of the bit map. More names than it can tell apart cost time, not hits.
+MAP_BITS = 1 << 23
+_NOTHING = "xxhash64('')"
+
+
+def _lead(space: str, word: Column) -> Column:
+    """Key of a single word; empty if nothing of it counts."""
+    bare = F.lower(F.translate(word, "'’‘ʼ", "")) if space == "TRIGGER" else F.replace(F.translate(F.lower(word), "'’", ""), F.lit("the"), F.lit(""))
+    return F.xxhash64(bare)
+
+
+class Starts:
+    """Which first words, and which lengths after them, occur in a dictionary; may say yes too often, never no wrongly."""
+
+    def __init__(self, patterns: DataFrame):
+        word = r"[\p{L}\p{N}ʼ]+"
+        keys = patterns.select("space", F.xxhash64(F.regexp_extract("key", rf"^{word}", 0)).alias("lead"), F.regexp_count("key", F.lit(word)).alias("n")).distinct()
+        keys = keys.unionByName(keys.select("space", "lead", F.lit(0).alias("n")).distinct())
+        count = keys.count()
+        self.bits = min(MAP_BITS, max(1 << 12, 1 << (16 * max(count, 1) - 1).bit_length()))
+        at = F.xxhash64("space", "lead", "n").bitwiseAND(self.bits - 1)
+        # At most bits / 64 rows.
+        rows = keys.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("b"))
+        found = {r["i"]: r["b"] for r in rows.groupBy("i").agg(F.bit_or("b").alias("b")).collect()}
+        self.map = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(self.bits // 64))), ",").cast("array<bigint>")
+
+    def may(self, space: str, lead: Column, n: Column) -> Column:
+        at = F.xxhash64(F.lit(space), lead, n).bitwiseAND(self.bits - 1)
+        return F.getbit(F.get(self.map, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+
 def word_table(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
     """Array of words: text ``w``, gap before ``g``, char range ``cs``-``ce``, token number
-    ``ts`` (other visible characters count as tokens), line ``ln`` and sentence ``sn``."""
+    ``ts`` (other visible characters count as tokens), line ``ln``, sentence ``sn``, and the hashes ``h`` and ``ht`` of its
+    keys as the first word of a name and of a trigger."""
     def pack(high: Column, low: Column) -> Column:
         return F.shiftleft(high.cast("long"), 32) + low
 
@@ -51,7 +85,7 @@ def word_table(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Co
         return F.struct(
             w.alias("w"), v["g"][i].alias("g"), (end - F.length(w)).alias("cs"), end.alias("ce"),
             (x.bitwiseAND(low).cast("int") - 1).alias("ts"), F.shiftright(y, 32).cast("int").alias("ln"),
-            y.bitwiseAND(low).cast("int").alias("sn"))
+            y.bitwiseAND(low).cast("int").alias("sn"), _lead("NAME", w).alias("h"), _lead("TRIGGER", w).alias("ht"))
 
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     parts = let(words, lambda ws: let(F.slice(F.split(text, WORD, -1), 1, F.size(ws)), lambda gs: counts(ws, gs)))
@@ -84,36 +118,67 @@ def _gram(space: str, key: Column, ws: Column, i: Column, n: int, first: Column
         first["ts"].alias("s_ts"), (last["ts"] + 1).alias("s_te"), first["cs"].alias("s_cs"))
 
 
-def _names(ws: Column, n: int) -> Column:
-    def bare(i: Column) -> Column:
-        return (F.lower(ws[i]["w"]) != "the") & (F.lower(ws[i + n - 1]["w"]) != "the")
+def _fitting(ws: Column, starts: Starts, space: str, at: Column, shift: int, n: int) -> Column:
+    """Those of the places ``at`` from which, ``shift`` words on, ``n`` words may be a name of the space."""
+    field = "ht" if space == "TRIGGER" else "h"
+
+    def fits(i: Column) -> Column:
+        lead = ws[i + shift][field]
+        counted = F.size(F.filter(F.slice(ws, i + shift + 1, n), lambda w: w[field] != F.expr(_NOTHING)))
+        return (i + shift + n <= F.size(ws)) & ((lead == F.expr(_NOTHING)) | starts.may(space, lead, counted))
+
+    return F.filter(at, fits)
+
+
+def _leading(ws: Column, starts: Starts, space: str, at: Column, shift: int = 0) -> Column:
+    """Those of the places ``at`` whose word ``shift`` words on may begin a name of the space."""
+    field = "ht" if space == "TRIGGER" else "h"
+    return F.filter(at, lambda i: (i + shift < F.size(ws)) & ((ws[i + shift][field] == F.expr(_NOTHING)) | starts.may(space, ws[i + shift][field], F.lit(0))))
 
-    found = F.transform(F.filter(_starts(ws, n), bare),
-                        lambda i: _gram("NAME", location_key(_run(ws, i, n)), ws, i, n))
-    return F.filter(found, lambda g: g["key"] != "")
 
+def _names(ws: Column, starts: Starts, lengths: Sequence[int]) -> Column:
+    def grams(at: Column, n: int) -> Column:
+        def bare(i: Column) -> Column:
+            return (F.lower(ws[i]["w"]) != "the") & (F.lower(ws[i + n - 1]["w"]) != "the")
 
-def _shape(ws: Column, label: str, before: Sequence[str], after: Sequence[str], n_name: int) -> Column:
+        found = F.transform(F.filter(_fitting(ws, starts, "NAME", at, 0, n), bare), lambda i: _gram("NAME", location_key(_run(ws, i, n)), ws, i, n))
+        return F.filter(found, lambda g: g["key"] != "")
+
+    return let(_leading(ws, starts, "NAME", _starts(ws, 1)), lambda at: F.concat(*(grams(at, n) for n in lengths)))
+
+
+def _shape(ws: Column, starts: Starts, label: str, before: Sequence[str], after: Sequence[str], lengths: Sequence[int]) -> Column:
     """Word runs ``before + name + after``; only the name is left as key."""
-    b, n = len(before), len(before) + n_name + len(after)
-    fixed = [*enumerate(before), *((b + n_name + k, w) for k, w in enumerate(after))]
+    b = len(before)
 
-    def fits(i: Column) -> Column:
-        ok = F.lit(True)
-        for k, w in fixed:
-            ok = ok & (F.lower(ws[i + k]["w"]) == w)
-        for k in (*range(1, b + 1), *range(b + n_name, n)):
-            ok = ok & ~ws[i + k]["g"].rlike(r"\S")
-        return ok
+    def tight(i: Column) -> Column:
+        return ~ws[i]["g"].rlike(r"\S")
+
+    def opens(i: Column) -> Column:
+        ok = F.lower(ws[i]["w"]) == before[0]
+        for k, w in enumerate(before[1:], 1):
+            ok = ok & (F.lower(F.get(ws, i + k)["w"]) == w) & ~F.get(ws, i + k)["g"].rlike(r"\S")
+        return ok & ~F.get(ws, i + b)["g"].rlike(r"\S")
+
+    def grams(at: Column, n_name: int) -> Column:
+        n = b + n_name + len(after)
 
-    return F.transform(F.filter(_starts(ws, n), fits),
-                       lambda i: _gram(label, location_key(_run(ws, i + b, n_name)), ws, i, n))
+        def closes(i: Column) -> Column:
+            ok = i + n <= F.size(ws)
+            for k, w in enumerate(after, b + n_name):
+                ok = ok & (F.lower(ws[i + k]["w"]) == w) & tight(i + k)
+            return ok
 
+        return F.transform(F.filter(_fitting(ws, starts, label, at, b, n_name), closes), lambda i: _gram(label, location_key(_run(ws, i + b, n_name)), ws, i, n))
 
-def _trigger_grams(ws: Column, lengths: Sequence[int]) -> Column:
+    opened = F.filter(_starts(ws, b + 1), opens) if before else _starts(ws, 1)
+    return let(_leading(ws, starts, label, opened, b), lambda at: F.concat(*(grams(at, n) for n in lengths)))
+
+
+def _trigger_grams(ws: Column, starts: Starts, lengths: Sequence[int]) -> Column:
     """Word runs within a sentence, with the token range of that sentence."""
-    def grams(heads: Column, n: int) -> Column:
-        inside = F.filter(_starts(ws, n), lambda i: ws[i]["sn"] == ws[i + n - 1]["sn"])
+    def grams(heads: Column, at: Column, n: int) -> Column:
+        inside = F.filter(_fitting(ws, starts, "TRIGGER", at, 0, n), lambda i: ws[i]["sn"] == ws[i + n - 1]["sn"])
 
         def one(i: Column) -> Column:
             stop = F.coalesce(F.get(heads, ws[i]["sn"] + 1), F.size(ws))
@@ -122,7 +187,8 @@ def _trigger_grams(ws: Column, lengths: Sequence[int]) -> Column:
         return F.transform(inside, one)
 
     heads = F.filter(_starts(ws, 1), lambda i: (i == 0) | (F.get(ws, i - 1)["sn"] != ws[i]["sn"]))
-    return let(heads, lambda hs: F.concat(*(grams(hs, n) for n in lengths)))
+    return let(F.struct(heads.alias("heads"), _leading(ws, starts, "TRIGGER", _starts(ws, 1)).alias("at")),
+               lambda v: F.concat(*(grams(v["heads"], v["at"], n) for n in lengths)))
 
 
 def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, directions: DataFrame,
@@ -147,6 +213,9 @@ def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, direct
     return out.groupBy("space", "key", "label").agg(F.max("words").alias("words"))
 
 
+_NO_GRAMS = ("array<struct<space:string,key:string,n:int,surface:string,ts:int,te:int,cs:int,ce:int,ln:int,sn:int,s_ts:int,s_te:int,s_cs:int>>")
+
+
 def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbreviations: Sequence[str] = ABBREVIATIONS,
                 partitions: int | None = None) -> DataFrame:
     """All dictionary hits in posts (``post_id``, ``text``), overlapping ones included.
@@ -157,17 +226,16 @@ def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbr
     patterns = written(patterns.select("space", "key", "label", "words"), "patterns")
     lengths = {r["space"]: r["n"] for r in
                patterns.groupBy("space").agg(F.max("words").alias("n")).collect()}
-    names = range(1, lengths.get("NAME", 0) + 1)
+    starts = Starts(patterns)
 
     def grams(ws: Column) -> Column:
-        parts = [_names(ws, n) for n in names]
-        for space in ("DIRECTION", "PROXIMITY"):
-            mine = [t for t in templates if t[0] == space]
-            for n in range(1, lengths.get(space, 0) + 1):
-                parts += [_shape(ws, label, before, after, n) for label, before, after in mine]
+        parts = [_names(ws, starts, range(1, lengths["NAME"] + 1))] if "NAME" in lengths else []
+        for label, before, after in templates:
+            if label in lengths:
+                parts.append(_shape(ws, starts, label, before, after, range(1, lengths[label] + 1)))
         if "TRIGGER" in lengths:
-            parts.append(_trigger_grams(ws, range(1, lengths["TRIGGER"] + 1)))
-        return F.concat(*parts)
+            parts.append(_trigger_grams(ws, starts, range(1, lengths["TRIGGER"] + 1)))
+        return F.concat(*parts) if parts else F.array().cast(_NO_GRAMS)
 
     dealt = posts.repartition(partitions) if partitions else posts
     found = dealt.select("post_id", F.explode(let(word_table(F.col("text"), abbreviations), grams)).alias("g")).select("post_id", "g.*")
@@ -177,28 +245,30 @@ def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbr
 def choose_spans(hits: DataFrame) -> DataFrame:
     """Non-overlapping spans of a post: longest first, then leftmost.
 
-    Spans are first cut into runs that touch each other, so only a handful is ever
-    compared at once.
+    A task takes the spans of a post in that order and keeps the token ranges taken so far sorted, so a span is
+    only compared with its two neighbours.
     """
-    order = F.array(*(F.lit(x) for x in LABELS))
-    w = W.partitionBy("post_id").orderBy("ts", "te", "label")
-    before = F.max("te").over(w.rowsBetween(W.unboundedPreceding, -1))
-    runs = (hits.withColumn("_new", F.coalesce(F.col("ts") >= before, F.lit(True)).cast("int"))
-            .withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))))
     fields = ["label", "ts", "te", "cs", "ce", "ln", "surface", "key"]
-    item = F.struct((F.col("ts") - F.col("te")).alias("len"), F.col("ts").alias("at"),
-                    F.array_position(order, F.col("label")).alias("prio"), F.struct(*fields).alias("s"))
-    grouped = runs.groupBy("post_id", "_run").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kinds = dict(hits.select(*fields).dtypes)
-    zero = F.array().cast("array<struct<" + ",".join(f"{f}:{kinds[f]}" for f in fields) + ">>")
-
-    def take(kept: Column, item: Column) -> Column:
-        s = item["s"]
-        clash = F.exists(kept, lambda k: (k["ts"] < s["te"]) & (k["te"] > s["ts"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
-
-    return (grouped.select("post_id", F.explode(F.aggregate("items", zero, take)).alias("s"))
-            .select("post_id", "s.*"))
+    order = F.array(*(F.lit(x) for x in LABELS))
+    rows = hits.select("post_id", *fields, F.array_position(order, F.col("label")).alias("_prio"))
+    rows = rows.repartition("post_id").sortWithinPartitions("post_id", F.col("ts") - F.col("te"), "ts", "_prio", "label", "key").drop("_prio")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post, starts, ends = None, [], {}
+        for batch in batches:
+            kept = []
+            for no, (own, ts, te) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("post_id", "ts", "te")))):
+                if own != post:
+                    post, starts, ends = own, [], {}
+                at = bisect_right(starts, ts)
+                if (at and ends[starts[at - 1]] > ts) or (at < len(starts) and starts[at] < te):
+                    continue
+                insort(starts, ts)
+                ends[ts] = te
+                kept.append(no)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def tag_spans(posts: DataFrame, patterns: DataFrame, templates: Sequence, partitions: int | None = None) -> DataFrame:

@@ -34,14 +34,14 @@ def _points(line: Column) -> Column:
 
 
 def read_lines(features: DataFrame) -> DataFrame:
-    """Line points ``line_no``, ``pt_no``, ``lon``, ``lat``; of polygons the outer rings. Single points are dropped."""
+    """Line points: ``line_no`` of the feature, ``part_no`` within it, ``pt_no``, ``lon``, ``lat``; of polygons the outer rings. Single points are dropped."""
     c, kind = F.col("coordinates"), F.col("type")
     lines = (F.when(kind == "LineString", F.array(_parse(c, 2))).when(kind == "MultiLineString", _parse(c, 3))
              .when(kind == "Polygon", F.slice(_parse(c, 3), 1, 1))
              .when(kind == "MultiPolygon", F.transform(F.filter(_parse(c, 4), lambda p: F.size(p) > 0), lambda p: p[0])))
-    rows = features.select("feature_no", F.posexplode(lines).alias("_i", "line")).filter(F.size("line") >= 2)
-    return (rows.withColumn("line_no", F.col("feature_no") * 10000 + F.col("_i"))
-            .select("line_no", F.posexplode(_points(F.col("line"))).alias("pt_no", "p")).select("line_no", "pt_no", "p.lon", "p.lat"))
+    rows = features.select(F.col("feature_no").alias("line_no"), F.posexplode(lines).alias("part_no", "line")).filter(F.size("line") >= 2)
+    return (rows.select("line_no", "part_no", F.posexplode(_points(F.col("line"))).alias("pt_no", "p"))
+            .select("line_no", "part_no", "pt_no", "p.lon", "p.lat"))
 
 
 def read_polygons(features: DataFrame, admin_level: str | None = None) -> DataFrame:
