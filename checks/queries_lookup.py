@@ -42,12 +42,12 @@ def _(fx):
     return lookup.resolve_entities(fx.texts, lookup.entity_index(fx.directions), "direction", out="direction").select("text_id", "direction")
 
 
-@query("c05_place_by_cid", """SELECT o_orderkey AS order_id, l.cid, l.name, l.lat, l.lon FROM orders
-  JOIN fx_locales l ON l.row_no = o_custkey JOIN fx_locales m ON m.cid = l.cid""")
+@query("c05_place_by_cid", """WITH last AS (SELECT cid, arg_max(row_no, row_no) AS row_no FROM fx_locales GROUP BY cid)
+SELECT o_orderkey AS order_id, l.cid, p.name, p.lat, p.lon FROM orders JOIN fx_locales l ON l.row_no = o_custkey JOIN last ON last.cid = l.cid JOIN fx_locales p ON p.row_no = last.row_no""")
 def _(fx):
     ids = fx.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("row_no"))
     asked = ids.join(fx.locales.select("row_no", "cid"), "row_no").select("order_id", "cid")
-    return asked.join(fx.locales, "cid").select("order_id", "cid", "name", "lat", "lon")
+    return lookup.place_by_cid(asked, fx.locales).select("order_id", "cid", "name", "lat", "lon")
 
 
 @query("c06_places_in_region", f"""SELECT row_no AS region_no, l.cid FROM (SELECT row_no, unnest(list_append(aliases, name)) AS text FROM fx_regions) r

@@ -1,5 +1,7 @@
 """Match records, mentions, review trees, exports and summaries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.ctes import CTES
@@ -24,6 +26,51 @@ CTES.update({
 })
 
 
+# Events from match records: the token range of a match, its chars, and the text layer over it.
+CTES["mx_tokens"] = r"""SELECT post_id, te - 1 AS t, ce - length(p) AS cs, ce FROM tx_counted WHERE is_word UNION ALL
+    SELECT post_id, te0 + row_number() OVER (PARTITION BY post_id, i ORDER BY j) - 1, c0 + j - 1, c0 + j FROM (SELECT post_id, i, p, ce - length(p) AS c0,
+      te - length(regexp_replace(p, '\s+', '', 'g')) AS te0, unnest(range(1, length(p) + 1)) AS j FROM tx_counted WHERE NOT is_word) WHERE regexp_matches(substr(p, j, 1), '\S')"""
+CTES["mx_events0"] = """SELECT m.* EXCLUDE (text), a.cs AS s_cs, CASE WHEN s_te > s_ts THEN substr(p.text, a.cs + 1, b.ce - a.cs) ELSE '' END AS text FROM (
+    SELECT post_id, event_id, label, action_text AS trigger, similarity, idx % 4 = 0 AS negated, '' AS text,
+      CASE WHEN bare THEN 0 ELSE least(s_ts, s_te - 2) END AS s_ts, CASE WHEN bare THEN 0 ELSE s_te END AS s_te FROM tx_matches WHERE similarity >= 0.2) m
+    JOIN fx_posts p USING (post_id) LEFT JOIN mx_tokens a ON a.post_id = m.post_id AND a.t = greatest(m.s_ts, 0) LEFT JOIN mx_tokens b ON b.post_id = m.post_id AND b.t = m.s_te - 1"""
+_OVER = ("tx_events0", "tx_event_spans", "tx_mentions", "tx_loc_ends", "tx_scoped", "tx_placed", "tx_action")
+for _name in _OVER[1:]:
+    _sql = CTES[_name]
+    for _other in _OVER:
+        _sql = re.sub(rf"\b{_other}\b", _other.replace("tx_", "mx_"), _sql)
+    CTES[_name.replace("tx_", "mx_")] = _sql
+
+
+def _record_tables(fx):
+    from checks.fixtures import TEMPLATES
+    from georeport.params import Params
+    from georeport.plans.text import analyse_records
+    return analyse_records(fx.posts, fx.patterns, fx.matches, Params(min_similarity=0.2, templates=TEMPLATES), fx.spark.sparkContext.defaultParallelism)
+
+
+@query("i04b_record_events", """SELECT e.post_id, e.event_id, p.section_id, e.label, e.text, g.surface AS actor_text, a.action_kind, e.trigger AS action_text, e.s_ts, e.s_te, e.s_cs, e.negated, e.similarity
+  FROM mx_events0 e JOIN mx_placed p USING (event_id) JOIN mx_action a USING (event_id)
+  LEFT JOIN (SELECT event_id, arg_min(surface, ts) AS surface FROM mx_event_spans WHERE label = 'GROUP' GROUP BY event_id) g USING (event_id)""")
+def _(fx):
+    return _record_tables(fx).events.select("post_id", "event_id", "section_id", "label", "text", "actor_text", "action_kind", "action_text",
+                                            *(F.col(c).cast("long").alias(c) for c in ("s_ts", "s_te", "s_cs")), "negated", "similarity")
+
+
+@query("i05b_record_mentions", "SELECT event_id, loc_no, text, ts, te FROM mx_mentions")
+def _(fx):
+    return _record_tables(fx).mentions.select("event_id", "loc_no", "text", F.col("ts").cast("long").alias("ts"), F.col("te").cast("long").alias("te"))
+
+
+@query("i08b_record_contexts", """SELECT post_id, 'post' AS level, CAST(post_id AS VARCHAR) AS owner, kind, text FROM tx_post_contexts
+UNION ALL SELECT post_id, 'section', section_id, kind, text FROM tx_section_contexts
+UNION ALL SELECT e.post_id, CASE WHEN loc_no IS NULL THEN 'event' ELSE 'location' END, event_id || coalesce(':loc' || loc_no, ''), kind, x.text FROM mx_scoped x JOIN mx_events0 e USING (event_id)""")
+def _(fx):
+    owner = (F.when(F.col("level") == "post", F.col("post_id").cast("string")).when(F.col("level") == "section", F.col("section_id"))
+             .when(F.col("level") == "event", F.col("event_id")).otherwise(F.concat("event_id", F.lit(":loc"), F.col("loc_no").cast("string"))))
+    return _record_tables(fx).contexts.select("post_id", "level", owner.alias("owner"), "kind", "text")
+
+
 @query("a13_match_words", """SELECT event_id, word_no, document_word, i0 AS document_token_index, i1 AS first_document_token_index, i2 AS last_document_token_index, extracted_word, negated, similarity_measure,
   CAST(0 AS BIGINT) AS depth FROM tx_match_words""")
 def _(fx):
@@ -103,6 +150,29 @@ def _(fx):
     return _trees(fx)[2].select("post_id", "section_id", "event_id", "raw_text", "actor_text", "action_kind", "action_text", "event_no")
 
 
+def _reviewed(fx):
+    """Whole trees, written and read back; every fifth post is disabled."""
+    path = scratch_path(fx.spark, "trees")
+    posts = fx.posts.select("post_id", "text", (F.col("post_id") % 5 != 0).alias("enabled"))
+    review.write_trees(review.build_trees(posts, fx.sections, fx.report_events, _resolved(fx), fx.contexts, fx.scored, scoring.diagnostics(fx.chosen)), path)
+    return review.reviewed_tables(review.read_trees(fx.spark, path))
+
+
+@query("a12b_reviewed_contexts", """SELECT * FROM (SELECT post_id, 'post' AS level, CAST(post_id AS VARCHAR) AS owner, kind, text FROM tx_post_contexts
+UNION ALL SELECT post_id, 'section', section_id, kind, text FROM tx_section_contexts
+UNION ALL SELECT e.post_id, CASE WHEN loc_no IS NULL THEN 'event' ELSE 'location' END, event_id || coalesce(':loc' || loc_no, ''), kind, x.text FROM tx_scoped x JOIN tx_events0 e USING (event_id))
+WHERE post_id % 5 <> 0""")
+def _(fx):
+    owner = (F.when(F.col("level") == "post", F.col("post_id")).when(F.col("level") == "section", F.col("section_id"))
+             .when(F.col("level") == "event", F.col("event_id")).otherwise(F.concat("event_id", F.lit(":loc"), F.col("loc_no").cast("string"))))
+    return _reviewed(fx).contexts.select(F.col("post_id").cast("long").alias("post_id"), "level", owner.alias("owner"), "kind", "text")
+
+
+@query("a17b_tree_candidates", """SELECT s.event_id, s.loc_no, s.cid, round(s.unary, 6) AS unary FROM tx_scored s JOIN tx_events0 e USING (event_id) WHERE e.post_id % 5 <> 0""")
+def _(fx):
+    return _reviewed(fx).candidates.select("event_id", "loc_no", "cid", F.round(F.col("scores")["unary"], 6).alias("unary"))
+
+
 @query("a18_event_export", """SELECT CAST(post_id AS VARCHAR) AS post_id, section_id, event_id, coalesce(actor_text, '') AS actor, action_text AS action, coalesce(c, '') AS contexts FROM tx_events
 LEFT JOIN (SELECT event_id, string_agg(text, '; ' ORDER BY pass, ts) AS c FROM tx_scoped WHERE loc_no IS NULL GROUP BY event_id) USING (event_id)""")
 def _(fx):
@@ -125,7 +195,7 @@ def _(fx):
   || ',0</coordinates></Point></Placemark>' AS line FROM ({_LOC})""")
 def _(fx):
     path = scratch_path(fx.spark, "kml")
-    review.write_kml(review.location_rows(_resolved(fx), fx.report_events), path, per_document=500)
+    review.write_kml(review.location_rows(_resolved(fx), fx.report_events), path, by="section_id")
     return fx.spark.read.text(path).filter(F.col("value").startswith("<Placemark>")).select(F.col("value").alias("line"))
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks.ctes import CTES
+from checks.ctes import CTES, lockey
+from checks.fixtures import word_at
 from checks.registry import query
 from georeport.operators import structure, tagging
 
@@ -56,6 +57,28 @@ def _(fx):
     return fx.hits.filter("space <> 'TRIGGER'").select("post_id", "label", *_long(*_INT), "surface", "key")
 
 
+# Short texts with one default phrase shape each; the name is the n-th word of the vocabulary.
+_SHAPES = (("in the direction of ", ""), ("towards ", ""), ("", " direction"), ("", " axis"), ("", " sector"), ("the ", " line"), ("near ", ""), ("", ""))
+CTES["fx_shaped"] = """SELECT o_orderkey AS post_id, w, b, a, 'Xy ' || b || w || a || ' zz.' AS text, CASE WHEN b = '' THEN 0 ELSE len(string_split(trim(b), ' ')) END AS nb,
+    CASE WHEN a = '' THEN 0 ELSE 1 END AS na FROM (SELECT o_orderkey, w, CASE o_orderkey % 8 """ + " ".join(f"WHEN {i} THEN '{b}'" for i, (b, _) in enumerate(_SHAPES)) + """ END AS b,
+    CASE o_orderkey % 8 """ + " ".join(f"WHEN {i} THEN '{a}'" for i, (_, a) in enumerate(_SHAPES)) + """ END AS a FROM orders JOIN fx_vocab ON r = 31 + o_orderkey % 430)"""
+
+
+@query("c24b_default_shapes", f"""WITH s AS (SELECT *, {lockey('w')} AS key FROM fx_shaped)
+SELECT post_id, label, 1 + nb AS ts, 2 + nb AS te, 3 + length(b) AS cs, 3 + length(b) + length(w) AS ce, w AS surface, key FROM s JOIN tx_names USING (key)
+UNION ALL SELECT post_id, CASE WHEN b = 'near ' THEN 'PROXIMITY' ELSE 'DIRECTION' END, 1, 2 + nb + na, 3, 3 + length(b) + length(w) + length(a), b || w || a, key FROM s
+  WHERE nb + na > 0 AND ((b = 'near ' AND key IN (SELECT key FROM fx_index)) OR (b <> 'near ' AND key IN (SELECT key FROM fx_direction_index)))""")
+def _(fx):
+    from georeport.params import Params
+    o = fx.table("orders").select(F.col("o_orderkey").alias("post_id"))
+    named = word_at(31 + F.col("post_id") % 430, fx.vocab, o, "w")
+    pick = F.col("post_id") % 8
+    b, a = (F.element_at(F.array(*(F.lit(s[k]) for s in _SHAPES)), (pick + 1).cast("int")) for k in (0, 1))
+    posts = named.select("post_id", F.concat(F.lit("Xy "), b, "w", a, F.lit(" zz.")).alias("text"))
+    got = tagging.match_words(posts, fx.patterns.filter("space <> 'TRIGGER'"), Params().templates, partitions=fx.spark.sparkContext.defaultParallelism)
+    return got.select("post_id", "label", *_long(*_INT), "surface", "key")
+
+
 @query("e09_chosen_spans", "SELECT post_id, label, ts, te, cs, ce, surface, key FROM tx_spans")
 def _(fx):
     return fx.spans.select("post_id", "label", *_long(*_INT), "surface", "key")

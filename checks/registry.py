@@ -19,7 +19,7 @@ def with_ctes(body: str) -> str:
     order: list[str] = []
 
     def need(sql: str) -> None:
-        for name in re.findall(r"\b(?:fx|tx|rx)_\w+", sql):
+        for name in re.findall(r"\b(?:fx|tx|rx|mx)_\w+", sql):
             if name in CTES and name not in order:
                 need(CTES[name])
                 if name not in order:

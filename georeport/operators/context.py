@@ -121,6 +121,13 @@ def narrow_candidates(mentions: DataFrame, contexts: DataFrame, locales: DataFra
         *MENTION, "cid", "row_no", "name", "lat", "lon", "region", "grp", "qid", "prox_km", "confidence")
 
 
+def single_candidates(candidates: DataFrame) -> DataFrame:
+    """Mentions that narrowing has left one place: resolved early, with that place and its confidence."""
+    fields = ["cid", "row_no", "name", "lat", "lon", "confidence"]
+    one = candidates.groupBy(*MENTION).agg(F.count("*").alias("_n"), F.min(F.struct("row_no", *(c for c in fields if c != "row_no"))).alias("s"))
+    return one.filter("_n = 1").select(*MENTION, *(f"s.{c}" for c in fields))
+
+
 def keep_matching(candidates: DataFrame, flag: Column, mark: str) -> DataFrame:
     """Keep flagged candidates of a mention, or all of them when none is flagged; ``mark`` tells misses."""
     ok = F.coalesce(flag, F.lit(False))

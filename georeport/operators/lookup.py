@@ -1,6 +1,6 @@
 """Gazetteer indexes and lookups: equi-joins on normalized keys.
 
-A counted, small index is broadcast, so the texts are not shuffled and a key that fills a
+Spark broadcasts an index whose measured size is small, so the texts are not shuffled and a key that fills a
 third of them does no harm. A larger index is joined by shuffle, where adaptive
 execution splits hot keys.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from georeport.functions.geo import lookup_km
 from georeport.functions.keys import location_key, plain_key
 from georeport.operators.spatial import nearest
 
@@ -79,6 +78,14 @@ def search_locale(texts: DataFrame, index: DataFrame, text: str = "text",
     return hits
 
 
+def place_by_cid(ids: DataFrame, locales: DataFrame, cid: str = "cid") -> DataFrame:
+    """The place of each id, as columns of the gazetteer; when several rows share an id the last one holds. Unknown ids keep nulls."""
+    rest = [c for c in locales.columns if c != "cid"]
+    last = locales.groupBy("cid").agg(F.max_by(F.struct(*rest), "row_no").alias("_p")).select(F.col("cid").alias("_cid"), "_p.*")
+    kept = [c for c in rest if c not in ids.columns]
+    return ids.join(last.select("_cid", *kept), F.col(cid) == F.col("_cid"), "left").drop("_cid")
+
+
 def locales_in_region(regions: DataFrame, locales: DataFrame, text: str = "text") -> DataFrame:
     placed = locales.filter(F.col("region") != "").withColumn("key", location_key("region"))
     return regions.withColumn("key", location_key(text)).join(placed, "key")
@@ -168,7 +175,3 @@ def expand_groups(groups: DataFrame) -> DataFrame:
     return (own.withColumn("own", F.lit(True))
             .unionByName(near.select("grp_key", "region_key").withColumn("own", F.lit(False)))
             .groupBy("grp_key", "region_key").agg(F.max("own").alias("own")))
-
-
-def distance_to(lat: str, lon: str) -> Column:
-    return lookup_km(F.col(lat), F.col(lon), F.col("lat"), F.col("lon"))

@@ -1,8 +1,8 @@
 """Direction axis, unary and pairwise scores, and the joint choice of places per event.
 
 The beam runs in tasks that hold their events in order: one shuffle by event, array arithmetic over
-many events per call, and pairs of candidates exist only there. A second form of the same search keeps
-partial assignments as rows and spreads the candidates of one event over tasks.
+many events per batch, and pairs of candidates exist only there. Candidates of a mention are scored in slices with a
+running best, so a name with any number of places fits.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from georeport.functions.geo import RADIUS_KM, haversine_km, unit_lat, unit_lon
-from georeport.operators.common import let, written
+from georeport.operators.common import let
 from georeport.operators.spatial import closest_on_lines
 from georeport.params import Params, Scoring
 
@@ -126,9 +126,14 @@ def confidences(picks: Column, s: Scoring = Scoring()) -> Column:
 _PICK = ("loc_no", "row_no", "cid", "lat", "lon", "rlat", "rlon", "clat", "region", "grp", "qid", "unary")
 
 
+def _fields(df: DataFrame) -> list[str]:
+    """What is kept of a chosen place; its name, too, where candidates have it."""
+    return [*_PICK, *(c for c in ("name",) if c in df.columns)]
+
+
 def _pick(df: DataFrame) -> tuple[Column, str]:
-    kinds = dict(df.dtypes)
-    return F.struct(*_PICK), "struct<" + ",".join(f"{c}:{kinds[c]}" for c in _PICK) + ">"
+    kinds, fields = dict(df.dtypes), _fields(df)
+    return F.struct(*fields), "struct<" + ",".join(f"{c}:{kinds[c]}" for c in fields) + ">"
 
 
 def _rank_score(score: Column) -> Column:
@@ -167,93 +172,119 @@ class _Rows:
             total = total + np.where((a < 0) | (b < 0), 0.0, np.where(a == b, same, -differ))
         return total
 
-    def beam(self, mentions: list[np.ndarray], width: int, step: int = 64) -> tuple[np.ndarray, float]:
-        """Rows chosen for the mentions of one event, in turn, and their score."""
-        score, picks = np.zeros(1), np.zeros((1, 0), dtype=np.int64)
-        for cands in mentions:
-            grown = score[:, None] + self.unary[cands][None, :]
-            for k in range(0, picks.shape[1], step):
-                grown = grown + self.pairs(picks[:, k:k + step, None], cands[None, None, :]).sum(1)
+
+#: Candidates that are scored against the beam at once, and pairs of places per step.
+SLICE, PAIRS = 4096, 1 << 18
+
+
+class _Search:
+    """Beam over the mentions of one event whose candidates come in slices.
+
+    ``picks`` holds rows of the table at hand, a line per partial assignment. Of the open mention, only the best ``width`` extensions so far
+    are kept: score, assignment, candidate and its number within the mention.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.score, self.picks = width, np.zeros(1), np.zeros((1, 0), np.int64)
+        self.open: tuple[np.ndarray, ...] | None = None
+        self.seen = 0
+
+    def offer(self, rows: _Rows, cands: np.ndarray) -> None:
+        for a in range(0, len(cands), SLICE):
+            part = cands[a:a + SLICE]
+            grown = self.score[:, None] + rows.unary[part][None, :]
+            step = max(1, PAIRS // grown.size)
+            for k in range(0, self.picks.shape[1], step):
+                grown = grown + rows.pairs(self.picks[:, k:k + step, None], part[None, None, :]).sum(1)
             flat = grown.ravel()
             # A stable sort keeps the earlier assignment, then the earlier candidate, on ties.
-            best = np.argsort(-np.round(flat, 9), kind="stable")[:width]
-            picks = np.hstack([picks[best // len(cands)], cands[best % len(cands)][:, None]])
-            score = flat[best]
-        return picks[0], float(score[0])
-
-
-def _choose(table: pa.Table, width: int, s: Scoring) -> pa.RecordBatch:
-    """The best assignment of each event of a table in order of event, mention and candidate."""
-    table = table.combine_chunks()
-    rows, loc = _Rows(table, s), table["loc_no"].to_numpy()
-    ids = table["event_id"]
-    new_event = np.concatenate([[True], pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy()])
-    new_mention = new_event | np.concatenate([[True], loc[1:] != loc[:-1]])
-    events = np.append(np.flatnonzero(new_event), len(loc))
-    mentions = np.append(np.flatnonzero(new_mention), len(loc))
-    first = np.searchsorted(mentions, events)
-    picks, scores = [], []
-    for a, b in zip(first[:-1], first[1:]):
-        each = [np.arange(mentions[m], mentions[m + 1]) for m in range(a, b)]
-        # Mentions with one candidate are fixed first.
-        got, score = rows.beam([m for m in each if len(m) == 1] + [m for m in each if len(m) > 1], width)
-        picks.append(got)
-        scores.append(score)
-    flat, ends = pa.array(np.concatenate(picks)), np.concatenate([[0], np.cumsum([len(x) for x in picks])])
-    items = pa.StructArray.from_arrays([table[c].take(flat).combine_chunks() for c in _PICK], list(_PICK))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(events[:-1])).combine_chunks(), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
-                                      ["event_id", "score", "picks"])
+            best = np.argsort(-np.round(flat, 9), kind="stable")[:self.width]
+            new = flat[best], best // len(part), part[best % len(part)], best % len(part) + self.seen
+            self.seen += len(part)
+            if self.open is not None:
+                both = [np.concatenate(x) for x in zip(self.open, new)]
+                order = np.lexsort((both[3], both[1], -np.round(both[0], 9)))[:self.width]
+                new = tuple(x[order] for x in both)
+            self.open = new
+
+    def close(self) -> None:
+        """The open mention is whole: its extensions become the assignments."""
+        if self.open is not None:
+            self.score, parent, cand, _ = self.open
+            self.picks = np.hstack([self.picks[parent], cand[:, None]])
+            self.open, self.seen = None, 0
+
+    def held(self) -> np.ndarray:
+        """Rows that are still needed."""
+        return np.unique(np.concatenate([self.picks.ravel(), self.open[2] if self.open is not None else np.zeros(0, np.int64)]))
+
+    def moved(self, rows: np.ndarray) -> None:
+        """The table now begins with ``rows`` and holds none before."""
+        self.picks = np.searchsorted(rows, self.picks)
+        if self.open is not None:
+            self.open = (*self.open[:2], np.searchsorted(rows, self.open[2]), self.open[3])
 
 
 def _batched_beam(candidates: DataFrame, width: int, s: Scoring) -> DataFrame:
-    """One shuffle by event; each task then runs over its rows in order, many events per call. An event is held whole, bounded by its sentence."""
+    """One shuffle by event; each task runs over its rows in order, many events per batch.
+
+    A task holds a batch, and of an event that goes on in the next one only the rows of its beam, so neither the places of
+    a name nor those of an event have to fit in memory. Mentions with one candidate come first.
+    """
     # The rows are few but costly, so their bytes must not decide the number of tasks.
     spark = candidates.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    rows = (candidates.select("event_id", "_prox", *_PICK).repartition(tasks, "event_id").sortWithinPartitions("event_id", "loc_no", "_prox", "row_no")
-            .select("event_id", *_PICK))
+    fields = _fields(candidates)
+    rows = candidates.select("event_id", "_prox", *fields).repartition(tasks, "event_id")
+    many = F.count("*").over(W.partitionBy("event_id", "loc_no")) > 1
+    rows = rows.withColumn("_many", many).sortWithinPartitions("event_id", "_many", "loc_no", "_prox", "row_no").select("event_id", *fields)
     _, kind = _pick(candidates)
+    schema = f"event_id {dict(candidates.dtypes)['event_id']}, score double, picks array<{kind}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        search, event, mention, carry = None, None, None, None
         for batch in batches:
-            ids = batch["event_id"]
-            last = pc.index(ids, ids[-1]).as_py()  # where the last event of the batch begins
-            if last > 0 or (held and held[0]["event_id"][0] != ids[0]):
-                yield _choose(pa.Table.from_batches([*held, batch.slice(0, last)]), width, s)
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield _choose(pa.Table.from_batches(held), width, s)
-
-    return rows.mapInArrow(run, f"event_id {dict(candidates.dtypes)['event_id']}, score double, picks array<{kind}>")
-
-
-def _spread_beam(candidates: DataFrame, width: int, s: Scoring, every: int = 4) -> DataFrame:
-    """The same search with one row per partial assignment and candidate.
-
-    Every step keeps the best ``width`` rows of each event; Spark applies that limit in every
-    task before the shuffle, so a large event is cut down where its rows are.
-    """
-    item, kind = _pick(candidates)
-    sizes = candidates.groupBy("event_id", "loc_no").agg(F.count("*").alias("_n"))
-    w = W.partitionBy("event_id").orderBy(F.col("_n") > 1, "loc_no")
-    steps = sizes.withColumn("_pos", F.row_number().over(w)).drop("_n")
-    cands = written(candidates.select("event_id", "loc_no", "_prox", "row_no", item.alias("c")).join(steps, ["event_id", "loc_no"]))
-    beam = steps.groupBy("event_id").agg(F.max("_pos").alias("_last")).select(
-        "event_id", "_last", F.lit(1).alias("_rank"), F.lit(0.0).alias("score"), F.array().cast(f"array<{kind}>").alias("picks"))
-    longest = steps.agg(F.max("_pos")).first()[0] or 0
-    top = W.partitionBy("event_id").orderBy(_rank_score(F.col("score")), "_parent", "_prox", "row_no")
-    for pos in range(1, longest + 1):
-        open_, done = beam.filter(F.col("_last") >= pos), beam.filter(F.col("_last") < pos)
-        grown = (open_.withColumnRenamed("_rank", "_parent").join(cands.filter(F.col("_pos") == pos), "event_id")
-                 .withColumn("score", F.col("score") + F.col("c.unary") + _sum(F.col("picks"), lambda p: pair_score(F.col("c"), p, s))))
-        kept = grown.withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= width)
-        kept = kept.select("event_id", "_last", "_rank", "score", F.concat("picks", F.array("c")).alias("picks"))
-        beam = kept.unionByName(done)
-        if pos % every == 0:
-            beam = written(beam)
-    return beam.filter(F.col("_rank") == 1).select("event_id", "score", "picks")
+            table = pa.Table.from_batches([batch])
+            before = 0 if carry is None else len(carry)
+            if carry is not None:
+                table = pa.concat_tables([carry, table])
+            table = table.combine_chunks()
+            every, loc, ids = _Rows(table, s), table["loc_no"].to_numpy(), table["event_id"]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.asarray(pc.not_equal(ids.slice(before + 1), ids.slice(before, batch.num_rows - 1))) | (loc[before + 1:] != loc[before:-1])
+            starts = np.append(np.flatnonzero(new), batch.num_rows) + before
+            done: list[tuple] = []
+
+            def finish() -> None:
+                search.close()
+                done.append((event, float(search.score[0]), search.picks[0]))
+
+            for a, b, own in zip(starts[:-1], starts[1:], ids.take(pa.array(starts[:-1])).to_pylist()):
+                if own != event:
+                    if search is not None:
+                        finish()
+                    search, event, mention = _Search(width), own, loc[a]
+                elif loc[a] != mention:
+                    search.close()
+                    mention = loc[a]
+                search.offer(every, np.arange(a, b))
+            if done:
+                yield _told(table, done, fields)
+            held = search.held()
+            search.moved(held)
+            carry = table.take(pa.array(held))
+        if search is not None:
+            search.close()
+            yield _told(carry.combine_chunks(), [(event, float(search.score[0]), search.picks[0])], fields)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _told(table: pa.Table, done: list[tuple], fields: list[str]) -> pa.RecordBatch:
+    flat, ends = pa.array(np.concatenate([d[2] for d in done])), np.concatenate([[0], np.cumsum([len(d[2]) for d in done])])
+    items = pa.StructArray.from_arrays([table[c].take(flat).combine_chunks() for c in fields], fields)
+    return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], table["event_id"].type), pa.array([d[1] for d in done], pa.float64()),
+                                       pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["event_id", "score", "picks"])
 
 
 def choose_places(candidates: DataFrame, params: Params = Params()) -> DataFrame:
@@ -265,11 +296,6 @@ def choose_places(candidates: DataFrame, params: Params = Params()) -> DataFrame
     return _batched_beam(_ordered(candidates), params.beam_width, params.scoring)
 
 
-def choose_places_by_rows(candidates: DataFrame, params: Params = Params()) -> DataFrame:
-    """The same with the partial assignments as rows: for events that no task can hold."""
-    return _spread_beam(written(_ordered(candidates), "candidates"), params.beam_width, params.scoring)
-
-
 # ---------------------------------------------------------------- diagnostics
 
 
@@ -345,14 +371,17 @@ def diagnostics(chosen: DataFrame, params: Params = Params()) -> DataFrame:
 def assignments(chosen: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per resolved mention with its place and confidence."""
     pairs = F.arrays_zip(F.col("picks").alias("p"), confidences(F.col("picks"), params.scoring).alias("c"))
+    named = ["x.p.name"] if "name" in chosen.schema["picks"].dataType.elementType.names else []
     return chosen.select("event_id", F.explode(pairs).alias("x")).select(
-        "event_id", "x.p.loc_no", "x.p.cid", "x.p.row_no", "x.p.lat", "x.p.lon", "x.p.region", "x.p.grp", F.col("x.c").alias("confidence"))
+        "event_id", "x.p.loc_no", "x.p.cid", "x.p.row_no", "x.p.lat", "x.p.lon", "x.p.region", "x.p.grp", *named, F.col("x.c").alias("confidence"))
 
 
 def write_back(mentions: DataFrame, chosen: DataFrame, locales: DataFrame, params: Params = Params()) -> DataFrame:
     """Every mention with its final place; those without candidates stay unresolved."""
-    names = locales.select("row_no", "name")
-    final = assignments(chosen, params).join(names, "row_no").select(
+    final = assignments(chosen, params)
+    if "name" not in final.columns:
+        final = final.join(locales.select("row_no", "name"), "row_no")
+    final = final.select(
         "event_id", "loc_no", F.col("cid").alias("final_cid"), F.col("name").alias("final_name"), F.col("lat").alias("final_lat"),
         F.col("lon").alias("final_lon"), F.col("region").alias("final_region"), F.col("grp").alias("final_group"),
         F.col("confidence").alias("final_confidence"))

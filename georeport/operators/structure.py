@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from georeport.functions.keys import WS, strip
 from georeport.functions.labels import action_kind, action_label, action_text
-from georeport.operators.common import let
-from georeport.operators.tagging import CONTEXT_LABELS, sentences
+from georeport.operators.common import let, written
+from georeport.operators.tagging import CONTEXT_LABELS, sentences, word_table
 from georeport.params import Params
 
 # Fixed value: a bullet or hash marks, then a capital letter.
@@ -136,39 +136,96 @@ def scope_contexts(spans: Column) -> Column:
     return let(locs, build)
 
 
+def _event(own: Column, secs: Column, event_id: Column, label: Column, text: Column, trigger: Column, start: Column, stop: Column,
+           first_char: Column, negated: Column, uncertain: Column, coreference: Column, similarity: Column) -> Column:
+    """An event with its spans ``own``, that is those inside its token range."""
+    actor = F.get(F.filter(own, lambda s: s["label"] == "GROUP"), F.lit(0))["surface"]
+    return F.struct(
+        event_id.alias("event_id"), label.alias("label"), text.alias("text"), section_of(first_char, secs).alias("section_id"),
+        F.when(actor.isNotNull(), "group").alias("actor_kind"), actor.alias("actor_text"),
+        action_kind(trigger).alias("action_kind"), action_label(trigger).alias("action_label"), action_text(trigger).alias("action_text"),
+        start.cast("int").alias("s_ts"), stop.cast("int").alias("s_te"), first_char.cast("int").alias("s_cs"),
+        negated.alias("negated"), uncertain.alias("uncertain"), coreference.alias("coreference"), similarity.alias("similarity"),
+        F.filter(own, lambda s: s["label"] == "LOCALE").alias("locations"), scope_contexts(own).alias("contexts"))
+
+
+def _sections(text: Column, spans: Column, params: Params) -> Column:
+    """Sections of a post with their contexts."""
+    return let(section_array(text, spans, params), lambda secs: F.transform(secs, lambda s: F.struct(
+        s["section_id"].alias("section_id"), s["text"].alias("text"), s["cs"].alias("cs"), s["ce"].alias("ce"),
+        section_contexts(s, spans, params).alias("contexts"))))
+
+
+def _inside(spans: Column, start: Column, stop: Column) -> Column:
+    return F.filter(spans, lambda s: (s["ts"] >= start) & (s["te"] <= stop))
+
+
 def analyse(gathered: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per post with arrays of sections, contexts and events.
 
     Events are numbered from 0 in the order of their sentence and trigger.
     """
     spans, text, hits = F.col("spans"), F.col("text"), F.col("hits")
+    no = F.lit(False)
 
     def event(texts: Column, secs: Column, h: Column, i: Column) -> Column:
-        inside = F.filter(spans, lambda s: (s["ts"] >= h["s_ts"]) & (s["te"] <= h["s_te"]))
-
-        def fields(own: Column) -> Column:
-            actor = F.get(F.filter(own, lambda s: s["label"] == "GROUP"), F.lit(0))["surface"]
-            return F.struct(
-                F.concat(F.col("post_id").cast("string"), F.lit(":"), i.cast("string")).alias("event_id"),
-                h["label"].alias("label"), F.get(texts, h["sn"]).alias("text"), section_of(h["s_cs"], secs).alias("section_id"),
-                F.when(actor.isNotNull(), "group").alias("actor_kind"), actor.alias("actor_text"),
-                action_kind(h["trigger"]).alias("action_kind"), action_label(h["trigger"]).alias("action_label"),
-                action_text(h["trigger"]).alias("action_text"),
-                h["s_ts"].alias("s_ts"), h["s_te"].alias("s_te"), h["s_cs"].alias("s_cs"),
-                F.filter(own, lambda s: s["label"] == "LOCALE").alias("locations"),
-                scope_contexts(own).alias("contexts"))
-
-        return let(inside, fields)
-
-    sections = let(section_array(text, spans, params), lambda secs: F.transform(secs, lambda s: F.struct(
-        s["section_id"].alias("section_id"), s["text"].alias("text"), s["cs"].alias("cs"), s["ce"].alias("ce"),
-        section_contexts(s, spans, params).alias("contexts"))))
-    events = let(F.struct(sentences(text, params.abbreviations).alias("t"), sections.alias("s")), lambda b: F.struct(
+        number = F.concat(F.col("post_id").cast("string"), F.lit(":"), i.cast("string"))
+        return let(_inside(spans, h["s_ts"], h["s_te"]), lambda own: _event(
+            own, secs, number, h["label"], F.get(texts, h["sn"]), h["trigger"], h["s_ts"], h["s_te"], h["s_cs"], no, no, no, F.lit(1.0)))
+
+    events = let(F.struct(sentences(text, params.abbreviations).alias("t"), _sections(text, spans, params).alias("s")), lambda b: F.struct(
         b["s"].alias("sections"), F.transform(hits, lambda h, i: event(b["t"], b["s"], h, i)).alias("events")))
     return gathered.select("post_id", "text", post_contexts(spans, params).alias("contexts"), events.alias("b")).select(
         "post_id", "text", "contexts", "b.sections", "b.events")
 
 
+def token_chars(text: Column, words: Column, token: Column) -> Column:
+    """First and last char (exclusive) of a token of a text with the words ``words``; visible characters between words are tokens, too.
+
+    A token before the text is its first one, one behind it is empty and at its end.
+    """
+    def found(v: Column) -> Column:
+        last = F.get(v["ws"], F.size(F.filter(v["ws"], lambda w: w["ts"] <= v["t"])) - 1)
+        return let(last, lambda w: F.when(w["ts"] == v["t"], F.struct(w["cs"].alias("cs"), w["ce"].alias("ce"))).otherwise(mark(v, w)))
+
+    def mark(v: Column, w: Column) -> Column:
+        start = F.coalesce(w["ce"], F.lit(0))
+        stop = F.coalesce(F.array_min(F.transform(F.filter(v["ws"], lambda x: x["cs"] >= start), lambda x: x["cs"])), F.length(text))
+        gap = F.when(stop > start, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
+        seen = F.filter(gap, lambda i: F.substring(text, i + 1, F.lit(1)).rlike(r"\S"))
+        at = F.get(seen, (v["t"] - F.coalesce(w["ts"], F.lit(-1)) - 1).cast("int"))
+        return F.struct(F.coalesce(at, F.length(text)).alias("cs"), F.coalesce(at + 1, F.length(text)).alias("ce"))
+
+    return let(F.struct(words.alias("ws"), F.greatest(token, F.lit(0)).alias("t")), found)
+
+
+def analyse_matches(gathered: DataFrame, matches: DataFrame, params: Params = Params()) -> DataFrame:
+    """As ``analyse``, with the matches of another extractor as events (see ``records.match_events``).
+
+    One row per post with its sections and contexts, and one row per match that holds its event: a post's matches are not
+    gathered, so a post may have any number. A match's range counts in the tokens of ``word_table``. Its text is its
+    sentence, or else the text of its range. Matches of unknown posts are left out.
+    """
+    spans, text = F.col("spans"), F.col("text")
+    places = F.transform(word_table(text, params.abbreviations), lambda w: F.struct(w["ts"].alias("ts"), w["cs"].alias("cs"), w["ce"].alias("ce")))
+    posts = written(gathered.select("post_id", "text", "spans", post_contexts(spans, params).alias("contexts"), _sections(text, spans, params).alias("sections"),
+                                    places.alias("words")), "posts")
+    m = matches.select(F.col("post_id").alias("_post"), "event_id", "label", "phrase", "sentence", "similarity", "negated", "uncertain", "coreference", "s_ts", "s_te")
+    rows = posts.join(m, posts["post_id"].cast("string") == m["_post"])
+    first, last = token_chars(text, F.col("words"), F.col("s_ts")), token_chars(text, F.col("words"), F.col("s_te") - 1)
+    rows = rows.withColumn("_first", first["cs"]).withColumn("_last", last["ce"])
+    own_text = F.when(F.col("s_te") > F.col("s_ts"), F.substring(text, F.col("_first") + 1, F.greatest(F.col("_last") - F.col("_first"), F.lit(0)))).otherwise("")
+    event = let(_inside(spans, F.col("s_ts"), F.col("s_te")), lambda own: _event(
+        own, F.col("sections"), F.col("event_id"), F.col("label"), F.when(F.col("sentence") != "", F.col("sentence")).otherwise(own_text), F.col("phrase"),
+        F.col("s_ts"), F.col("s_te"), F.col("_first"), F.col("negated"), F.col("uncertain"), F.col("coreference"), F.col("similarity")))
+    kinds = {f.name: f.dataType for f in posts.schema.fields}
+    none = [F.array().cast(kinds[c]).alias(c) for c in ("contexts", "sections")]
+    # In a step of its own: beside the empty columns its names would mean these.
+    events = rows.select("post_id", F.array(event).alias("events")).select("post_id", F.lit(None).cast("string").alias("text"), *none, "events")
+    empty = F.array().cast(events.schema["events"].dataType).alias("events")
+    return posts.select("post_id", "text", "contexts", "sections", empty).unionByName(events)
+
+
 def sections_of(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", F.posexplode("sections").alias("section_no", "s")).select(
         "post_id", "section_no", "s.section_id", "s.text", "s.cs", "s.ce")
@@ -178,7 +235,7 @@ def events_of(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", F.explode("events").alias("e")).select(
         "post_id", "e.event_id", "e.section_id", "e.label", "e.text", "e.actor_kind", "e.actor_text",
         "e.action_kind", "e.action_label", "e.action_text", "e.s_ts", "e.s_te", "e.s_cs",
-        F.lit(False).alias("negated"), F.lit(False).alias("uncertain"))
+        "e.negated", "e.uncertain", "e.coreference", "e.similarity")
 
 
 def mentions_of(posts: DataFrame) -> DataFrame:

@@ -93,12 +93,9 @@ def word_table(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Co
     return let(summed, lambda v: F.transform(v["w"], lambda w, i: word(v, w, i)))
 
 
-def _run(ws: Column, i: Column, n: int) -> Column:
+def _run(text: Column, ws: Column, i: Column, n: Column | int) -> Column:
     """Text of ``n`` words from word ``i`` on."""
-    parts = [ws[i]["w"]]
-    for k in range(1, n):
-        parts += [ws[i + k]["g"], ws[i + k]["w"]]
-    return F.concat(*parts)
+    return F.substring(text, ws[i]["cs"] + 1, ws[i + n - 1]["ce"] - ws[i]["cs"])
 
 
 def _starts(ws: Column, n: int) -> Column:
@@ -106,89 +103,70 @@ def _starts(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(none)
 
 
-def _gram(space: str, key: Column, ws: Column, i: Column, n: int, first: Column | None = None,
-          last: Column | None = None) -> Column:
-    end = ws[i + n - 1]
-    first = first if first is not None else F.struct(F.lit(0).alias("ts"), F.lit(0).alias("cs"))
-    last = last if last is not None else F.struct(F.lit(0).alias("ts"))
-    return F.struct(
-        F.lit(space).alias("space"), key.alias("key"), F.lit(n).alias("n"), _run(ws, i, n).alias("surface"),
-        ws[i]["ts"].alias("ts"), (end["ts"] + 1).alias("te"), ws[i]["cs"].alias("cs"), end["ce"].alias("ce"),
-        ws[i]["ln"].alias("ln"), ws[i]["sn"].alias("sn"),
-        first["ts"].alias("s_ts"), (last["ts"] + 1).alias("s_te"), first["cs"].alias("s_cs"))
+def _places(space: str, at: Column, before: int, n: Column, after: int) -> Column:
+    """A run to be made: its first word, the name's first word and number of words, and all its words."""
+    return F.struct(F.lit(space).alias("space"), at.alias("i"), (at + before).alias("j"), n.cast("int").alias("n"), (n + before + after).cast("int").alias("all"))
 
 
-def _fitting(ws: Column, starts: Starts, space: str, at: Column, shift: int, n: int) -> Column:
-    """Those of the places ``at`` from which, ``shift`` words on, ``n`` words may be a name of the space."""
-    field = "ht" if space == "TRIGGER" else "h"
+def _gram(text: Column, ws: Column, heads: Column, p: Column) -> Column:
+    """The run with its key; triggers also have the token range of their sentence."""
+    first, end, name = ws[p["i"]], ws[p["i"] + p["all"] - 1], _run(text, ws, p["j"], p["n"])
+    trigger, none = p["space"] == "TRIGGER", F.lit(0)
+    stop = F.coalesce(F.get(heads, first["sn"] + 1), F.size(ws))
+    head = F.get(ws, F.get(heads, first["sn"]))
+    return F.struct(
+        p["space"].alias("space"), F.when(trigger, phrase_key(name)).otherwise(location_key(name)).alias("key"), p["all"].alias("n"),
+        _run(text, ws, p["i"], p["all"]).alias("surface"), first["ts"].alias("ts"), (end["ts"] + 1).alias("te"), first["cs"].alias("cs"), end["ce"].alias("ce"),
+        first["ln"].alias("ln"), first["sn"].alias("sn"), F.when(trigger, head["ts"]).otherwise(none).alias("s_ts"),
+        F.when(trigger, F.get(ws, stop - 1)["ts"] + 1).otherwise(none + 1).alias("s_te"), F.when(trigger, head["cs"]).otherwise(none).alias("s_cs"))
 
-    def fits(i: Column) -> Column:
-        lead = ws[i + shift][field]
-        counted = F.size(F.filter(F.slice(ws, i + shift + 1, n), lambda w: w[field] != F.expr(_NOTHING)))
-        return (i + shift + n <= F.size(ws)) & ((lead == F.expr(_NOTHING)) | starts.may(space, lead, counted))
 
-    return F.filter(at, fits)
+def _found(ws: Column, starts: Starts, space: str, at: Column, before: int, longest: int, after: int, ok) -> Column:
+    """Runs with a name of the space: ``before`` words, up to ``longest`` that may be a name, ``after`` words."""
+    field = "ht" if space == "TRIGGER" else "h"
 
+    def leads(i: Column) -> Column:
+        return (i + before < F.size(ws)) & ((ws[i + before][field] == F.expr(_NOTHING)) | starts.may(space, ws[i + before][field], F.lit(0)))
 
-def _leading(ws: Column, starts: Starts, space: str, at: Column, shift: int = 0) -> Column:
-    """Those of the places ``at`` whose word ``shift`` words on may begin a name of the space."""
-    field = "ht" if space == "TRIGGER" else "h"
-    return F.filter(at, lambda i: (i + shift < F.size(ws)) & ((ws[i + shift][field] == F.expr(_NOTHING)) | starts.may(space, ws[i + shift][field], F.lit(0))))
+    def fits(i: Column, n: Column) -> Column:
+        lead = ws[i + before][field]
+        counted = F.size(F.filter(F.slice(ws, i + before + 1, n), lambda w: w[field] != F.expr(_NOTHING)))
+        return (i + before + n + after <= F.size(ws)) & ((lead == F.expr(_NOTHING)) | starts.may(space, lead, counted)) & ok(i, n)
 
+    lengths = F.sequence(F.lit(1), F.lit(longest))
+    return F.flatten(F.transform(F.filter(at, leads), lambda i: F.transform(F.filter(lengths, lambda n: fits(i, n)), lambda n: _places(space, i, before, n, after))))
 
-def _names(ws: Column, starts: Starts, lengths: Sequence[int]) -> Column:
-    def grams(at: Column, n: int) -> Column:
-        def bare(i: Column) -> Column:
-            return (F.lower(ws[i]["w"]) != "the") & (F.lower(ws[i + n - 1]["w"]) != "the")
 
-        found = F.transform(F.filter(_fitting(ws, starts, "NAME", at, 0, n), bare), lambda i: _gram("NAME", location_key(_run(ws, i, n)), ws, i, n))
-        return F.filter(found, lambda g: g["key"] != "")
+def _names(ws: Column, starts: Starts, longest: int) -> Column:
+    def bare(i: Column, n: Column) -> Column:
+        return (F.lower(ws[i]["w"]) != "the") & (F.lower(ws[i + n - 1]["w"]) != "the")
 
-    return let(_leading(ws, starts, "NAME", _starts(ws, 1)), lambda at: F.concat(*(grams(at, n) for n in lengths)))
+    return _found(ws, starts, "NAME", _starts(ws, 1), 0, longest, 0, bare)
 
 
-def _shape(ws: Column, starts: Starts, label: str, before: Sequence[str], after: Sequence[str], lengths: Sequence[int]) -> Column:
+def _shape(ws: Column, starts: Starts, label: str, before: Sequence[str], after: Sequence[str], longest: int) -> Column:
     """Word runs ``before + name + after``; only the name is left as key."""
     b = len(before)
 
-    def tight(i: Column) -> Column:
-        return ~ws[i]["g"].rlike(r"\S")
-
     def opens(i: Column) -> Column:
         ok = F.lower(ws[i]["w"]) == before[0]
         for k, w in enumerate(before[1:], 1):
             ok = ok & (F.lower(F.get(ws, i + k)["w"]) == w) & ~F.get(ws, i + k)["g"].rlike(r"\S")
         return ok & ~F.get(ws, i + b)["g"].rlike(r"\S")
 
-    def grams(at: Column, n_name: int) -> Column:
-        n = b + n_name + len(after)
-
-        def closes(i: Column) -> Column:
-            ok = i + n <= F.size(ws)
-            for k, w in enumerate(after, b + n_name):
-                ok = ok & (F.lower(ws[i + k]["w"]) == w) & tight(i + k)
-            return ok
-
-        return F.transform(F.filter(_fitting(ws, starts, label, at, b, n_name), closes), lambda i: _gram(label, location_key(_run(ws, i + b, n_name)), ws, i, n))
+    def closes(i: Column, n: Column) -> Column:
+        ok = F.lit(True)
+        for k, w in enumerate(after, b):
+            ok = ok & (F.lower(ws[i + n + k]["w"]) == w) & ~ws[i + n + k]["g"].rlike(r"\S")
+        return ok
 
     opened = F.filter(_starts(ws, b + 1), opens) if before else _starts(ws, 1)
-    return let(_leading(ws, starts, label, opened, b), lambda at: F.concat(*(grams(at, n) for n in lengths)))
-
-
-def _trigger_grams(ws: Column, starts: Starts, lengths: Sequence[int]) -> Column:
-    """Word runs within a sentence, with the token range of that sentence."""
-    def grams(heads: Column, at: Column, n: int) -> Column:
-        inside = F.filter(_fitting(ws, starts, "TRIGGER", at, 0, n), lambda i: ws[i]["sn"] == ws[i + n - 1]["sn"])
-
-        def one(i: Column) -> Column:
-            stop = F.coalesce(F.get(heads, ws[i]["sn"] + 1), F.size(ws))
-            return _gram("TRIGGER", phrase_key(_run(ws, i, n)), ws, i, n, ws[heads[ws[i]["sn"]]], ws[stop - 1])
+    return _found(ws, starts, label, opened, b, longest, len(after), closes)
 
-        return F.transform(inside, one)
 
-    heads = F.filter(_starts(ws, 1), lambda i: (i == 0) | (F.get(ws, i - 1)["sn"] != ws[i]["sn"]))
-    return let(F.struct(heads.alias("heads"), _leading(ws, starts, "TRIGGER", _starts(ws, 1)).alias("at")),
-               lambda v: F.concat(*(grams(v["heads"], v["at"], n) for n in lengths)))
+def _triggers(ws: Column, starts: Starts, longest: int) -> Column:
+    """Word runs within a sentence."""
+    return _found(ws, starts, "TRIGGER", _starts(ws, 1), 0, longest, 0, lambda i, n: ws[i]["sn"] == ws[i + n - 1]["sn"])
 
 
 def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, directions: DataFrame,
@@ -213,7 +191,7 @@ def dictionary(locales: DataFrame, regions: DataFrame, groups: DataFrame, direct
     return out.groupBy("space", "key", "label").agg(F.max("words").alias("words"))
 
 
-_NO_GRAMS = ("array<struct<space:string,key:string,n:int,surface:string,ts:int,te:int,cs:int,ce:int,ln:int,sn:int,s_ts:int,s_te:int,s_cs:int>>")
+_NO_PLACES = "array<struct<space:string,i:int,j:int,n:int,all:int>>"
 
 
 def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbreviations: Sequence[str] = ABBREVIATIONS,
@@ -229,13 +207,16 @@ def match_words(posts: DataFrame, patterns: DataFrame, templates: Sequence, abbr
     starts = Starts(patterns)
 
     def grams(ws: Column) -> Column:
-        parts = [_names(ws, starts, range(1, lengths["NAME"] + 1))] if "NAME" in lengths else []
+        parts = [_names(ws, starts, lengths["NAME"])] if "NAME" in lengths else []
         for label, before, after in templates:
             if label in lengths:
-                parts.append(_shape(ws, starts, label, before, after, range(1, lengths[label] + 1)))
+                parts.append(_shape(ws, starts, label, before, after, lengths[label]))
         if "TRIGGER" in lengths:
-            parts.append(_trigger_grams(ws, starts, range(1, lengths["TRIGGER"] + 1)))
-        return F.concat(*parts) if parts else F.array().cast(_NO_GRAMS)
+            parts.append(_triggers(ws, starts, lengths["TRIGGER"]))
+        places = F.concat(*parts) if parts else F.array().cast(_NO_PLACES)
+        heads = F.filter(_starts(ws, 1), lambda i: (i == 0) | (F.get(ws, i - 1)["sn"] != ws[i]["sn"]))
+        runs = let(heads, lambda hs: F.transform(places, lambda p: _gram(F.col("text"), ws, hs, p)))
+        return F.filter(runs, lambda g: g["key"] != "")
 
     dealt = posts.repartition(partitions) if partitions else posts
     found = dealt.select("post_id", F.explode(let(word_table(F.col("text"), abbreviations), grams)).alias("g")).select("post_id", "g.*")

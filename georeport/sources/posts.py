@@ -42,3 +42,9 @@ def post_records(posts: DataFrame) -> DataFrame:
 
 def write_posts(posts: DataFrame, path: str) -> None:
     post_records(posts).write.mode("append").partitionBy("dt").json(path)
+
+
+def write_batch(posts: DataFrame, path: str, batch: str) -> None:
+    """Posts by day and batch. A batch that is written again replaces what it wrote before."""
+    rows = post_records(posts).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").json(path)

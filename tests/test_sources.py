@@ -73,8 +73,9 @@ def test_empty_event_export_has_a_header(spark, tmp_path):
 
 
 def test_kml_documents_are_whole(spark, tmp_path):
-    rows = spark.createDataFrame([(1, f"1:{i}", i, "A&<b>", 48.0, 31.0) for i in range(7)], "post_id long, event_id string, location_id int, resolved_name string, lat double, lon double")
-    review.write_kml(rows, str(tmp_path / "k"), per_document=3)
+    rows = spark.createDataFrame([(i % 3, f"{i % 3}:{i}", i, "A&<b>", 48.0, 31.0) for i in range(7)], "post_id long, event_id string, location_id int, resolved_name string, lat double, lon double")
+    review.write_kml(rows, str(tmp_path / "k"), by="post_id")
+    assert sorted(f.name for f in (tmp_path / "k").glob("doc=*")) == ["doc=0", "doc=1", "doc=2"]
     marks = 0
     for f in (tmp_path / "k").rglob("part-*"):
         lines = f.read_text().splitlines()
@@ -82,3 +83,46 @@ def test_kml_documents_are_whole(spark, tmp_path):
         marks += len(lines) - 2
         assert "A&amp;&lt;b&gt;" in lines[1]
     assert marks == 7
+
+
+def test_reviewed_tree_resolves_like_the_direct_path(spark, tmp_path):
+    """Written, read back and resolved: the same places; disabled nodes are not resolved, and what hangs on them is gone."""
+    from georeport.operators import scoring, tagging
+    from georeport.operators.spatial import line_segments
+    from georeport.params import Params
+    from georeport.plans import resolve
+    from georeport.plans.text import analyse_posts
+
+    place = "row_no long, cid long, name string, aliases array<string>, lat double, lon double, region string, grp string, qid string"
+    locales = spark.createDataFrame([(0, 10, "Kale", [], 48.0, 31.0, "Sumy Oblast", "East", "Q1"), (1, 11, "Kale", [], 50.0, 35.0, "Odesa Oblast", "East", "Q2"),
+                                     (2, 12, "Lyman", [], 48.1, 31.1, "Sumy Oblast", "East", None), (3, 13, "Lyman", [], 47.0, 33.0, None, None, None)], place)
+    region = "row_no int, name string, aliases array<string>, neighbors array<string>"
+    regions = spark.createDataFrame([(0, "Sumy Oblast", ["Sumy"], []), (1, "Odesa Oblast", ["Odesa"], [])], region)
+    groups = spark.createDataFrame([(0, "East", [], [], [])], "row_no int, name string, aliases array<string>, regions array<string>, neighbors array<string>")
+    directions = spark.createDataFrame([(0, "Lyman", [], 12)], "row_no int, name string, aliases array<string>, anchor_cid long")
+    triggers = spark.createDataFrame([("KINETIC_EVENT", "attack")], "label string, trigger string")
+    posts = spark.createDataFrame([(1, "Odesa Oblast. Troops attack Kale and Lyman."), (2, "- Heading one:\nEast attack Kale, Lyman (Sumy). More attack Kale towards Lyman."),
+                                   (3, "attack Lyman"), (4, "nothing")], "post_id long, text string")
+    segments = line_segments(spark.createDataFrame([(0, 0, 30.0, 47.0), (0, 1, 32.0, 49.0)], "line_no int, pt_no int, lon double, lat double"))
+    gaz = resolve.Gazetteer(locales, regions, groups, directions)
+    t = analyse_posts(posts, tagging.dictionary(locales, regions, groups, directions, triggers))
+    mentions, chosen = resolve.resolve_mentions(t.mentions, t.events, t.contexts, gaz, segments)
+    ctx = resolve.event_contexts(t.events, t.contexts, gaz)
+    offered = resolve.context.narrow_candidates(t.mentions, ctx, locales, Params())
+    events = t.events.withColumn("enabled", t.events["event_id"] != "2:1")
+    trees = review.build_trees(posts.selectExpr("*", "post_id <> 3 as enabled"), t.sections, events, mentions, t.contexts, offered, scoring.diagnostics(chosen))
+    review.write_trees(trees, str(tmp_path / "trees"))
+    back = review.reviewed_tables(review.read_trees(spark, str(tmp_path / "trees")))
+    again, _ = resolve.resolve_mentions(back.mentions, back.events, back.contexts, gaz, segments)
+
+    def found(df):
+        return {(r.event_id, r.loc_no, r.text, r.final_cid, round(r.final_confidence or 0, 9)) for r in df.collect()}
+
+    kept = {x for x in found(mentions) if x[0] != "2:1" and x[0][0] != "3"}
+    assert kept and found(again) == kept and found(mentions) != kept
+    told = {(r.event_id, r.loc_no, r.cid, r.name) for r in back.candidates.collect()}
+    assert told == {(r.event_id, r.loc_no, r.cid, r.name) for r in offered.collect() if r.event_id != "2:1" and r.event_id[0] != "3"}
+    diag = {r.event_id: r.diagnostics.bbox_km for r in back.events.collect()}
+    assert diag == {r.event_id: r.bbox_km for r in scoring.diagnostics(chosen).collect() if r.event_id in diag}
+    assert back.contexts.filter("post_id = '3' or event_id = '2:1'").count() == 0
+    assert {r.level for r in back.contexts.collect()} == {"post", "section", "event", "location"}

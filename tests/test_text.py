@@ -106,3 +106,85 @@ def test_posts_of_two_channels_stay_apart(spark, patterns):
     assert found == [("s/a/7", "s/a/7:0", "Kale"), ("s/b/7", "s/b/7:0", "Lyman"), ("s/b/7", "s/b/7:1", "Kale")]
     with pytest.raises(ValueError, match="more than once"):
         keyed_posts(posts.union(posts))
+
+
+def test_names_of_many_words_and_odd_first_words(spark):
+    """First words with apostrophes, dashes and "the" inside; names of 15 words; words that vanish from a key."""
+    long = " ".join(f"part{i}" for i in range(15))
+    locales = spark.createDataFrame([(long, [], 0), ("Netherlands", ["O'Brien Town"], 1), ("Foo the Bar", [], 2), ("’ Quoted", ["x-y z"], 3)], ENT)
+    none = locales.limit(0)
+    patterns = tagging.dictionary(locales, none, none, none)
+
+    def found(text):
+        return _spans(spark, patterns, text)
+
+    assert found(f"In {long.upper()} and part0 part1") == [("LOCALE", long.upper())]
+    assert found("the NETHERLANDS, nerlands, O’brien   town OBRIEN TOWN") == [("LOCALE", x) for x in ("NETHERLANDS", "nerlands", "O’brien   town", "OBRIEN TOWN")]
+    assert found("foo bar foo the bar the foo-bar") == [("LOCALE", x) for x in ("foo bar", "foo the bar", "foo-bar")]
+    assert found("quoted X–Y Z x y z xy z ' quoted") == [("LOCALE", x) for x in ("quoted", "X–Y Z", "x y z")] + found("' quoted")
+
+
+def test_every_default_shape(spark, patterns):
+    for text, label in (("in the direction of Rivne", "DIRECTION"), ("towards Rivne", "DIRECTION"), ("Rivne direction", "DIRECTION"), ("Rivne axis", "DIRECTION"),
+                        ("Rivne sector", "DIRECTION"), ("the Rivne line", "DIRECTION"), ("near North Lyman", "PROXIMITY")):
+        assert _spans(spark, patterns, f"Xx {text} yy.") == [(label, text)]
+
+
+def test_starts_never_miss(spark):
+    """Every name of a large dictionary is found, whatever the size of the bit map."""
+    names = [f"w{i} v{i % 7}" if i % 3 else f"w{i}" for i in range(3000)]
+    locales = spark.createDataFrame([(n, [], i) for i, n in enumerate(names)], ENT)
+    none = locales.limit(0)
+    patterns = tagging.dictionary(locales, none, none, none)
+    posts = spark.createDataFrame([(i, f"{n}, zz") for i, n in enumerate(names)], "post_id int, text string")
+    small = tagging.MAP_BITS
+    try:
+        for bits in (small, 1 << 8):
+            tagging.MAP_BITS = bits
+            got = {(r.post_id, r.surface) for r in tagging.tag_spans(posts, patterns, ()).collect()}
+            assert got == set(enumerate(names))
+    finally:
+        tagging.MAP_BITS = small
+
+
+def test_long_run_of_touching_spans(spark):
+    """20,000 spans of which each overlaps the next ones: longest first, then leftmost."""
+    rows = [(1, "LOCALE", i, i + (5 if i % 11 == 0 else 3), 0, 0, 0, "s", "k") for i in range(20_000)] + [(2, "GROUP", 0, 1, 0, 0, 0, "s", "k"), (2, "LOCALE", 0, 1, 0, 0, 0, "s", "k")]
+    hits = spark.createDataFrame(rows, "post_id int, label string, ts int, te int, cs int, ce int, ln int, surface string, key string")
+    got = tagging.choose_spans(hits).collect()
+    taken, want = set(), []
+    for _, ts, te in sorted((r[2] - r[3], r[2], r[3]) for r in rows[:20_000]):
+        if not taken & set(range(ts, te)):
+            taken |= set(range(ts, te))
+            want.append((ts, te))
+    assert sorted((r.ts, r.te) for r in got if r.post_id == 1) == sorted(want)
+    assert [r.label for r in got if r.post_id == 2] == ["LOCALE"]
+
+
+def test_events_from_match_records(spark, patterns):
+    import json
+
+    from georeport.plans.text import analyse_records
+    text = "(Note) Troops shelled Kale, Lyman (Sumy). Then\n- Second Heading:\nGroup East moved near Lyman!"
+    posts = spark.createDataFrame([(7, text), (8, "")], "post_id int, text string")
+
+    def word(first, last, **more):
+        return {"document_token_index": last, "first_document_token_index": first, **more}
+
+    records = [{"document": "7", "search_phrase_label": "K", "search_phrase_text": " Shelling ", "negated": True, "overall_similarity_measure": 0.9, "word_matches": [word(3, 11)]},
+               {"document_label": "7", "search_phrase_label": "M", "word_matches": [word(17, 22)], "sentences_within_document": "own words", "uncertain": 1, "involves_coreference": True},
+               {"document_name": "7", "overall_similarity_measure": 0.1, "word_matches": [word(0, 1)]},
+               {"document": "7", "word_matches": []}, {"document": "8", "word_matches": [word(4, 5)]}, {"document": "unknown", "word_matches": [word(0, 1)]}]
+    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "match_no long, value string")
+    t = analyse_records(posts, patterns, lines, Params(min_similarity=0.5))
+    events = {r.event_id: r for r in t.events.collect()}
+    assert set(events) == {"7:0", "7:1", "7:3", "8:0"}
+    one, two, bare = events["7:0"], events["7:1"], events["7:3"]
+    assert (one.text, one.action_kind, one.action_label, one.negated, one.uncertain, one.similarity) == ("Troops shelled Kale, Lyman (Sumy).", "shelling", "artillery_shelling", True, False, 0.9)
+    assert (one.s_ts, one.s_te, one.s_cs) == (3, 12, 7) and one.section_id == "S0"
+    assert (two.text, two.actor_text, two.uncertain, two.coreference, two.similarity) == ("own words", "Group East", True, True, 1.0) and two.section_id != "S0"
+    assert (bare.text, bare.action_kind, bare.s_cs) == ("", None, 0) and events["8:0"].text == ""
+    assert [r.text for r in t.mentions.filter("event_id = '7:0'").orderBy("loc_no").collect()] == ["Kale", "Lyman"]
+    scoped = {(r.event_id, r.level, r.loc_no, r.kind) for r in t.contexts.filter("event_id is not null").collect()}
+    assert {("7:0", "location", 0, "region"), ("7:0", "location", 1, "region"), ("7:1", "event", None, "group")} <= scoped
+    assert t.sections.filter("post_id = 7").count() > 1 and t.contexts.filter("level = 'post'").count() > 0
