@@ -5,8 +5,11 @@ scatters shingles over a ring; coordinate k is the least value of the second per
 from slices of one table. Bands of the signature make buckets.
 
 Documents with equal sets are one class before banding, so groups of exact copies of any size cost one member. In
-a bucket every class is compared with the smallest one. Where a bucket still holds several classes after that, a join on the rarest
-shingles of its documents finds the links among them without trying all pairs. A link at the threshold is missed with a chance of
+a bucket every class is compared with the smallest one. Where a bucket still holds several classes after that, each of its documents meets a few of
+the bucket's most central members of another class (those in the largest buckets, so the least changed copies of a text), more of them in
+every round; one link is enough to join a class, so large groups of copies collapse with a bounded number of comparisons per
+document. What is apart even then is left to a join on the rarest shingles, which leaves out no pair that can be linked; a copy that no central
+one is linked with has many shingles of its own, which come first there. A link at the threshold is missed with a chance of
 ``(1 - t ** rows) ** bands``, 2e-8 at the defaults for t = 0.8; every candidate is confirmed on full sets. No cap.
 
 Null, empty and blank texts have empty sets and are linked with nothing. Fewer words than ``width``: the whole sequence is one
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from georeport.llm import textops as T
 from georeport.operators.common import written
@@ -145,8 +149,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes (head, label) with different labels that may reach the threshold; leaves none of them out.
 
     Shingles of a set are ordered from rare to frequent among the nodes. Two sets that share enough must share one
-    near the front of both, as too few are left behind it otherwise. A document's own shingles come
-    first, so a heavily changed copy meets few others, however large its group is.
+    near the front of both, as too few are left behind it otherwise. A document's own shingles come first.
     """
     each = sets.join(nodes.select(F.col("head").alias("id"), "label"), "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
@@ -187,6 +190,42 @@ def classes(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+#: Central members that a document meets in each round.
+ROUNDS = (4, 8, 16)
+
+
+def _named(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several classes, with their class."""
+    rows = written(shared.join(found, shared["head"] == found["id"], "left").select("key", "head", F.coalesce("label", "head").alias("label")), "named")
+    apart = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return written(rows.join(apart, "key"), "apart")
+
+
+def central_pairs(apart: DataFrame, sizes: DataFrame, weight: DataFrame, most: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a document b and the ``most`` most central members of one of its buckets that are of another class."""
+    ranked = apart.join(weight, "head").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "head"))).where(F.col("rank") <= most)
+    centres = ranked.select("key", F.col("head").alias("a"), F.col("label").alias("other"))
+    # The largest bucket of a document first, then others.
+    order = F.struct("n", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
+    asked = apart.join(sizes, "key").groupBy("head", "label").agg(F.max(order).alias("o")).select(F.col("head").alias("b"), "label", F.col("o.key").alias("key"))
+    return asked.join(centres, "key").where("label <> other").select("a", "b").distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links, which are between few classes."""
+    name = found.select(F.col("id").alias("x"), "label")
+
+    def root(side: str) -> DataFrame:
+        return links.select(F.col(side).alias("x"), F.col("a").alias("_a"), F.col("b").alias("_b")).join(name, "x", "left").select("_a", "_b", F.coalesce("label", "x").alias(side))
+
+    edges = root("a").join(root("b"), ["_a", "_b"]).select("a", "b").where("a <> b").distinct()
+    roots = classes(edges).select(F.col("id").alias("label"), F.col("label").alias("root"))
+    known = found.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    # Documents that had no link before are their own classes.
+    new = roots.join(found.select(F.col("id").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("root").alias("label"))
+    return written(known.unionByName(new), "classes")
+
+
 def linked_classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id connected), kept."""
     sketched = written(sketches(docs, settings, doc_id, text), "sketches")
@@ -202,13 +241,18 @@ def linked_classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str
     links = written(confirmed(stars, sets, settings.percent), "links")
     found = classes(links)
     # What a bucket's centre did not connect: documents of buckets that hold several classes still.
-    label = F.coalesce("label", "head").alias("label")
-    named = written(shared.join(found, shared["head"] == found["id"], "left").select("key", "head", label), "named")
-    apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = written(named.join(apart, "key").select("head", "label").distinct(), "open")
+    sizes = written(shared.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    weight = written(shared.join(sizes, "key").groupBy("head").agg(F.sum("n").alias("weight")), "weights")
+    apart = _named(shared, found)
+    for turn, most in enumerate(ROUNDS):
+        pairs = written(central_pairs(apart, sizes, weight, most, turn), "pairs")
+        if not pairs.limit(1).count():
+            break
+        found = _merged(found, written(confirmed(pairs, sets, settings.percent), "links"))
+        apart = _named(shared, found)
+    open_ = written(apart.select("head", "label").distinct(), "open")
     rest = prefix_pairs(open_, sets, settings.percent)
-    more = written(confirmed(rest, sets, settings.percent), "more")
-    found = classes(links.union(more))
+    found = _merged(found, written(confirmed(rest, sets, settings.percent), "more"))
     # Every document's class is that of its head.
     final = heads.select(*same, "head").join(found, F.col("head") == F.col("id"), "left").select(*same, F.coalesce("label", "head").alias("component_id"))
     alone = sketched.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -196,3 +196,38 @@ def test_keep_is_checked(spark):
         suffixes.removed(frame(spark, [(1, "a")]), 5, "last")
 
 
+
+
+def changed_copies(n, seed, words=400):
+    """Copies of one text with 4 to 6 changed words each: many pairs are just below the threshold, none is equal to the text."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for at in rnd.sample(range(words), rnd.choice([4, 5, 6])):
+            text[at] = f"x{i}n{at}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_changed_copies_meet_in_proportion(spark, monkeypatch):
+    """Twice the copies make two to three times the compared pairs, not four, and the classes are those of all pairs."""
+    plain, met = near.confirmed, []
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(near, "confirmed", counted)
+    totals = []
+    for n in (300, 600, 1200):
+        met.clear()
+        rows = changed_copies(n, 8)
+        got = {r["id"]: r["component_id"] for r in near.linked_classes(frame(spark, rows), near.Settings(width=5)).collect()}
+        totals.append(sum(met))
+        if n < 1200:
+            assert got == {i: x[1] for i, x in brute_classes(rows, 5, 80).items()}
+        else:
+            assert len(set(got.values())) == 1
+    assert totals[1] < 3 * totals[0] and totals[2] < 3 * totals[1] and totals[2] < 1200 * 1199 / 2 / 30
