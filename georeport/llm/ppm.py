@@ -5,9 +5,11 @@ every length up to ``order`` follows from one count over the whole training corp
 its longest context has not seen costs an escape (distinct successors / (all successors + distinct ones)), is tried in the next
 shorter context without the bytes excluded so far, and in the end among all bytes that are left, with equal chances.
 
-The trie grows with the corpus, so nothing whole is sent around. It lies in the shared folder in shards, cut by the two bytes nearest to the
-predicted one: everything that a prediction asks of contexts of two bytes or more is in one shard. A scoring task reads one shard
-at a time, whose size is bounded. Contexts of one and no byte are a table of 256 x 256 counts.
+The trie grows with the corpus, so nothing whole is sent around. Scoring tasks read the most frequent runs and words (a bounded table), which are
+most of any text; the rest of a text's runs and words are rows that meet the whole tables in a shuffled join, and as all of them are rare, no key is hot for
+being common. Runs that training has not seen go through the trie in shards, cut by the two bytes nearest to the predicted one: everything that a
+prediction asks of contexts of two bytes or more is in one shard, whose size is bounded; each distinct run is worked out once. Contexts
+of one and no byte are a table of 256 x 256 counts.
 
 ``train`` counts, ``scores`` gives each document's pretrained log probability and a word-unigram one, ``adaptive_bits`` the code length of
 each document by a model that starts empty and learns from that document alone.
@@ -29,6 +31,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from georeport.llm import textops as T
 from georeport.operators.common import scratch_path, written
@@ -41,27 +44,33 @@ _GRAMS, _WORDS, _TEXTS = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """``order``: bytes of context, 2 to 6. ``shard``: entries of a shard of the trie or of the word table; a shard of the trie is larger only
-    if one pair of bytes has more, which 256 ** (order - 1) bounds."""
+    """``order``: bytes of context, 2 to 6. ``hot``: entries at most of the tables that scoring tasks hold. ``shard``: entries of a shard of the trie;
+    one is larger only if one pair of bytes has more, which 256 ** (order - 1) bounds."""
 
     order: int = 4
+    hot: int = 1_000_000
     shard: int = 4_000_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the shards lie, which pair of bytes is in which, contexts of one byte, and the unigram totals."""
+    """Tables of runs (key, n, log_p, shard) and words (key, n), folders of their frequent part, contexts of one byte, and the unigram totals."""
 
     settings: Settings
-    path: str
-    shard_of: np.ndarray
-    word_path: str
-    word_shards: int
+    runs: DataFrame
+    words: DataFrame
+    hot_runs: str
+    hot_words: str
+    shards: str
     one: np.ndarray
     texts: int
     tokens: int
     distinct: int
 
+    @property
+    def whole(self) -> int:
+        return self.tokens + self.distinct + 1
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that are not learned from: crc32 of the id as text leaves 2 when divided by 7. A null id is learned from."""
@@ -149,33 +158,48 @@ def counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     return each.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _shard(shards: str, key: Column) -> Column:
+    """Shard of a run; ``shards`` lists that of each pair of bytes."""
+    return F.get(F.split(F.lit(shards), ",").cast("array<int>"), F.shiftright(key, 8).bitwiseAND(0xFFFF).cast("int"))
+
+
+def _hot(table: DataFrame, value: str, most: int, name: str) -> str:
+    """Folder with the entries from some power of two of occurrences on, at most ``most``."""
+    sizes = dict(table.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("k")).collect())
+    least, size = 64, 0
+    while least > 0 and size + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        size += sizes.get(least, 0)
+    path = scratch_path(table.sparkSession, name)
+    table.where(F.floor(F.log2("n")) >= least).select("key", F.col(value).cast("double").alias("value")).repartition(1).write.parquet(path)
+    return path
+
+
 def train(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
     """Learn from all rows. Only tables of at most 65,536 rows come to the driver."""
-    spark = docs.sparkSession
     found = written(counts(docs, settings.order, text), "counts")
-    grams, words = found.where(F.col("kind") == _GRAMS), found.where(F.col("kind") == _WORDS)
+    grams, words = found.where(F.col("kind") == _GRAMS), found.where(F.col("kind") == _WORDS).select("key", "n")
     pair = F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int")
     sizes = np.zeros(1 << 16, np.int64)
     for r in grams.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).collect():
         sizes[r["pair"]] = r["n"]
-    shard_of = np.zeros(1 << 16, np.int32)
-    shard, size = 0, 0
-    for i, n in enumerate(sizes.tolist()):
+    shard_of, shard, size = [], 0, 0
+    for n in sizes.tolist():
         if size and size + n > settings.shard:
             shard, size = shard + 1, 0
-        shard_of[i], size = shard, size + n
+        shard_of.append(shard)
+        size += n
     one = np.zeros((256, 256), np.int64)
     for r in grams.groupBy(F.col("key").bitwiseAND(0xFFFF).cast("int").alias("two")).agg(F.sum("n").alias("n")).collect():
         one[r["two"] >> 8, r["two"] & 255] = r["n"]
-    path, word_path = scratch_path(spark, "trie"), scratch_path(spark, "words")
-    starts = [int(np.searchsorted(shard_of, s)) for s in range(shard + 1)]
-    number = sum((F.when(pair >= s, 1).otherwise(0) for s in starts[1:]), F.lit(0)) if shard < 64 else F.element_at(F.array(*map(F.lit, shard_of.tolist())), pair + 1)
-    grams.select("key", "n", number.cast("int").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    # A context has at most 256 successors.
+    w = W.partitionBy(F.shiftright("key", 8))
+    shards = ",".join(map(str, shard_of))
+    runs = written(grams.select("key", "n", F.log10(F.col("n") / (F.sum("n").over(w) + F.count("*").over(w))).alias("log_p"), _shard(shards, F.col("key")).alias("shard")), "runs")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     texts = found.where(F.col("kind") == _TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    word_shards = total["v"] // settings.shard + 1
-    words.select("key", "n", F.pmod(F.col("key"), F.lit(word_shards)).cast("int").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(word_path)
-    return Model(settings, path, shard_of, word_path, word_shards, one, texts, total["n"] + texts, total["v"] + (texts > 0))
+    return Model(settings, runs, words, _hot(runs, "log_p", settings.hot, "hot-runs"), _hot(words, "n", settings.hot, "hot-words"), shards, one, texts,
+                 total["n"] + texts, total["v"] + (texts > 0))
 
 
 class Lookup:
@@ -274,73 +298,115 @@ class Trie:
         return out - np.where(todo, np.log10(np.maximum(left, 1)), 0.0)
 
 
-def _read(path: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    files, where = pafs.FileSystem.from_uri(f"{path}/shard={shard}") if ":" in path else (pafs.LocalFileSystem(), f"{path}/shard={shard}")
-    if files.get_file_info(where).type != pafs.FileType.Directory:
-        return np.zeros(0, _U), np.zeros(0)
-    got = pq.read_table(where, filesystem=files, columns=["key", "n"], partitioning=None)
-    return got["key"].to_numpy().view(_U), got["n"].to_numpy().astype(float)
-
-
-@lru_cache(maxsize=1)
-def _trie(path: str, shard: int, order: int, one: bytes) -> Trie:
-    return Trie(*_read(path, shard), order, np.frombuffer(one, np.int64).reshape(256, 256))
-
-
-@lru_cache(maxsize=1)
-def _words(path: str, shard: int) -> Lookup:
-    return Lookup(*_read(path, shard))
-
-
-def text_scores(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Log10 probability of each text."""
-    out, one = np.zeros(len(off) - 1), model.one.tobytes()
-    shards = int(model.shard_of.max()) + 1
-    for shard in range(shards):
-        trie = _trie(model.path, shard, model.settings.order, one)
-        for code, row in gram_chunks(buf, off, model.settings.order):
-            if shards > 1:
-                mine = model.shard_of[((code >> _U(8)) & _U(0xFFFF)).astype(np.int64)] == shard
-                code, row = code[mine], row[mine]
-            if len(row):
-                out += np.bincount(row, trie.log_p(code), len(out))
-    return out
-
-
-def unigram_scores(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, tokens that training has, and the log10 probability of each text by word counts; an end counts as a token."""
-    rows = len(off) - 1
-    whole = model.tokens + model.distinct + 1
-    n, known, score = np.ones(rows, np.int64), np.full(rows, int(model.texts > 0)), np.full(rows, math.log10((model.texts + 1) / whole))
-    for shard in range(model.word_shards):
-        table = _words(model.word_path, shard)
-        for words, first, a, b in word_table(buf, off):
-            row = np.repeat(np.arange(b - a), np.diff(first))
-            if model.word_shards > 1:
-                mine = np.mod(T.signed(words), model.word_shards) == shard
-                words, row = words[mine], row[mine]
-            c = np.nan_to_num(table.get(words))
-            n[a:b] += np.bincount(row, minlength=b - a)
-            known[a:b] += np.bincount(row[c > 0], minlength=b - a)
-            score[a:b] += np.bincount(row, np.log10((c + 1) / whole), b - a)
-    return n, known, score
+@lru_cache(maxsize=2)
+def _table(path: str) -> Lookup:
+    files, where = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+    got = pq.read_table(where, filesystem=files, columns=["key", "value"], partitioning=None)
+    return Lookup(got["key"].to_numpy().view(_U), got["value"].to_numpy())
+
+
+class Rest:
+    """Keys that a table does not have, per row, with how often each occurs."""
+
+    def __init__(self):
+        self.rows, self.keys, self.counts = [], [], []
+
+    def add(self, row: np.ndarray, keys: np.ndarray) -> None:
+        if len(keys):
+            order = np.lexsort((keys, row))
+            row, keys = row[order], keys[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])))
+            self.rows.append(row[first])
+            self.keys.append(keys[first])
+            self.counts.append(np.diff(np.append(first, len(keys))))
+
+    def lists(self, n: int) -> pa.Array:
+        row, keys, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.rows, self.keys, self.counts))
+        order = np.argsort(row, kind="stable")
+        items = pa.StructArray.from_arrays([pa.array(T.signed(keys.astype(_U)[order])), pa.array(counts[order].astype(np.int64))], ["key", "k"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32()), items)
+
+
+def _known(hot_runs: str, hot_words: str, order: int, whole: int, buf: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    """Of each text: words, those found, the sums over words and runs found, and the words and runs that are not."""
+    rows, runs, words = len(off) - 1, _table(hot_runs), _table(hot_words)
+    n, found, base, score, rest = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows), (Rest(), Rest())
+    for keys, first, a, b in word_table(buf, off):
+        row = np.repeat(np.arange(a, b), np.diff(first))
+        c = words.get(keys)
+        have = ~np.isnan(c)
+        n += np.bincount(row, minlength=rows)
+        found += np.bincount(row[have], minlength=rows)
+        base += np.bincount(row[have], np.log10((c[have] + 1) / whole), rows)
+        rest[0].add(row[~have], keys[~have])
+    for keys, row in gram_chunks(buf, off, order):
+        log_p = runs.get(keys)
+        have = ~np.isnan(log_p)
+        score += np.bincount(row[have], log_p[have], rows)
+        rest[1].add(row[~have], keys[~have])
+    return [pa.array(n), pa.array(found), pa.array(base), pa.array(score), *(r.lists(rows) for r in rest)]
+
+
+def unseen(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, log_p) of distinct runs that training has not seen, shard by shard of the trie."""
+    order, one = model.settings.order, model.one
+    asked = keys.select(_shard(model.shards, F.col("key")).alias("shard"), F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("n"))
+    both = model.runs.select("shard", F.lit(0).alias("kind"), "key", "n").unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, trie = None, [], None
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])))
+            for a, b in zip(cuts, np.append(cuts[1:], len(shard))):
+                key, n = batch.column(2).slice(a, b - a).to_numpy().view(_U), batch.column(3).slice(a, b - a).to_numpy()
+                if shard[a] != own:
+                    own, held, trie = shard[a], [], None
+                if kind[a] == 0:
+                    held.append((key, n.astype(float)))
+                    continue
+                if trie is None:
+                    parts = held or [(np.zeros(0, _U), np.zeros(0))]
+                    trie, held = Trie(*(np.concatenate(x) for x in zip(*parts)), order, one), []
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(trie.log_p(key))], ["key", "log_p"])
+
+    return both.mapInArrow(run, "key long, log_p double")
 
 
 def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score, score."""
+    """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score, score: tokens (an end counts as one), those that training has, all of
+    training, and log10 probabilities by word counts and by the trie."""
+    hot_runs, hot_words, order, whole = model.hot_runs, model.hot_words, model.settings.order, model.whole
+    names = [*keep, "__words", "__found", "__base", "__score", "__rest_words", "__rest_runs"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                buf, off = T.utf8(part.column(len(keep)))
-                n, known, base = unigram_scores(model, buf, off)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(text_scores(model, buf, off))],
-                    [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *_known(hot_runs, hot_words, order, whole, *T.utf8(part.column(len(keep))))], names)
 
     own = docs.select(*keep, docs[text].alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
+    rest = "array<struct<key:long,k:long>>"
+    part = own.mapInArrow(run, f"{kept}__words long, __found long, __base double, __score double, __rest_words {rest}, __rest_runs {rest}")
+    part = written(part.withColumn("__row", F.monotonically_increasing_id()), "partial")
+
+    def left(column: str) -> DataFrame:
+        return part.select("__row", F.explode(column).alias("x")).select("__row", "x.key", "x.k")
+
+    chance = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(whole)))
+    words = left("__rest_words").join(model.words, "key", "left").groupBy("__row").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("__more"), F.sum(F.col("k") * chance).alias("__more_base"))
+    runs = written(left("__rest_runs").join(model.runs.select("key", "log_p"), "key", "left"), "rare-runs")
+    new = unseen(runs.where("log_p is null").select("key").distinct(), model)
+    every = (runs.where("log_p is not null").select("__row", "k", "log_p")
+             .unionByName(runs.where("log_p is null").select("__row", "key", "k").join(new, "key").select("__row", "k", "log_p")))
+    runs = every.groupBy("__row").agg(F.sum(F.col("k") * F.col("log_p")).alias("__more_score"))
+    end, zero = math.log10((model.texts + 1) / whole), F.lit(0)
+    return part.join(words, "__row", "left").join(runs, "__row", "left").select(
+        *keep, (F.col("__words") + 1).alias("n_tokens"), (F.col("__found") + F.coalesce("__more", zero) + int(model.texts > 0)).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("__base") + F.coalesce("__more_base", F.lit(0.0)) + end).alias("base_score"),
+        (F.col("__score") + F.coalesce("__more_score", F.lit(0.0))).alias("score"))
 
 
 def adaptive_length(data: bytes, order: int) -> float:

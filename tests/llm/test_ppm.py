@@ -54,13 +54,13 @@ def is_held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("order, shard", [(4, 4_000_000), (2, 10), (3, 5), (6, 12)])
-def test_scores_equal_plain_code(spark, order, shard, monkeypatch):
+@pytest.mark.parametrize("order, hot, shard", [(4, 1_000_000, 4_000_000), (2, 30, 10), (3, 0, 5), (6, 12, 50)])
+def test_scores_equal_plain_code(spark, order, hot, shard, monkeypatch):
     monkeypatch.setattr(ppm, "CHUNK", 1 << 16)
     rows = corpus(order)
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(1)).withColumn("key", F.lit("clash"))
-    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))), ppm.Settings(order, shard))
-    assert (shard > 1000) == (model.word_shards == 1)
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))), ppm.Settings(order, hot, shard))
+    assert (shard > 1000) == (max(map(int, model.shards.split(","))) == 0)
     got = ppm.scores(docs, model, keep=("doc_id", "n")).collect()
     assert len(got) == len(rows)
     learned = [(t or "").encode() for i, t in rows if not is_held_out(i)]
@@ -82,7 +82,8 @@ def test_scores_equal_plain_code(spark, order, shard, monkeypatch):
 def test_chances_of_a_byte_sum_to_at_most_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in corpus(9) if t and len(t) < 1000], SCHEMA)
     model = ppm.train(docs, ppm.Settings(3))
-    trie = ppm._trie(model.path, 0, 3, model.one.tobytes())
+    keys, n = (np.array(x) for x in zip(*((r.key, r.n) for r in model.runs.collect())))
+    trie = ppm.Trie(keys.astype(np.uint64), n.astype(float), 3, model.one)
     for context in (b"the", b"zzz", b"\xfe\xfec", b"at "):
         codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256) if s != ppm.LEAD], np.uint64)
         assert 0.9 < (10 ** trie.log_p(codes)).sum() < 1 + 1e-9
