@@ -194,7 +194,8 @@ def _climbed(nodes: DataFrame, settings: Settings) -> list[DataFrame]:
 
 def manifest(leaves: DataFrame, settings: Settings = Settings()) -> Manifest:
     """Build the tree. ``leaves``: group, id, digest, changed (the digest of a changed row, else null)."""
-    own = written(placed(leaves, ["id", "digest"]), "leaves")
+    # Written first: a range sort reads its input twice, and rows are hashed once.
+    own = written(placed(written(leaves, "digests"), ["id", "digest"]), "leaves")
     levels = _climbed(own, settings)
     tops = levels[-1].select(F.lit("").alias("group"), F.col("group").alias("name"), "digest")
     groups = written(placed(tops, ["name"]), "groups")
