@@ -20,6 +20,7 @@ from georeport.operators.context import unique_places
 from georeport.operators.lookup import locale_index
 from georeport.operators.scoring import choose_places, unary_score
 from georeport.operators.spatial import closest_on_lines, line_segments
+from georeport.operators.spelling import Spelling
 from georeport.plans.resolve import Gazetteer, event_contexts
 
 VOCAB_SIZE = 460
@@ -284,14 +285,12 @@ class Fixtures:
         return self.locales.select("row_no", "qid", "cid", "lat", "lon", raw.alias("raw"), cyr2.alias("cyr"), cell.alias("cell"), n.alias("name"))
 
     @property
-    def name_rules(self) -> dict[str, str]:
-        w = self.words
-        return {w[r] + "ivka": f"{w[r]}ovo;{w[r]}grad" for r in range(61, 71)}
-
-    @property
-    def word_rules(self) -> dict[str, str]:
-        w = self.words
-        return {"stara": "staraya", **{w[r]: w[r] + "aya" for r in range(80, 121)}}
+    def rules(self) -> Spelling:
+        """Rules for whole names and for words, made of the vocabulary."""
+        v, w = self.vocab, F.col("w")
+        names = v.filter("r between 61 and 70").select(F.concat(w, F.lit("ivka")).alias("name"), F.concat(w, F.lit("ovo;"), w, F.lit("grad")).alias("variant"))
+        words = v.filter("r between 80 and 120").select(w.alias("word"), F.concat(w, F.lit("aya")).alias("variant"))
+        return Spelling(names, words.unionByName(v.filter("r = 1").select(F.lit("stara").alias("word"), F.lit("staraya").alias("variant"))))
 
     @property
     def channels(self) -> DataFrame:

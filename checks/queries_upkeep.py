@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.ctes import CTES, WS, cid, lockey, squeeze
 from checks.registry import query
 from georeport.functions import keys
-from georeport.operators import filters, upkeep
+from georeport.operators import filters, spelling, upkeep
 from georeport.operators.common import scratch_path
 from georeport.sources import gazetteer, geojson, records
 
@@ -86,7 +86,9 @@ def _(fx):
 
 @query("h08_exonym_variants", "SELECT row_no, exonym FROM fx_exonyms")
 def _(fx):
-    return fx.spellings.select("row_no", keys.exonym_variants("raw", fx.name_rules, fx.word_rules).alias("exonym"))
+    found = spelling.exonyms(fx.spellings.select(F.col("raw").alias("text")), fx.rules)
+    packed = F.array_join(F.when(F.size("whole") > 0, F.col("whole")).otherwise(F.col("spelled")), ";")
+    return fx.spellings.select("row_no", F.col("raw").alias("text")).join(found, "text").select("row_no", packed.alias("exonym"))
 
 
 @query("h09_packed_lists", f"SELECT row_no, array_to_string({split('cell')}, ';') AS packed, CAST(len({split('cell')}) AS INTEGER) AS n FROM fx_spellings")
@@ -224,7 +226,7 @@ def _names_file(fx):
                          field("name:ru", F.col("cyr")), field("name:en", _q(F.col("name"), " ; ", F.col("cyr"))),
                          _q('"aliases":["', F.upper(F.col("name")), '","', F.col("cyr"), '"]'))
     text = _q('{"type":"Feature","properties":{', fields, '},"geometry":null}')
-    return fx.lines(fx.spellings.orderBy("row_no").coalesce(1).select(text.alias("value")), "names")
+    return fx.lines(fx.spellings.orderBy("row_no").select(text.alias("value")), "names")
 
 
 CTES["fx_names"] = """SELECT qid, lang, trim(name) AS name, row_no, k, i FROM (
@@ -343,21 +345,23 @@ def _appended(add: str) -> str:
 def _(fx):
     places = fx.spellings.select("row_no", "qid", F.col("raw").alias("name"), F.col("cell").alias("aliases"))
     ru = fx.spellings.filter("row_no % 4 = 0").select("qid", F.col("cyr").alias("name_ru"), F.col("row_no").alias("ord"))
-    return upkeep.append_exonyms(places, ru, fx.name_rules, fx.word_rules).select("row_no", "aliases")
+    return upkeep.append_exonyms(places, ru, fx.rules).select("row_no", "aliases")
 
 
 CTES.update({
-    "fx_labels": "SELECT qid, arg_max(en, row_no) AS en, arg_max(uk, row_no) AS uk, arg_max(cyr, row_no) AS ru FROM (SELECT *, CASE WHEN row_no % 3 = 0 THEN '' WHEN row_no % 3 = 1 THEN name || ' (town)' ELSE name || ' new' END AS en, CASE WHEN row_no % 2 = 0 THEN name || 'ivska' ELSE '' END AS uk FROM fx_spellings WHERE row_no % 5 <> 0) WHERE qid <> '' GROUP BY qid",
+    "fx_labels": "SELECT qid, arg_max(en, row_no) AS en, arg_max(uk, row_no) AS uk, arg_max(cyr, row_no) AS ru FROM (SELECT *, CASE WHEN row_no % 3 = 0 THEN '' WHEN row_no % 3 = 1 THEN name || ' (town)' ELSE name || ' new' END AS en, CASE row_no % 4 WHEN 0 THEN name || 'ivska' WHEN 2 THEN upper(name) || 'ivka-stara' ELSE '' END AS uk FROM fx_spellings WHERE row_no % 5 <> 0) WHERE qid <> '' GROUP BY qid",
     "fx_k03": "SELECT s.row_no, s.qid, s.name, coalesce(l.en, '') AS en, coalesce(l.uk, '') AS uk, coalesce(l.ru, '') AS ru FROM fx_spellings s LEFT JOIN fx_labels l USING (qid)",
+    "fx_k03_uk": "SELECT row_no, lower(uk) AS norm FROM fx_k03",
+    "fx_k03_x1": CTES["fx_exonyms1"].replace("fx_exonyms0", "fx_k03_uk"),
     "fx_k03_add": f"""SELECT row_no, 0 AS g, 1 AS i, {altkey(latin('ru'))} AS a FROM fx_k03 WHERE ru <> ''
-        UNION ALL SELECT k.row_no, 1, 1, {altkey("replace(uk, 'ivska', 'ovskaya')")} FROM fx_k03 k WHERE uk <> ''""",
+        UNION ALL SELECT row_no, 1, 1, {altkey('x')} FROM fx_k03 JOIN fx_k03_x1 USING (row_no) WHERE uk <> ''""",
 })
 
 
 def _labels(fx):
     k = F.col("row_no")
     en = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat("name", F.lit(" (town)"))).otherwise(F.concat("name", F.lit(" new")))
-    return fx.spellings.filter("row_no % 5 <> 0 and qid <> ''").select("qid", en.alias("en"), F.when(k % 2 == 0, F.concat("name", F.lit("ivska"))).otherwise("").alias("uk"),
+    return fx.spellings.filter("row_no % 5 <> 0 and qid <> ''").select("qid", en.alias("en"), F.when(k % 4 == 0, F.concat("name", F.lit("ivska"))).when(k % 4 == 2, F.concat(F.upper("name"), F.lit("ivka-stara"))).otherwise("").alias("uk"),
                                                                        F.col("cyr").alias("ru"), k.alias("ord"))
 
 
@@ -371,7 +375,7 @@ def _(fx):
   array_to_string(list_concat(e.l, coalesce(adds, [])), ';') AS aliases FROM fx_existing e JOIN fx_k03 k USING (row_no) LEFT JOIN {_appended('fx_k03_add')} USING (row_no)""")
 def _(fx):
     places = fx.spellings.select("row_no", "qid", "name", F.col("cell").alias("aliases"))
-    return upkeep.enrich_from_labels(places, _labels(fx), {}, {}).select("row_no", "name", "replaced", "aliases")
+    return upkeep.enrich_from_labels(places, _labels(fx), fx.rules).select("row_no", "name", "replaced", "aliases")
 
 
 CTES.update({
@@ -393,7 +397,18 @@ CTES.update({
 def _(fx):
     places = fx.spellings.select("row_no", "qid", "name", F.col("cell").alias("aliases"))
     merged = geojson.merge_names(geojson.read_names(geojson.read_features(fx.spark, _names_file(fx), lines=True)))
-    return upkeep.rebuild_aliases(places, merged, fx.name_rules, fx.word_rules).select("row_no", "aliases")
+    return upkeep.rebuild_aliases(places, merged, fx.rules).select("row_no", "aliases")
+
+
+@query("k04b_alias_audit", f"""SELECT s.row_no, coalesce(s.qid, '') AS wikidata, trim(s.name) AS canonical_name, coalesce((SELECT array_to_string(names, ', ') FROM fx_merged m WHERE m.qid = s.qid AND m.lang = 'ru'), '') AS ru_names,
+  coalesce((SELECT array_to_string(names, ', ') FROM fx_merged m WHERE m.qid = s.qid AND m.lang = 'en'), '') AS en_names, f.aliases AS final_aliases
+  FROM fx_spellings s JOIN (SELECT row_no, string_agg(a, ';' ORDER BY a) AS aliases FROM (SELECT row_no, k, arg_min(a, (g, i, h)) AS a FROM (SELECT *, {altkey('a')} AS k FROM fx_k04_all
+  WHERE a <> '' AND NOT regexp_matches(a, '[\\x{{400}}-\\x{{4FF}}]')) WHERE k <> '' GROUP BY row_no, k) GROUP BY row_no) f USING (row_no)""")
+def _(fx):
+    places = fx.spellings.select("row_no", "qid", "name", F.col("cell").alias("aliases"))
+    merged = geojson.merge_names(geojson.read_names(geojson.read_features(fx.spark, _names_file(fx), lines=True)))
+    audit = upkeep.alias_audit(places, upkeep.rebuild_aliases(places, merged, fx.rules))
+    return audit.select("row_no", "wikidata", "canonical_name", "ru_names", "en_names", "final_aliases")
 
 
 def _direction_rows(fx):

@@ -141,30 +141,15 @@ def cyrillic_to_latin(c: Column | str) -> Column:
     return F.translate(s, "".join(one) + "ъьЪЬ", "".join(one.values()))
 
 
-def _mapped(rules: dict[str, str], key: Column) -> Column:
-    if not rules:
-        return F.lit(None).cast("string")
-    pairs = [F.lit(x) for kv in sorted(rules.items()) for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def exonym_variants(c: Column | str, names: dict[str, str], words: dict[str, str]) -> Column:
-    """Russian-style spelling of a romanized name, ``;``-separated when there are several.
-
-    ``names`` maps whole names, ``words`` single words; both are small rule tables
-    that the caller supplies.
-    """
-    norm = squeeze(F.translate(F.lower(strip(_col(c))), "’", "'"))
-    parts = F.split(norm, "[ -]", -1)
-    gaps = F.concat(F.regexp_extract_all(norm, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
-
-    def word(w: Column) -> Column:
-        ivka = w.rlike(r"[bcdfghjklmnpqrstvwxyzi]ivka\z")
-        ruled = (F.when(ivka, F.regexp_replace(w, r"ivka\z", "ovka"))
-                 .when(w.endswith("ivska"), F.regexp_replace(w, r"ivska\z", "ovskaya"))
-                 .when(w.endswith("ivske"), F.regexp_replace(w, r"ivske\z", "ovskoye"))
-                 .otherwise(w))
-        return F.coalesce(_mapped(words, w), ruled)
-
-    joined = F.array_join(F.zip_with(parts, gaps, lambda w, g: F.concat(word(w), g)), "")
-    return F.coalesce(_mapped(names, norm), joined)
+def exonym_key(c: Column | str) -> Column:
+    """The form in which spelling rules see a romanized name."""
+    return squeeze(F.translate(F.lower(strip(_col(c))), "’", "'"))
+
+
+def ruled_word(w: Column) -> Column:
+    """Russian-style spelling of a word by its ending."""
+    ivka = w.rlike(r"[bcdfghjklmnpqrstvwxyzi]ivka\z")
+    return (F.when(ivka, F.regexp_replace(w, r"ivka\z", "ovka"))
+            .when(w.endswith("ivska"), F.regexp_replace(w, r"ivska\z", "ovskaya"))
+            .when(w.endswith("ivske"), F.regexp_replace(w, r"ivske\z", "ovskoye"))
+            .otherwise(w))

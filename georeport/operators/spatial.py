@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,7 +24,8 @@ from georeport.functions.geo import (
 )
 from georeport.operators.common import written
 
-FINEST = 14
+# Grid levels in use: every second one, so a refinement cuts a cell in 16.
+FINEST, STEP = 14, 2
 SPHERE, PLANE = "sphere", "plane"
 _WIDTH = {SPHERE: 360.0, PLANE: 2 * MERCATOR_HALF_M}
 _PIECE_M = 20_000.0
@@ -59,8 +60,8 @@ def _around(cells: DataFrame, space: str, cx: str, cy: str, ring: int) -> DataFr
 
 
 def _level_for(space: str, reach: Column) -> Column:
-    """Finest level whose cells are at least ``reach`` wide."""
-    level = F.floor(F.log2(F.lit(_WIDTH[space]) / reach)).cast("int")
+    """Finest level in use whose cells are at least ``reach`` wide."""
+    level = (F.floor(F.log2(F.lit(_WIDTH[space]) / reach) / STEP) * STEP).cast("int")
     return F.greatest(F.lit(0), F.least(F.lit(FINEST), level))
 
 
@@ -113,10 +114,13 @@ def _apart(space: str) -> tuple[Column, Column]:
             F.least(F.lit(1.0), _hav(span["y"]) + low(p) * low(i) * _hav(F.least(span["x"], F.lit(180.0)))))
 
 
+def _levels() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(FINEST), F.lit(STEP))).alias("_l")
+
+
 def _grid(items: DataFrame, by: list[str], space: str) -> DataFrame:
     """Occupied cells of items at all levels, with counts and boxes."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("_l")
-    each = items.select(*by, "_fx", "_fy", *(f"_i{c}" for c in _BOX), levels)
+    each = items.select(*by, "_fx", "_fy", *(f"_i{c}" for c in _BOX), _levels())
     return (each.groupBy(*by, "_l", _coarser(F.col("_fx"), F.col("_l")).alias("_cx"), _coarser(F.col("_fy"), F.col("_l")).alias("_cy"))
             .agg(F.count("*").alias("_k"), *_boxed("_i", "_i")))
 
@@ -125,8 +129,7 @@ def _enough(fine: DataFrame, grid: DataFrame, n: int, by: list[str], space: str,
     """Search level ``_l`` and radius ``_r`` of each fine cell of points, from counts of items per 3 x 3 cells."""
     good = (_around(grid.select(*by, "_k", "_l", "_cx", "_cy"), space, "_cx", "_cy", 1)
             .groupBy(*by, "_l", "_wx", "_wy").agg(F.sum("_k").alias("_k")).filter(F.col("_k") >= n).select(*by, "_l", "_wx", "_wy"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("_l")
-    best = (fine.select(*by, "_fx", "_fy", levels)
+    best = (fine.select(*by, "_fx", "_fy", _levels())
             .withColumn("_wx", _coarser(F.col("_fx"), F.col("_l"))).withColumn("_wy", _coarser(F.col("_fy"), F.col("_l")))
             .join(good, [*by, "_l", "_wx", "_wy"])
             .groupBy(*by, "_fx", "_fy").agg(F.max("_l").alias("_l")))
@@ -176,33 +179,43 @@ def _pairs(points: DataFrame, items: DataFrame, by: list[str], space: str, n: in
                 .withColumn("_sy", _coarser(F.col("_fy"), F.col("_l"))))
 
     # Cells a quarter as wide as the reach, so what is out of reach is left out well.
-    cells = written(at_level(fine, F.least(F.col("_l") + 2, F.lit(FINEST))), "cells")
+    cells = written(at_level(fine, F.least(F.col("_l") + STEP, F.lit(FINEST))), "cells")
     boxed = [*_boxed("_p", "_p"), F.max("_r").alias("_r")]
     first = _around(cells.groupBy(*cell).agg(*boxed), space, "_sx", "_sy", 4).withColumnsRenamed({"_wx": "_cx", "_wy": "_cy"})
-    links = written(_kept(first.join(grid, [*by, "_l", "_cx", "_cy"]), cell, n, space), "links")
+    many = (F.col("_t") > FEW) & (F.col("_l") < FINEST) if n is not None else F.lit(False)
+
+    def told(links: DataFrame) -> tuple[DataFrame, bool, int]:
+        """Links, whether cells face many items, and the levels of the others as bits; seen while the table is written."""
+        seen = Observation()
+        bits = F.call_function("shiftleft", F.lit(1), F.when(many, F.lit(31)).otherwise(F.col("_l")))
+        links = written(links.observe(seen, F.bit_or(bits).alias("bits")), "links")
+        found = seen.get["bits"] or 0
+        return links, found < 0, found & 0x7FFFFFFF
+
+    links, more, levels = told(_kept(first.join(grid, [*by, "_l", "_cx", "_cy"]), cell, n, space))
     found: list[tuple[DataFrame, DataFrame]] = []
-    levels: set[int] = set()
-    while True:
-        many = (F.col("_t") > FEW) & (F.col("_l") + 2 <= FINEST) if n is not None else F.lit(False)
-        seen = links.groupBy("_l").agg(F.max(many).alias("many"), F.min(many).alias("all")).collect()  # a row per level
-        levels |= {r["_l"] for r in seen if not r["all"]}
-        if not any(r["many"] for r in seen):
-            found.append((cells, links))
-            break
+    while more:
         open_ = links.filter(many)
         found.append((cells.join(open_.select(*cell).distinct(), cell, "left_anti"), links.filter(~many)))
         up = [F.col("_sx").alias("_ux"), F.col("_sy").alias("_uy")]
         inner = cells.join(open_.select(*cell).distinct(), cell, "left_semi").select("*", F.col("_l").alias("_ul"), *up).drop("_sx", "_sy")
-        inner = at_level(inner, F.col("_ul") + 2)
+        inner = at_level(inner, F.col("_ul") + STEP)
         finer = inner.groupBy(*cell, "_ul", "_ux", "_uy").agg(*boxed)
         above = open_.select(*by, F.col("_l").alias("_ul"), F.col("_sx").alias("_ux"), F.col("_sy").alias("_uy"), F.col("_cx").alias("_wx"), F.col("_cy").alias("_wy"))
-        below = grid.withColumn("_wx", F.floor(F.col("_cx") / 4)).withColumn("_wy", F.floor(F.col("_cy") / 4))
+        below = grid.withColumn("_wx", F.floor(F.col("_cx") / 2**STEP)).withColumn("_wy", F.floor(F.col("_cy") / 2**STEP))
         pairs = finer.join(above, [*by, "_ul", "_ux", "_uy"]).join(below, [*by, "_l", "_wx", "_wy"])
-        cells, links = written(inner.drop("_ul", "_ux", "_uy"), "cells"), written(_kept(pairs, cell, n, space), "links")
-    number = _cell(F.col("_l"), F.col("_sx"), F.col("_sy")).alias("_s")
-    searched, linked = (_all([part[k].select(*by, number, *rest) for part in found]) for k, rest in (
-        (0, [F.col("_fx"), F.col("_fy")]), (1, [_cell(F.col("_l"), F.col("_cx"), F.col("_cy")).alias("_c")])))
-    used = F.explode(F.array(*(F.lit(x) for x in sorted(levels or {0})))).alias("_l")
+        cells = written(inner.drop("_ul", "_ux", "_uy"), "cells")
+        links, more, finer_levels = told(_kept(pairs, cell, n, space))
+        levels |= finer_levels
+    found.append((cells, links))
+
+    def numbered(turn: int, df: DataFrame, *rest: Column) -> DataFrame:
+        # A cell may come up in two rounds, with other points.
+        return df.select(*by, _cell(F.col("_l") + 64 * turn, F.col("_sx"), F.col("_sy")).alias("_s"), *rest)
+
+    searched = _all([numbered(i, part, F.col("_fx"), F.col("_fy")) for i, (part, _) in enumerate(found)])
+    linked = _all([numbered(i, part, _cell(F.col("_l"), F.col("_cx"), F.col("_cy")).alias("_c")) for i, (_, part) in enumerate(found)])
+    used = F.explode(F.array(*(F.lit(x) for x in range(FINEST + 1) if levels >> x & 1 or not levels and x == 0))).alias("_l")
     placed = (items.select("*", used).withColumn("_c", _cell(F.col("_l"), _coarser(F.col("_fx"), F.col("_l")), _coarser(F.col("_fy"), F.col("_l"))))
               .drop("_l", "_fx", "_fy", *(f"_i{c}" for c in _BOX)))
     located = points.join(searched, [*by, "_fx", "_fy"])

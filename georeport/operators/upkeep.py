@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georeport.functions.keys import (
-    CYRILLIC, alias_key, compare_key, cyrillic_to_latin, exonym_variants, is_latin, location_key, sorted_pack, split_list, strip,
+    CYRILLIC, alias_key, compare_key, cyrillic_to_latin, is_latin, location_key, sorted_pack, split_list, strip,
 )
 from georeport.operators.common import let
 from georeport.operators.spatial import assign_polygon, polygon_area
+from georeport.operators.spelling import Spelling, with_exonyms
 
 _NONE = "array<string>"
 
@@ -35,8 +36,8 @@ def normalize_aliases(cell: Column) -> Column:
     return sorted_pack(F.filter(keys, lambda x: x != ""))
 
 
-def append_exonyms(places: DataFrame, ru_names: DataFrame, names: dict[str, str], words: dict[str, str]) -> DataFrame:
-    """Add Latin forms of Cyrillic aliases and Russian-style spellings to ``aliases`` (packed).
+def append_exonyms(places: DataFrame, ru_names: DataFrame, rules: Spelling) -> DataFrame:
+    """Add Latin forms of Cyrillic aliases and Russian-style spellings to ``aliases`` (packed). ``row_no`` tells places apart.
 
     ``ru_names``: qid, name_ru, ord; the last non-empty one of a qid counts. The rule-based
     spelling is used only when neither the name table nor the qid gives one.
@@ -44,24 +45,20 @@ def append_exonyms(places: DataFrame, ru_names: DataFrame, names: dict[str, str]
     ru = (ru_names.filter(strip(F.coalesce("name_ru", F.lit(""))) != "").groupBy("qid")
           .agg(strip(cyrillic_to_latin(strip(F.max_by("name_ru", "ord")))).alias("_ru")))
     rows = places.withColumn("_q", strip(F.coalesce("qid", F.lit("")))).join(ru.withColumnRenamed("qid", "_q"), "_q", "left")
-    key = location_key(strip("name"))
-    whole = _mapped_parts(names, key)
+    rows = with_exonyms(rows, F.array(location_key(strip("name"))), rules)
     by_qid = F.when(F.coalesce("_ru", F.lit("")) != "", F.array("_ru")).otherwise(_empty())
-    known = F.concat(whole, by_qid)
-    ruled = split_list(exonym_variants(key, names, words))
+    known = F.concat(F.flatten("whole"), by_qid)
     existing = split_list("aliases")
     cyrillic = F.transform(F.filter(existing, lambda a: a.rlike(CYRILLIC)), cyrillic_to_latin)
-    rows = rows.withColumn("_existing", existing).withColumn("_new", F.concat(cyrillic, F.when(F.size(known) > 0, known).otherwise(ruled)))
+    rows = rows.withColumn("_existing", existing).withColumn("_new", F.concat(cyrillic, F.when(F.size(known) > 0, known).otherwise(F.flatten("spelled"))))
     packed = F.array_join(_append_new(F.col("_existing"), F.col("_new")), ";")
     named = strip(F.coalesce("name", F.lit(""))) != ""
-    return rows.withColumn("aliases", F.when(named, packed).otherwise(F.col("aliases"))).drop("_q", "_ru", "_existing", "_new")
+    return rows.withColumn("aliases", F.when(named, packed).otherwise(F.col("aliases"))).select(places.columns)
 
 
-def _mapped_parts(names: dict[str, str], key: Column) -> Column:
-    if not names:
-        return _empty()
-    pairs = [F.lit(x) for kv in sorted(names.items()) for x in kv]
-    return split_list(F.try_element_at(F.create_map(*pairs), key))
+def _spellings() -> Column:
+    """Per text what the name table gives, else the spelling by words."""
+    return F.flatten(F.zip_with("whole", "spelled", lambda w, s: F.when(F.size(w) > 0, w).otherwise(s)))
 
 
 def label_places(places: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,35 +68,48 @@ def label_places(places: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(*places.columns, *(F.coalesce(f"_l.{x}", F.lit("")).alias(f"label_{x}") for x in ("en", "uk", "ru")))
 
 
-def enrich_from_labels(places: DataFrame, labels: DataFrame, names: dict[str, str], words: dict[str, str]) -> DataFrame:
-    """Replace a canonical name that differs from the English label, and add spellings from the others."""
-    rows = label_places(places, labels)
+def enrich_from_labels(places: DataFrame, labels: DataFrame, rules: Spelling) -> DataFrame:
+    """Replace a canonical name that differs from the English label, and add spellings from the others. ``row_no`` tells places apart."""
+    rows = with_exonyms(label_places(places, labels), F.array("label_uk"), rules)
     own = strip(F.coalesce("name", F.lit("")))
     replaced = (F.col("label_en") != "") & (compare_key("label_en") != compare_key(own))
     latin = F.when(F.col("label_ru") != "", F.array(cyrillic_to_latin("label_ru"))).otherwise(_empty())
-    spelled = F.when(F.col("label_uk") != "", split_list(exonym_variants(F.col("label_uk"), names, words))).otherwise(_empty())
+    spelled = F.when(F.col("label_uk") != "", _spellings()).otherwise(_empty())
     rows = rows.withColumn("replaced", replaced).withColumn("_existing", split_list("aliases")).withColumn("_new", F.concat(latin, spelled))
     return (rows.withColumn("aliases", F.array_join(_append_new(F.col("_existing"), F.col("_new")), ";"))
-            .withColumn("name", F.when(F.col("replaced"), F.col("label_en")).otherwise(F.col("name"))).drop("_existing", "_new"))
+            .withColumn("name", F.when(F.col("replaced"), F.col("label_en")).otherwise(F.col("name"))).drop("_existing", "_new", "whole", "spelled"))
 
 
-def rebuild_aliases(places: DataFrame, merged: DataFrame, names: dict[str, str], words: dict[str, str]) -> DataFrame:
-    """Aliases anew from existing Latin ones, the name, and the merged names (qid, lang, names)."""
+def rebuild_aliases(places: DataFrame, merged: DataFrame, rules: Spelling) -> DataFrame:
+    """Aliases anew from existing Latin ones, the name, and the merged names (qid, lang, names). ``row_no`` tells places apart.
+
+    The names used stay as ``names_*``, for ``alias_audit``.
+    """
     wide = merged.groupBy("qid").agg(*(F.max(F.when(F.col("lang") == k, F.col("names"))).alias(f"names_{k}")
                                        for k in ("ua", "ru", "en", "aliases"))).withColumnRenamed("qid", "_q")
     rows = places.withColumn("_q", strip(F.coalesce("qid", F.lit("")))).join(wide, "_q", "left").drop("_q")
     for k in ("ua", "ru", "en", "aliases"):
         rows = rows.withColumn(f"names_{k}", F.coalesce(f"names_{k}", _empty()))
-    latin_ua = F.filter("names_ua", is_latin)
+    rows = with_exonyms(rows, F.filter("names_ua", is_latin), rules)
     parts = F.concat(
         split_list("aliases"), F.array(strip(F.coalesce("name", F.lit("")))), F.col("names_en"), F.col("names_aliases"),
-        F.transform("names_ru", cyrillic_to_latin), F.flatten(F.transform(latin_ua, lambda x: split_list(exonym_variants(x, names, words)))))
+        F.transform("names_ru", cyrillic_to_latin), _spellings())
     pairs = F.filter(F.transform(F.filter(parts, is_latin), lambda x: F.struct(alias_key(x).alias("k"), x.alias("v"))), lambda p: p["k"] != "")
 
     def kept(ps: Column) -> Column:
         return let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
 
-    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(let(pairs, kept), lambda p: p["v"])), ";"))
+    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(let(pairs, kept), lambda p: p["v"])), ";")).drop("whole", "spelled")
+
+
+def alias_audit(places: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """What each place's aliases were made of, what came of them, and what was added and dropped."""
+    before = places.select("row_no", split_list("aliases").alias("_old"))
+    rows = rebuilt.join(before, "row_no").withColumn("_now", split_list("aliases"))
+    named = [F.array_join(f"names_{k}", ", ").alias(out) for k, out in (("ua", "ua_names"), ("ru", "ru_names"), ("en", "en_names"), ("aliases", "spatial_aliases"))]
+    return rows.select("row_no", strip(F.coalesce("qid", F.lit(""))).alias("wikidata"), strip(F.coalesce("name", F.lit(""))).alias("canonical_name"), *named,
+                       F.col("aliases").alias("final_aliases"), F.array_join(F.array_except("_now", "_old"), ";").alias("added"),
+                       F.array_join(F.array_except("_old", "_now"), ";").alias("dropped"))
 
 
 def first_per_cid(directions: DataFrame) -> DataFrame:

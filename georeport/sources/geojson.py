@@ -1,7 +1,7 @@
 """GeoJSON: lines, polygons and multilingual names.
 
-A file is one FeatureCollection, or, for large inputs, one feature per line (``lines=True``),
-which Spark can split.
+A file is one FeatureCollection, or one feature per line (``lines=True``), which Spark can split. One large FeatureCollection
+is read by many tasks with ``read_collection``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from georeport.functions.keys import is_latin, split_list, strip
 from georeport.sources.order import in_file_order
+from georeport.sources.ranges import array_objects
 
 _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
@@ -25,6 +26,12 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         "feature_no", "f.properties", "f.geometry.type", "f.geometry.coordinates")
 
 
+def read_collection(spark: SparkSession, path: str, size: int = 64 << 20) -> DataFrame:
+    """Features of one FeatureCollection file in their order, read in byte ranges of ``size``; the columns are those of ``read_features``."""
+    rows = array_objects(spark, path, 2, size).select(F.col("no").alias("feature_no"), F.from_json("value", _FEATURE.replace("struct<properties", "struct<type:string,properties", 1)).alias("f"))
+    return rows.filter("f.type = 'Feature'").select("feature_no", "f.properties", "f.geometry.type", "f.geometry.coordinates")
+
+
 def _parse(c: Column, depth: int) -> Column:
     return F.from_json(c, "array<" * depth + "double" + ">" * depth)
 

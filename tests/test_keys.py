@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from georeport.functions import geo, keys, labels
+from georeport.operators import upkeep
+from georeport.operators.spelling import Spelling, exonyms, with_exonyms
 
 
 def one(spark, expr, value):
@@ -34,12 +36,36 @@ def test_cyrillic_to_latin(spark, text, latin):
     assert one(spark, keys.cyrillic_to_latin, text) == latin
 
 
-@pytest.mark.parametrize("text, out", [
-    ("Petrivka", "petrovka"), ("Ivka", "ivka"), ("Stara Petrivka", "staraya petrovka"), ("Sadivska-Nova", "sadovskaya-nova"), ("Sadivske", "sadovskoye"),
-    ("Old  Town", "whole;other"), ("maivka", "maivka"), ("Kaaivka", "kaaivka"),
-])
-def test_exonym_variants(spark, text, out):
-    assert one(spark, lambda c: keys.exonym_variants(c, {"old town": "whole;other"}, {"stara": "staraya"}), text) == out
+def test_exonyms(spark):
+    """Endings, word rules with one and several alternatives, whole names; empty texts and nulls."""
+    want = {"Petrivka": ["petrovka"], "Ivka": ["ivka"], "Stara Petrivka": ["staraya petrovka"], "Sadivska-Nova": ["sadovskaya-nova"], "Sadivske": ["sadovskoye"],
+            "maivka": ["maivka"], "Kaaivka": ["kaaivka"], "Mala  Petrivka-mala": ["malaya petrovka-malaya", "malaya petrovka-mala’", "mala’ petrovka-malaya", "mala’ petrovka-mala’"], "": []}
+    rules = Spelling(spark.createDataFrame([("old town", "whole;other"), ("old town", "third")], "name string, variant string"),
+                     spark.createDataFrame([("stara", "staraya"), ("mala", "malaya; mala’")], "word string, variant string"))
+    texts = spark.createDataFrame([(t,) for t in [*want, "Old  Town", "Petrivka", None]], "text string")
+    got = {r.text: (r.whole, r.spelled) for r in exonyms(texts, rules).collect()}
+    assert {t: got[t][1] for t in want} == want and len(got) == len(want) + 1
+    assert got["Old  Town"] == (["third", "whole", "other"], ["old town"]) and got["Petrivka"][0] == []
+
+
+def test_very_many_rules(spark):
+    """100,000 word rules and as many names; places keep their order of texts."""
+    n = 100_000
+    words = spark.range(n).selectExpr("concat('w', id) as word", "concat('v', id) as variant")
+    names = spark.range(n).selectExpr("concat('w', id, ' town') as name", "concat('t', id, ';u', id) as variant")
+    rows = spark.range(500).selectExpr("id as row_no", "array(concat('W', id * 7, ' Town'), concat('w', id, '-w', id + 1), 'Petrivka', null) as texts")
+    got = {r.row_no: (r.whole, r.spelled) for r in with_exonyms(rows, F.col("texts"), Spelling(names, words)).collect()}
+    assert got == {i: ([[f"t{7 * i}", f"u{7 * i}"], [], []], [[f"v{7 * i} town"], [f"v{i}-v{i + 1}"], ["petrovka"]]) for i in range(500)}
+
+
+def test_rebuilt_aliases_and_their_audit(spark):
+    places = spark.createDataFrame([(0, "Q1", "Petrivka", "Кале; old;Petrivka"), (1, None, " Lyman ", None)], "row_no int, qid string, name string, aliases string")
+    merged = spark.createDataFrame([("Q1", "ua", ["Petrivka", "Стара"]), ("Q1", "ru", ["Лиман"]), ("Q1", "en", ["Peter's"])], "qid string, lang string, names array<string>")
+    rebuilt = upkeep.rebuild_aliases(places, merged, Spelling.of(spark, {}, {"petrivka": "petrowka;petrovo"}))
+    got = {r.row_no: r for r in upkeep.alias_audit(places, rebuilt).collect()}
+    assert got[0].final_aliases == "Liman;Peter's;Petrivka;old;petrovo;petrowka" and got[1].final_aliases == "Lyman"
+    assert (got[0].wikidata, got[0].ua_names, got[0].ru_names, got[0].en_names) == ("Q1", "Petrivka, Стара", "Лиман", "Peter's")
+    assert got[0].dropped == "Кале" and set(got[0].added.split(";")) == {"Liman", "Peter's", "petrovo", "petrowka"} and got[1].wikidata == ""
 
 
 def test_cid_round_trip(spark):

@@ -1,6 +1,7 @@
 """Files read and written, intake and errors."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,21 @@ def test_reviewed_tree_resolves_like_the_direct_path(spark, tmp_path):
     assert diag == {r.event_id: r.bbox_km for r in scoring.diagnostics(chosen).collect() if r.event_id in diag}
     assert back.contexts.filter("post_id = '3' or event_id = '2:1'").count() == 0
     assert {r.level for r in back.contexts.collect()} == {"post", "section", "event", "location"}
+
+
+def test_one_large_collection_in_ranges(spark, tmp_path):
+    """Brackets, quotes and backslashes in strings, ranges that begin anywhere, objects longer than a range, objects that are no features."""
+    rnd = random.Random(4)
+    features = []
+    for i in range(120):
+        name = rnd.choice(["plain", 'quo"te', "back\\", '\\"', "}]{[", "é日本", "\\\\\\", "x" * 700, ""])
+        features.append({"type": "Feature", "properties": {"id": str(i), "name": name, "deep": json.dumps([{"a": [1, {"b": "]"}]}])},
+                         "geometry": None if i % 7 == 0 else {"type": "LineString", "coordinates": [[i, 0.5], [i + 1, 1.5]]}})
+    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "bbox": [1, 2], "features": features, "more": [{"type": "Other"}, {"k": "}"}]}
+    for k, text in enumerate((json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False))):
+        path = tmp_path / f"{k}.json"
+        path.write_text(text)
+        for size in ((331, 1 << 20) if k else (499,)):
+            got, plain = ([(r.properties["id"], r.properties["name"], r.type, json.loads(r.coordinates or "0")) for r in rows.orderBy("feature_no").collect()]
+                          for rows in (geojson.read_collection(spark, str(path), size), geojson.read_features(spark, str(path))))
+            assert got == plain and len(got) == 120
