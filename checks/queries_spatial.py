@@ -48,6 +48,23 @@ def _(fx):
     return got.select("pid", F.col("near_cid").alias("cid"), F.round("km", 4).alias("km"))
 
 
+# Every tenth point lies on another continent.
+_FAR = """far AS (SELECT pid, k, CASE WHEN k % 10 = 0 THEN lat - 70.0e0 ELSE lat END AS lat, CASE WHEN k % 10 = 0 THEN lon - 85.0e0 ELSE lon END AS lon FROM fx_points),
+  farspots AS (SELECT DISTINCT lat, lon FROM far)"""
+
+
+def _far(fx):
+    away = F.col("k") % 10 == 0
+    return fx.points.select("pid", F.when(away, F.col("lat") - 70.0).otherwise(F.col("lat")).alias("lat"), F.when(away, F.col("lon") - 85.0).otherwise(F.col("lon")).alias("lon"))
+
+
+@query("c09c_nearest_of_far_points", f"""WITH {_FAR}, d AS (SELECT s.lat, s.lon, l.cid, l.row_no, {lookup_km('s.lat', 's.lon', 'l.lat', 'l.lon')} AS d FROM farspots s, fx_locales l)
+SELECT pid, cid, round(d, 4) AS km FROM far JOIN (SELECT lat, lon, arg_min(cid, (d, row_no)) AS cid, min(d) AS d FROM d GROUP BY ALL) USING (lat, lon)""")
+def _(fx):
+    got = spatial.nearest(_far(fx), fx.locales.select(*PLACES), 1)
+    return got.select("pid", F.col("near_cid").alias("cid"), F.round("km", 4).alias("km"))
+
+
 @query("f01_distance_list", f"""SELECT lat, lon, array_to_string(list(cid ORDER BY d, cid), ' ') AS cids, CAST(count(*) AS BIGINT) AS n FROM ({_WITHIN}) GROUP BY lat, lon""")
 def _(fx):
     spots = fx.points.select("lat", "lon").distinct()
@@ -94,6 +111,24 @@ def _(fx):
     return got.select("row_no", F.round("line_lat", 6).alias("line_lat"), F.round("line_lon", 6).alias("line_lon"))
 
 
+# A wavy outline of 100,000 corners.
+_WAVY = """corners AS (SELECT i, 31.00013e0 + r * cos(a) AS x, 48.00021e0 + 0.5e0 * r * sin(a) AS y FROM (
+    SELECT i, a, 6.0e0 + sin(7 * a) + 0.2e0 * sin(900 * a) AS r FROM (SELECT range AS i, 2 * pi() * range / 100000 AS a FROM range(100000)))),
+  edges AS (SELECT i, x AS x1, y AS y1, coalesce(lead(x) OVER (ORDER BY i), first(x) OVER (ORDER BY i)) AS x2, coalesce(lead(y) OVER (ORDER BY i), first(y) OVER (ORDER BY i)) AS y2 FROM corners)"""
+
+
+@query("c14b_polygon_of_many_corners", f"""WITH {_WAVY}, inside AS (SELECT s.lat, s.lon FROM fx_spots s, edges e GROUP BY ALL HAVING
+  count(*) FILTER (WHERE (y1 > s.lat) <> (y2 > s.lat) AND s.lon < (x2 - x1) * (s.lat - y1) / (y2 - y1) + x1) % 2 = 1)
+SELECT pid, i.lat IS NOT NULL AS confirmed FROM fx_points p LEFT JOIN inside i ON i.lat = p.lat AND i.lon = p.lon""")
+def _(fx):
+    a = 2 * F.pi() * F.col("id") / 100000
+    r = 6.0 + F.sin(7 * a) + 0.2 * F.sin(900 * a)
+    corner = F.struct("id", F.struct((31.00013 + r * F.cos(a)).alias("lon"), (48.00021 + 0.5 * r * F.sin(a)).alias("lat")).alias("p"))
+    ring = F.transform(F.sort_array(F.collect_list(corner)), lambda c: c["p"])
+    wavy = fx.spark.range(100000).agg(F.array(F.array(ring)).alias("polygons")).select(F.lit(0).alias("poly_no"), F.lit("wavy").alias("poly_name"), "polygons")
+    return spatial.assign_polygon(fx.points, wavy).select("pid", "confirmed")
+
+
 EDGES_M = """SELECT poly_no, i, radians(x1) * 6378137.0e0 AS x1, ln(tan(pi() / 4 + radians(y1) / 2)) * 6378137.0e0 AS y1,
   radians(x2) * 6378137.0e0 AS x2, ln(tan(pi() / 4 + radians(y2) / 2)) * 6378137.0e0 AS y2 FROM fx_edges"""
 
