@@ -115,6 +115,12 @@ def _(fx):
     return got.select("event_id", "loc_no", "cid", F.round("confidence", 6).alias("confidence"), F.round("prox_km", 4).alias("prox_km"))
 
 
+@query("j01b_single_candidates", "SELECT event_id, loc_no, any_value(cid) AS cid, round(any_value(confidence), 6) AS confidence FROM tx_narrowed GROUP BY event_id, loc_no HAVING count(*) = 1")
+def _(fx):
+    got = context.single_candidates(context.narrow_candidates(fx.mentions, fx.event_contexts, fx.locales))
+    return got.select("event_id", "loc_no", "cid", F.round("confidence", 6).alias("confidence"))
+
+
 @query("e11_nearest_five", f"""WITH d AS (SELECT c.event_id, c.loc_no, c.cid, {lookup_km('48.0e0', '31.0e0', 'lat', 'lon')} AS d, row_no FROM tx_candidates c),
 n AS (SELECT *, bool_or(d <= 50) OVER (PARTITION BY event_id, loc_no) AS any_near, row_number() OVER (PARTITION BY event_id, loc_no ORDER BY d, row_no) AS n FROM d)
 SELECT event_id, loc_no, cid, round(d, 4) AS prox_km FROM n WHERE d <= 50 OR (NOT any_near AND n <= 5)""")

@@ -266,7 +266,8 @@ def _(fx):
   LEFT JOIN (SELECT post_id, '[' || string_agg(upper(kind[1]) || kind[2:] || ': ' || text, '; ' ORDER BY ts) || ']' AS c FROM tx_post_contexts GROUP BY post_id) USING (post_id)
 UNION ALL SELECT 'section', post_id || '/' || section_id, trim('Section ' || section_id || ' ' || coalesce(c, '')), {_snip('text', 300)} FROM tx_sections
   LEFT JOIN (SELECT post_id, section_id, '[' || string_agg(upper(kind[1]) || kind[2:] || ': ' || text, '; ' ORDER BY ts) || ']' AS c FROM tx_section_contexts GROUP BY ALL) USING (post_id, section_id)
-UNION ALL SELECT 'location', event_id || ':loc' || loc_no, trim(text || ' ' || coalesce('(' || c || ')', '') || ' '), {_snip('text', 200)} FROM tx_mentions
+UNION ALL SELECT 'location', event_id || ':loc' || loc_no, trim(text || ' ' || coalesce('(' || c || ')', '') || ' ' || coalesce(x, '')), {_snip('text', 200)} FROM tx_mentions
+  LEFT JOIN (SELECT event_id, loc_no, '[' || string_agg(upper(kind[1]) || kind[2:] || ': ' || text, '; ' ORDER BY pass, ts) || ']' AS x FROM tx_scoped WHERE loc_no IS NOT NULL GROUP BY ALL) USING (event_id, loc_no)
   LEFT JOIN (SELECT event_id, loc_no, string_agg(name, ', ' ORDER BY row_no) FILTER (WHERE n <= 3) || CASE WHEN max(n) > 3 THEN ', …' ELSE '' END AS c FROM
     (SELECT *, row_number() OVER (PARTITION BY event_id, loc_no ORDER BY row_no) AS n FROM tx_candidates) GROUP BY ALL) USING (event_id, loc_no)""")
 def _(fx):
@@ -278,5 +279,6 @@ def _(fx):
     from pyspark.sql import Window as W
     few = fx.candidates.withColumn("_n", F.row_number().over(W.partitionBy("event_id", "loc_no").orderBy("row_no"))).filter("_n <= 4")
     names = few.groupBy("event_id", "loc_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("candidate_texts"))
-    locs = summary.location_summary(fx.mentions.join(names, ["event_id", "loc_no"], "left").withColumn("ctx_label", F.lit(""))).select(F.lit("location"), "mention_id", "summary", "snippet")
+    labels = summary.context_labels(plain.filter("level = 'location'"), ["event_id", "loc_no"])
+    locs = summary.location_summary(fx.mentions.join(names, ["event_id", "loc_no"], "left").join(labels, ["event_id", "loc_no"], "left")).select(F.lit("location"), "mention_id", "summary", "snippet")
     return posts.union(secs).union(locs)
