@@ -25,6 +25,14 @@ def _spans(spark, patterns, text):
     return [(r["label"], r["surface"]) for r in tagging.tag_spans(posts, patterns, Params().templates).orderBy("ts").collect()]
 
 
+def _spans_of(spark, patterns, texts):
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id int, text string")
+    out = [[] for _ in texts]
+    for r in tagging.tag_spans(posts, patterns, Params().templates).orderBy("post_id", "ts").collect():
+        out[r["post_id"]].append((r["label"], r["surface"]))
+    return out
+
+
 def test_longest_span_wins_and_offsets_fit(spark, patterns):
     text = "Near NORTH  Lyman, yeni–kale; in the direction of Rivne. The Lyman"
     posts = spark.createDataFrame([(1, text)], "post_id int, text string")
@@ -115,19 +123,15 @@ def test_names_of_many_words_and_odd_first_words(spark):
     none = locales.limit(0)
     patterns = tagging.dictionary(locales, none, none, none)
 
-    def found(text):
-        return _spans(spark, patterns, text)
-
-    assert found(f"In {long.upper()} and part0 part1") == [("LOCALE", long.upper())]
-    assert found("the NETHERLANDS, nerlands, O’brien   town OBRIEN TOWN") == [("LOCALE", x) for x in ("NETHERLANDS", "nerlands", "O’brien   town", "OBRIEN TOWN")]
-    assert found("foo bar foo the bar the foo-bar") == [("LOCALE", x) for x in ("foo bar", "foo the bar", "foo-bar")]
-    assert found("quoted X–Y Z x y z xy z ' quoted") == [("LOCALE", x) for x in ("quoted", "X–Y Z", "x y z")] + found("' quoted")
+    texts = {f"In {long.upper()} and part0 part1": [long.upper()], "the NETHERLANDS, nerlands, O’brien   town OBRIEN TOWN": ["NETHERLANDS", "nerlands", "O’brien   town", "OBRIEN TOWN"],
+             "foo bar foo the bar the foo-bar": ["foo bar", "foo the bar", "foo-bar"], "quoted X–Y Z x y z xy z": ["quoted", "X–Y Z", "x y z"]}
+    assert _spans_of(spark, patterns, list(texts)) == [[("LOCALE", x) for x in want] for want in texts.values()]
 
 
 def test_every_default_shape(spark, patterns):
-    for text, label in (("in the direction of Rivne", "DIRECTION"), ("towards Rivne", "DIRECTION"), ("Rivne direction", "DIRECTION"), ("Rivne axis", "DIRECTION"),
-                        ("Rivne sector", "DIRECTION"), ("the Rivne line", "DIRECTION"), ("near North Lyman", "PROXIMITY")):
-        assert _spans(spark, patterns, f"Xx {text} yy.") == [(label, text)]
+    shapes = (("in the direction of Rivne", "DIRECTION"), ("towards Rivne", "DIRECTION"), ("Rivne direction", "DIRECTION"), ("Rivne axis", "DIRECTION"),
+              ("Rivne sector", "DIRECTION"), ("the Rivne line", "DIRECTION"), ("near North Lyman", "PROXIMITY"))
+    assert _spans_of(spark, patterns, [f"Xx {text} yy." for text, _ in shapes]) == [[(label, text)] for text, label in shapes]
 
 
 def test_starts_never_miss(spark):
