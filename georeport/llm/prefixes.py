@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from georeport.llm import textops as T
 from georeport.operators.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
