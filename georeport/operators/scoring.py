@@ -136,11 +136,6 @@ def _pick(df: DataFrame) -> tuple[Column, str]:
     return F.struct(*fields), "struct<" + ",".join(f"{c}:{kinds[c]}" for c in fields) + ">"
 
 
-def _rank_score(score: Column) -> Column:
-    """Scores are compared at nine decimals, so the order of summation does not decide."""
-    return -F.round(score, 9)
-
-
 def _ordered(candidates: DataFrame) -> DataFrame:
     """Order of a candidate within its mention: by distance to a proximity anchor, then gazetteer row."""
     prox = F.coalesce("prox_km", F.lit(0.0)) if "prox_km" in candidates.columns else F.lit(0.0)

@@ -7,7 +7,6 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from georeport.operators import context, scoring
 from georeport.params import Scoring
