@@ -120,10 +120,12 @@ def first_per_cid(directions: DataFrame) -> DataFrame:
 
 
 def join_once(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join that fails when the right side repeats a key."""
+    """Left join that fails when the right side has several different rows for a key; a row that is there again counts once."""
     rest = [c for c in right.columns if c != key]
-    single = right.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_s"))
-    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("key is not unique: "), F.col(key)))).otherwise(F.col("_s"))
+    one = F.struct(*rest)
+    single = right.groupBy(key).agg(F.min(one).alias("_s"), F.max(one).alias("_t"))
+    checked = F.when(F.col("_s") == F.col("_t"), F.col("_s")).otherwise(F.raise_error(F.concat(F.lit("key is not unique: "), F.col(key))))
+    checked = F.when(F.col("_s").isNotNull(), checked)
     return left.join(single, key, "left").withColumn("_s", checked).select(*left.columns, *(F.col(f"_s.{c}").alias(c) for c in rest))
 
 
