@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from georeport.functions.keys import (
     CYRILLIC, alias_key, compare_key, cyrillic_to_latin, is_latin, location_key, sorted_pack, split_list, strip,
 )
-from georeport.operators.common import let
+from georeport.operators.common import let, written
 from georeport.operators.spatial import assign_polygon, polygon_area
 from georeport.operators.spelling import Spelling, with_exonyms
 
@@ -85,21 +85,32 @@ def rebuild_aliases(places: DataFrame, merged: DataFrame, rules: Spelling) -> Da
 
     The names used stay as ``names_*``, for ``alias_audit``.
     """
-    wide = merged.groupBy("qid").agg(*(F.max(F.when(F.col("lang") == k, F.col("names"))).alias(f"names_{k}")
-                                       for k in ("ua", "ru", "en", "aliases"))).withColumnRenamed("qid", "_q")
-    rows = places.withColumn("_q", strip(F.coalesce("qid", F.lit("")))).join(wide, "_q", "left").drop("_q")
-    for k in ("ua", "ru", "en", "aliases"):
+    langs = ("ua", "ru", "en", "aliases")
+    wide = merged.groupBy("qid").agg(*(F.coalesce(F.max(F.when(F.col("lang") == k, F.col("names"))), _empty()).alias(f"names_{k}")
+                                       for k in langs)).withColumnRenamed("qid", "_q")
+    # What the names of a qid come to is found once, not by each of its places.
+    wide = with_exonyms(written(wide, "names"), F.filter("names_ua", is_latin), rules, "_q")
+    wide = wide.withColumn("_shared", let(_keyed(F.concat("names_en", "names_aliases", F.transform("names_ru", cyrillic_to_latin), _spellings())), _first_of_key))
+    wide = written(wide.drop("whole", "spelled"), "shared")
+    rows = places.withColumn("_q", strip(F.coalesce("qid", F.lit("")))).join(wide.hint("merge"), "_q", "left").drop("_q")
+    for k in langs:
         rows = rows.withColumn(f"names_{k}", F.coalesce(f"names_{k}", _empty()))
-    rows = with_exonyms(rows, F.filter("names_ua", is_latin), rules)
-    parts = F.concat(
-        split_list("aliases"), F.array(strip(F.coalesce("name", F.lit("")))), F.col("names_en"), F.col("names_aliases"),
-        F.transform("names_ru", cyrillic_to_latin), _spellings())
-    pairs = F.filter(F.transform(F.filter(parts, is_latin), lambda x: F.struct(alias_key(x).alias("k"), x.alias("v"))), lambda p: p["k"] != "")
+    own = let(_keyed(F.concat(split_list("aliases"), F.array(strip(F.coalesce("name", F.lit("")))))), _first_of_key)
+    shared = F.coalesce("_shared", F.array().cast("array<struct<k:string,v:string>>"))
 
-    def kept(ps: Column) -> Column:
-        return let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
+    def joined(ps: Column) -> Column:
+        return F.concat(ps, let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(shared, lambda p: ~F.array_contains(ks, p["k"]))))
 
-    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(let(pairs, kept), lambda p: p["v"])), ";")).drop("whole", "spelled")
+    return rows.withColumn("aliases", F.array_join(F.array_sort(F.transform(let(own, joined), lambda p: p["v"])), ";")).drop("_shared")
+
+
+def _keyed(names: Column) -> Column:
+    """Latin names with their keys; those without a key are left out."""
+    return F.filter(F.transform(F.filter(names, is_latin), lambda x: F.struct(alias_key(x).alias("k"), x.alias("v"))), lambda p: p["k"] != "")
+
+
+def _first_of_key(pairs: Column) -> Column:
+    return let(F.transform(pairs, lambda p: p["k"]), lambda ks: F.filter(pairs, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
 
 
 def alias_audit(places: DataFrame, rebuilt: DataFrame) -> DataFrame:
