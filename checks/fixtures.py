@@ -17,7 +17,7 @@ from georeport.operators import structure, tagging
 from georeport.operators.common import scratch_path, written
 from georeport.functions.keys import location_key
 from georeport.operators.context import unique_places
-from georeport.operators.lookup import locale_index
+from georeport.operators.lookup import first_places, locale_index
 from georeport.operators.scoring import choose_places, unary_score
 from georeport.operators.spatial import closest_on_lines, line_segments
 from georeport.operators.spelling import Spelling
@@ -264,12 +264,26 @@ class Fixtures:
         asked = self.mentions.select("event_id", "loc_no", "text").withColumn("_key", location_key("text"))
         return self.stored(unique_places(asked.join(rows, "_key").drop("_key", "aliases", "text")), "candidates")
 
+    def few_candidates(self, n: int) -> DataFrame:
+        """The first ``n`` candidates of each mention. Names have their first places found before mentions come to them."""
+        rows = first_places(locale_index(self.locales).drop("aliases"), n).withColumnRenamed("key", "_key")
+        asked = self.mentions.select("event_id", "loc_no", "text").withColumn("_key", location_key("text"))
+        return unique_places(asked.join(rows, "_key").drop("_key", "text"))
+
+    def _scored(self, candidates: DataFrame) -> DataFrame:
+        rows = closest_on_lines(candidates, self.segments).drop("line_lat", "line_lon")
+        none = F.lit(None).cast("double")
+        return rows.withColumn("unary", unary_score(F.col("line_km"), none, none))
+
     @cached_property
     def scored(self) -> DataFrame:
         """Candidates with line distance and unary score."""
-        rows = closest_on_lines(self.candidates, self.segments).drop("line_lat", "line_lon")
-        none = F.lit(None).cast("double")
-        return self.stored(rows.withColumn("unary", unary_score(F.col("line_km"), none, none)), "scored")
+        return self.stored(self._scored(self.candidates), "scored")
+
+    @cached_property
+    def scored_first(self) -> DataFrame:
+        """The same of each mention's first candidate."""
+        return self.stored(self._scored(self.stored(self.few_candidates(1), "first")), "scored-first")
 
     @cached_property
     def chosen(self) -> DataFrame:

@@ -277,7 +277,7 @@ def _(fx):
     secs = summary.section_summary(fx.sections.join(summary.context_labels(plain.filter("level = 'section'"), ["post_id", "section_id"]), ["post_id", "section_id"], "left")).select(
         F.lit("section"), F.concat_ws("/", F.col("post_id").cast("string"), "section_id"), "summary", "snippet")
     from pyspark.sql import Window as W
-    few = fx.candidates.withColumn("_n", F.row_number().over(W.partitionBy("event_id", "loc_no").orderBy("row_no"))).filter("_n <= 4")
+    few = fx.few_candidates(4).withColumn("_n", F.row_number().over(W.partitionBy("event_id", "loc_no").orderBy("row_no"))).filter("_n <= 4")
     names = few.groupBy("event_id", "loc_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("candidate_texts"))
     labels = summary.context_labels(plain.filter("level = 'location'"), ["event_id", "loc_no"])
     locs = summary.location_summary(fx.mentions.join(names, ["event_id", "loc_no"], "left").join(labels, ["event_id", "loc_no"], "left")).select(F.lit("location"), "mention_id", "summary", "snippet")

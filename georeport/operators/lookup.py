@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from georeport.functions.keys import location_key, plain_key
 from georeport.operators.spatial import nearest
@@ -23,6 +24,13 @@ def locale_index(locales: DataFrame) -> DataFrame:
     return locales.select(F.explode(F.transform(_names(), location_key)).alias("key"), "*")
 
 
+def first_places(index: DataFrame, n: int) -> DataFrame:
+    """Of each name in a ``locale_index`` the first ``n`` places by ``row_no``; a place counts once per name."""
+    rest = [c for c in index.columns if c not in ("key", "cid", "row_no")]
+    each = index.groupBy("key", "cid").agg(F.min(F.struct("row_no", *rest)).alias("s")).select("key", "cid", "s.*")
+    return each.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("row_no"))).filter(F.col("_n") <= n).drop("_n")
+
+
 def entity_index(entities: DataFrame) -> DataFrame:
     """Key to entity name; when several rows share a key the last row holds."""
     return (entities.select(F.explode(F.transform(_names(), location_key)).alias("key"),

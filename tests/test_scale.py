@@ -1,8 +1,9 @@
 """Repeated rows, scopes and large groups: results that must not depend on size, and work that must not grow with pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from georeport.operators import lookup, upkeep
+from georeport.operators import lookup, structure, tagging, upkeep
 
 
 def test_a_place_listed_twice_is_one_anchor(spark):
@@ -46,3 +47,60 @@ def test_scopes_are_part_of_the_join(spark):
     want = [(no, i) for no, r, g in ((1, "r3 oblast", None), (2, None, "g"), (3, None, None), (4, "r3 oblast", "g"))
             for i in range(400) if (r is None or (i % 10 and f"r{i % 50} oblast" == r)) and (g is None or i % 7)]
     assert sorted(tuple(r) for r in both) == want
+
+
+def test_runs_of_odd_texts(spark):
+    """Veiled underscores, several marks, lines, abbreviations and words of which nothing counts."""
+    ent = "name string, aliases array<string>, row_no int"
+    locales = spark.createDataFrame([("Kale", ["Yeni-Kale"], 0), ("Lyman", ["the Kale the"], 1)], ent)
+    none = locales.limit(0)
+    triggers = spark.createDataFrame([("K", "attack"), ("L", "shot down")], "label string, trigger string")
+    patterns = tagging.dictionary(locales, none, none, none, triggers)
+    texts = ["a_Kale x² Lyman", "Ka'le… attack.\nshot  down e.g. Lyman; the yeni–kale", None, "", "shot. down"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id int, text string")
+    got = tagging.match_words(posts, patterns, (("PROXIMITY", ("in",), ()),), partitions=2)
+    rows = sorted((r.post_id, r.ts, r.te, r.label, r.key, r.surface, r.cs, r.ln, r.sn, r.s_ts, r.s_te) for r in got.collect())
+    assert rows == [(0, 2, 3, "LOCALE", "kale", "Kale", 2, 0, 0, 0, 1), (0, 4, 5, "LOCALE", "lyman", "Lyman", 10, 0, 0, 0, 1),
+                    (1, 0, 1, "LOCALE", "kale", "Ka'le", 0, 0, 0, 0, 1), (1, 2, 3, "K", "attack", "attack", 7, 0, 1, 2, 3),
+                    (1, 4, 6, "L", "shot down", "shot  down", 15, 1, 2, 4, 9), (1, 10, 11, "LOCALE", "lyman", "Lyman", 31, 1, 3, 0, 1),
+                    (1, 13, 16, "LOCALE", "yeni kale", "yeni–kale", 42, 1, 3, 0, 1), (1, 15, 16, "LOCALE", "kale", "kale", 47, 1, 3, 0, 1)]
+
+
+def test_posts_of_one_file_are_dealt_out(spark):
+    posts = spark.range(5000).selectExpr("id as post_id", "'Kale' as text").coalesce(1)
+    spans = spark.createDataFrame([(1, 5, 6, 0, 1, 0, "GROUP", "g", "g"), (1, 2, 4, 0, 1, 0, "LOCALE", "l", "l"), (1, 8, 9, 0, 1, 0, "LOCALE", "m", "m")],
+                                  "post_id long, ts int, te int, cs int, ce int, ln int, label string, surface string, key string")
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        gathered = structure.gather_posts(posts, spans)
+        assert gathered.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+        near = gathered.filter("post_id = 1").select(*(structure._inside(F.col("spans"), F.lit(a), F.lit(b)).alias(f"r{i}") for i, (a, b) in enumerate(
+            ((0, 99), (2, 4), (3, 9), (5, 6), (2, 3), (9, 99), (0, 0))))).first()
+        assert [[s.ts for s in r] for r in near] == [[2, 5, 8], [2], [5, 8], [5], [], [], []]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+
+
+def test_first_places_of_a_name(spark):
+    places = spark.createDataFrame([(5, 50, "a", ["b", "A"]), (3, 30, "a", []), (4, 30, "a", []), (9, 90, "b", []), (1, 10, "c", [])],
+                                   "row_no long, cid long, name string, aliases array<string>")
+    got = lookup.first_places(lookup.locale_index(places), 2)
+    assert sorted((r.key, r.row_no, r.cid) for r in got.collect()) == [("a", 3, 30), ("a", 5, 50), ("b", 5, 50), ("b", 9, 90), ("c", 1, 10)]
+    assert [(r.key, r.row_no) for r in lookup.first_places(lookup.locale_index(places), 1).orderBy("key").collect()] == [("a", 3), ("b", 5), ("c", 1)]
+
+
+def test_names_of_a_qid_are_spelled_once(spark, monkeypatch):
+    """Many places of one qid: its names go to the spelling once, and each place has them with its own."""
+    seen, plain = [], upkeep.with_exonyms
+
+    def counted(rows, *more):
+        seen.append(rows.count())
+        return plain(rows, *more)
+
+    monkeypatch.setattr(upkeep, "with_exonyms", counted)
+    places = spark.createDataFrame([(i, " Q1" if i < 40 else None, f"n{i}", "Own;eins") for i in range(50)], "row_no long, qid string, name string, aliases string")
+    merged = spark.createDataFrame([("Q1", "ua", ["petrivka", "Ж"]), ("Q1", "en", ["OWN", "Two"]), ("Q1", "ru", ["Два"])], "qid string, lang string, names array<string>")
+    got = {r.row_no: (r.aliases, r.names_en) for r in upkeep.rebuild_aliases(places, merged, upkeep.Spelling.of(spark)).collect()}
+    assert sum(seen) == 1
+    assert got[7] == ("Dva;Own;Two;eins;n7;petrovka", ["OWN", "Two"]) and got[45] == ("Own;eins;n45", [])
