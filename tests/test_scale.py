@@ -1,9 +1,18 @@
 """Repeated rows, scopes and large groups: results that must not depend on size, and work that must not grow with pairs."""
 
+import os
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from georeport.operators import lookup, structure, tagging, upkeep
+from checks.fixtures import Fixtures
+from checks.queries import QUERIES
+from georeport.functions.geo import RADIUS_KM
+from georeport.operators import common, context, lookup, scoring, spatial, structure, summary, tagging, upkeep
+from georeport.params import Scoring
+from georeport.plans import resolve
 
 
 def test_a_place_listed_twice_is_one_anchor(spark):
@@ -104,3 +113,27 @@ def test_names_of_a_qid_are_spelled_once(spark, monkeypatch):
     got = {r.row_no: (r.aliases, r.names_en) for r in upkeep.rebuild_aliases(places, merged, upkeep.Spelling.of(spark)).collect()}
     assert sum(seen) == 1
     assert got[7] == ("Dva;Own;Two;eins;n7;petrovka", ["OWN", "Two"]) and got[45] == ("Own;eins;n45", [])
+
+
+def _town(spark, n, name="a"):
+    return spark.createDataFrame([(i, 1000 + i, name, ["b"], 44.0 + i / 100, 30.0, f"r{i % 3}", "g", f"Q{i}") for i in range(n)],
+                                 "row_no int, cid long, name string, aliases array<string>, lat double, lon double, region string, grp string, qid string")
+
+
+def test_places_are_narrowed_once_per_name_and_contexts(spark):
+    locales = _town(spark, 200)
+    mentions = spark.createDataFrame([(f"e{i}", 0, "A") for i in range(300)] + [("e0", 0, "b"), (None, 0, "b"), ("e1", 1, None)], "event_id string, loc_no int, text string")
+    contexts = spark.createDataFrame([(f"e{i}", None, None, 44.0, 30.0) for i in range(300)], "event_id string, in_region string, in_group string, prox_lat double, prox_lon double")
+    got = context.narrow_candidates(mentions, contexts, locales)
+    # 45 hundredths of a degree are 50 km; the mention without an event has no contexts.
+    assert _rows_out(got) == 300 * 45 + 200
+    per = {(r["event_id"], r["loc_no"]): r["n"] for r in got.groupBy("event_id", "loc_no").agg(F.countDistinct("cid").alias("n")).collect()}
+    assert per == {**{(f"e{i}", 0): 45 for i in range(300)}, (None, 0): 200}
+
+
+def test_mentions_of_a_name_ask_once(spark):
+    asked = spark.createDataFrame([("e0", 0, "a"), ("e0", 0, "a"), ("e1", 0, "a"), ("e1", 0, "b"), ("e2", 1, "a"), (None, 0, None)], "event_id string, loc_no int, key string")
+    mentioned, wants = context.asked_once(asked)
+    assert mentioned.count() == 4 and wants.select("want").distinct().count() == 3
+    got = mentioned.join(wants, "want").select("event_id", "loc_no", "key").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, {tuple(r) for r in asked.collect()}))
