@@ -16,7 +16,7 @@ from georeport.functions.geo import encode_cid
 from georeport.operators import structure, tagging
 from georeport.operators.common import scratch_path, written
 from georeport.functions.keys import location_key
-from georeport.operators.context import unique_places
+from georeport.operators.context import asked_once, unique_places
 from georeport.operators.lookup import first_places, locale_index
 from georeport.operators.scoring import choose_places, unary_score
 from georeport.operators.spatial import closest_on_lines, line_segments
@@ -258,11 +258,29 @@ class Fixtures:
         return self.stored(event_contexts(self.report_events, self.contexts, self.gazetteer), "event-contexts")
 
     @cached_property
+    def _asked(self) -> tuple[DataFrame, DataFrame]:
+        mentioned, wants = asked_once(self.mentions.select("event_id", "loc_no", location_key("text").alias("key")))
+        return self.stored(mentioned, "mentioned"), wants
+
+    @property
+    def mentioned(self) -> DataFrame:
+        """Mentions with the name that they ask for, ``want``."""
+        return self._asked[0]
+
+    @cached_property
+    def want_places(self) -> DataFrame:
+        """Every place of each name that is asked for, once per name."""
+        found = self._asked[1].join(locale_index(self.locales).drop("aliases"), "key").drop("key")
+        return self.stored(unique_places(found, ["want"]), "want-places")
+
+    def of_mentions(self, rows: DataFrame) -> DataFrame:
+        """Rows of names as rows of the mentions that ask for them. Not stored: there are mentions times places of these."""
+        return self.mentioned.join(rows, "want").drop("want")
+
+    @property
     def candidates(self) -> DataFrame:
         """Plain candidates: every place a mention may name."""
-        rows = locale_index(self.locales).withColumnRenamed("key", "_key")
-        asked = self.mentions.select("event_id", "loc_no", "text").withColumn("_key", location_key("text"))
-        return self.stored(unique_places(asked.join(rows, "_key").drop("_key", "aliases", "text")), "candidates")
+        return self.of_mentions(self.want_places)
 
     def few_candidates(self, n: int) -> DataFrame:
         """The first ``n`` candidates of each mention. Names have their first places found before mentions come to them."""
@@ -276,9 +294,14 @@ class Fixtures:
         return rows.withColumn("unary", unary_score(F.col("line_km"), none, none))
 
     @cached_property
+    def want_scored(self) -> DataFrame:
+        """Places of names with line distance and unary score."""
+        return self.stored(self._scored(self.want_places), "want-scored")
+
+    @property
     def scored(self) -> DataFrame:
-        """Candidates with line distance and unary score."""
-        return self.stored(self._scored(self.candidates), "scored")
+        """Candidates with line distance and unary score, which a place has whatever mention asks for it."""
+        return self.of_mentions(self.want_scored)
 
     @cached_property
     def scored_first(self) -> DataFrame:

@@ -188,10 +188,12 @@ FROM c JOIN reach r ON r.grp_key = c.grp_key AND r.region = c.region LEFT JOIN b
 LEFT JOIN i ON i.lat = c.lat AND i.lon = c.lon AND i.want_no = c.want_no WHERE i.lat IS NOT NULL OR b.m <= 10000""")
 def _(fx):
     g = F.broadcast(fx.groups.select(F.col("row_no").alias("_g"), F.col("name").alias("group_text")))
-    rows = fx.candidates.withColumn("_g", F.col("loc_no") % 5).join(g, "_g")
+    asked = fx.mentioned.withColumn("_g", F.col("loc_no") % 5)
+    # A place of a name is in a group's reach or not, whatever mention asks for it.
+    rows = asked.select("want", "_g").distinct().join(g, "_g").join(fx.want_places, "want")
     areas = fx.polygons.join(F.broadcast(fx.groups.select(F.col("row_no").alias("poly_no"), "name")), "poly_no")
-    got = context.constrain_group(rows, fx.groups, areas)
-    return got.select("event_id", "loc_no", "cid", "area_score", "group_score")
+    got = context.constrain_group(rows, fx.groups, areas).select("want", "_g", "cid", "area_score", "group_score")
+    return asked.join(fx.stored(got, "reached"), ["want", "_g"]).select("event_id", "loc_no", "cid", "area_score", "group_score")
 
 
 # ---------------------------------------------------------------- axis, scores
