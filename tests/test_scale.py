@@ -137,3 +137,28 @@ def test_mentions_of_a_name_ask_once(spark):
     assert mentioned.count() == 4 and wants.select("want").distinct().count() == 3
     got = mentioned.join(wants, "want").select("event_id", "loc_no", "key").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, {tuple(r) for r in asked.collect()}))
+
+
+def test_beam_scores_each_pair_of_places_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, s = 2400, Scoring()
+    lat, lon = np.radians(rng.uniform(44, 52, n)), np.radians(rng.uniform(22, 40, n))
+    lat[7], lon[1300], lon[5] = np.nan, np.nan, np.radians(-179.9)
+    names = {"region": [f"r{i % 25}" if i % 9 else None for i in range(n)], "grp": [f"g{i % 5}" for i in range(n)]}
+    rows = scoring._Rows(pa.table({"rlat": lat, "rlon": lon, "clat": np.cos(lat), "unary": rng.random(n), **names}), s)
+    p, q = np.arange(0, n, 40)[:, None], np.arange(n)[None, :]
+    d = 2 * RADIUS_KM * np.arcsin(np.sqrt(np.sin((lat[p] - lat[q]) / 2) ** 2 + np.cos(lat[p]) * np.cos(lat[q]) * np.sin((lon[p] - lon[q]) / 2) ** 2))
+    near = np.where(d <= s.close_km, 1.0, np.where(d <= s.far_km, (s.far_km - d) / (s.far_km - s.close_km), np.maximum((s.far_km - d) / s.far_km, -1.0)))
+    want = s.compactness_weight * near
+    for of, same, differ in ((names["region"], s.region_same, s.region_differ), (names["grp"], s.group_same, s.group_differ)):
+        a = np.array([x or "" for x in of])
+        want = want + np.where((a[p] == "") | (a[q] == ""), 0.0, np.where(a[p] == a[q], same, -differ))
+    assert np.allclose(rows.pairs(p, q), want, atol=1e-12, equal_nan=True)
+    made, plain = [], scoring._Rows.pairs
+    monkeypatch.setattr(scoring._Rows, "pairs", lambda self, p, q: made.append(np.broadcast(p, q).size) or plain(self, p, q))
+    search = scoring._Search(50)
+    for mention in (np.arange(1), np.arange(10, 40), np.arange(400, 1200), np.arange(1600, 2400)):
+        search.offer(rows, mention)
+        search.close()
+    # The place of the first mention is the same in all 50 assignments.
+    assert search.picks.shape == (50, 4) and sum(made) <= 30 + 800 * 31 + 800 * (1 + 30 + 50) and sum(made) < 0.8 * (30 + 800 * 60 + 800 * 150)
