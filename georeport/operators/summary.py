@@ -11,9 +11,13 @@ from georeport.operators.lookup import resolve_anchors
 
 
 def anchor_marks(contexts: DataFrame, directions: DataFrame, locales: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark of direction and proximity contexts: single anchor, several, or none."""
+    """Mark of direction and proximity contexts: single anchor, several, or none.
+
+    Anchors are looked up once per text, so a name with many places does not multiply with its contexts.
+    """
     asked = contexts.filter(F.col("kind").isin("direction", "proximity")).select(*keys, "text")
-    found = resolve_anchors(asked, directions, locales).groupBy(*keys).agg(F.count("cid").alias("_n"))
+    anchors = resolve_anchors(asked.select("text").distinct(), directions, locales).groupBy("text").agg(F.count("cid").alias("_of"))
+    found = asked.join(anchors, asked["text"].eqNullSafe(anchors["text"])).groupBy(*keys).agg(F.sum("_of").alias("_n"))
     mark = F.when(F.col("_n") == 0, " (?)").when(F.col("_n") == 1, " ✓").otherwise(" (~)")
     return contexts.join(found, keys, "left").withColumn("mark", F.when(F.col("_n").isNull(), "").otherwise(mark)).drop("_n")
 

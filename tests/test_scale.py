@@ -120,6 +120,17 @@ def _town(spark, n, name="a"):
                                  "row_no int, cid long, name string, aliases array<string>, lat double, lon double, region string, grp string, qid string")
 
 
+def test_anchors_are_looked_up_once_per_text(spark):
+    locales = _town(spark, 100)
+    contexts = spark.createDataFrame([(f"e{i}", 0, "proximity" if i % 2 else "direction", ("A", "b", "zz", None)[i % 4]) for i in range(400)] + [("x", 1, "region", "a")],
+                                     "event_id string, ord int, kind string, text string")
+    got = summary.anchor_marks(contexts, locales.limit(0).selectExpr("row_no", "name", "cid as anchor_cid", "aliases"), locales, ["event_id", "ord"])
+    assert _rows_out(got) <= 2 * 401
+    marks = {r["text"]: r["mark"] for r in got.filter("event_id <> 'x'").collect()}
+    assert marks == {"A": " (~)", "b": " (~)", "zz": " (?)", None: " (?)"}
+    assert got.filter("event_id = 'x'").first()["mark"] == ""
+
+
 def test_places_are_narrowed_once_per_name_and_contexts(spark):
     locales = _town(spark, 200)
     mentions = spark.createDataFrame([(f"e{i}", 0, "A") for i in range(300)] + [("e0", 0, "b"), (None, 0, "b"), ("e1", 1, None)], "event_id string, loc_no int, text string")
