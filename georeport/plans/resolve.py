@@ -33,15 +33,25 @@ def event_contexts(events: DataFrame, contexts: DataFrame, gaz: Gazetteer) -> Da
     return merged.withColumn("in_region", F.col("ctx_region")).withColumn("in_group", F.col("ctx_group"))
 
 
+def with_axes(contexts: DataFrame, segments: DataFrame) -> DataFrame:
+    """Region, group and direction axis of each event.
+
+    The few anchors meet events, not candidates, and events without one stay out of the join: they would all be one key.
+    """
+    events = contexts.select("event_id", "ctx_region", "ctx_group", F.col("dir_lat").alias("axis_lat"), F.col("dir_lon").alias("axis_lon"))
+    given = F.col("axis_lat").isNotNull() & F.col("axis_lon").isNotNull()
+    anchors = events.select(F.col("axis_lat").alias("lat"), F.col("axis_lon").alias("lon")).dropna().distinct()
+    axes = scoring.direction_axes(anchors, segments)
+    none = F.lit(None).cast("double")
+    return (events.filter(given).join(axes, ["axis_lat", "axis_lon"], "left")
+            .unionByName(events.filter(~given).withColumn("axis_dlat", none).withColumn("axis_dlon", none)))
+
+
 def score_candidates(candidates: DataFrame, contexts: DataFrame, segments: DataFrame,
                      params: Params = Params()) -> DataFrame:
     """Fail-safe narrowing, direction axis, line distance and unary score."""
-    rows = candidates.join(contexts.select("event_id", "ctx_region", "ctx_group", "dir_lat", "dir_lon"), "event_id", "left")
-    rows = written(context.keep_region_and_group(rows), "kept")
-    anchors = contexts.select(F.col("dir_lat").alias("lat"), F.col("dir_lon").alias("lon")).dropna().distinct()
-    axes = scoring.direction_axes(anchors, segments)
-    rows = rows.join(axes.withColumnRenamed("axis_lat", "dir_lat").withColumnRenamed("axis_lon", "dir_lon"), ["dir_lat", "dir_lon"], "left")
-    rows = scoring.project_on_axis(rows.withColumnRenamed("dir_lat", "axis_lat").withColumnRenamed("dir_lon", "axis_lon"))
+    rows = candidates.join(with_axes(contexts, segments), "event_id", "left")
+    rows = written(scoring.project_on_axis(context.keep_region_and_group(rows)), "kept")
     rows = closest_on_lines(rows, segments).drop("line_lat", "line_lon")
     unary = scoring.unary_score(F.col("line_km"), F.col("dir_cross_km"), F.col("dir_along_km"), params.scoring)
     return rows.withColumn("unary", unary)

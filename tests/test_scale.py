@@ -150,6 +150,17 @@ def test_mentions_of_a_name_ask_once(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, {tuple(r) for r in asked.collect()}))
 
 
+def test_events_without_an_anchor_stay_out_of_the_axis_join(spark):
+    rows = [(f"e{i}", "r", None, *((44.0, 30.0) if i == 0 else (None, 31.0) if i == 1 else (None, None))) for i in range(500)]
+    contexts = spark.createDataFrame(rows, "event_id string, ctx_region string, ctx_group string, dir_lat double, dir_lon double")
+    segments = spatial.line_segments(spark.createDataFrame([(1, 0, 30.0, 45.0), (1, 1, 31.0, 45.0)], "line_no int, pt_no int, lon double, lat double"))
+    got = resolve.with_axes(contexts, segments)
+    assert _rows_out(got) < 100
+    axes = {r["event_id"]: r for r in got.collect()}
+    assert len(axes) == 500 and abs(axes["e0"]["axis_dlat"] - 1.0) < 1e-6
+    assert all(axes[f"e{i}"]["axis_dlat"] is None for i in range(1, 500)) and axes["e1"]["axis_lon"] == 31.0
+
+
 def test_beam_scores_each_pair_of_places_once(monkeypatch):
     rng = np.random.default_rng(3)
     n, s = 2400, Scoring()
