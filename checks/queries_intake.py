@@ -105,14 +105,14 @@ def _(fx):
 @query("l01_streamed_posts", f"SELECT channel, post_id, {_ISO} AS published_at, text FROM fx_routed")
 def _(fx):
     landing, out, state = (scratch_path(fx.spark, x) for x in ("landing", "streamed", "state"))
-    # Newest days first, one file per batch, and half of the messages twice.
+    # Newest days first, and half of the messages twice; the stream goes on after each arrival. An arrival has as many files as tasks write.
     late, doubled = F.col("published_at") < "2024-01-12", F.col("post_id") % 2 == 0
-    for some in (~late, late, doubled):
-        fx.messages.filter(some).coalesce(1).write.mode("append").json(landing)
     channels = post_files.active_channels(fx.channels, fx.channels)
-    posts = stream.stream_posts(stream.message_stream(fx.spark, landing, 1), channels, START, END,
-                                phrases=fx.phrases, words=fx.blacklist, blacklist_lang="de")
-    stream.write_stream(posts, out, state).awaitTermination()
+    for some in (~late, late, doubled):
+        fx.messages.filter(some).write.mode("append").json(landing)
+        posts = stream.stream_posts(stream.message_stream(fx.spark, landing), channels, START, END,
+                                    phrases=fx.phrases, words=fx.blacklist, blacklist_lang="de")
+        stream.write_stream(posts, out, state).awaitTermination()
     return post_files.read_posts(fx.spark, out).select("channel", "post_id", utc_iso(F.col("published_at")).alias("published_at"), "text")
 
 

@@ -184,3 +184,17 @@ def test_beam_scores_each_pair_of_places_once(monkeypatch):
         search.close()
     # The place of the first mention is the same in all 50 assignments.
     assert search.picks.shape == (50, 4) and sum(made) <= 30 + 800 * 31 + 800 * (1 + 30 + 50) and sum(made) < 0.8 * (30 + 800 * 60 + 800 * 150)
+
+
+def test_arrivals_of_messages_are_not_one_file(spark, tmp_path):
+    words = [a * 3 + b * 4 for a in "abcdefg" for b in "hijklmnop"]
+    text = [" ".join(words[i % 7:][:50]) + f" {words[(i * 5) % 63]}" for i in range(40)]
+    docs = spark.createDataFrame([(i, text[i], "en", f"src{i % 3}", len(text[i])) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    with common.job_folder(spark) as folder:
+        fx = Fixtures(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in QUERIES["l01_streamed_posts"](fx).select("channel", "post_id").collect())
+        landing = next(x for x in os.listdir(folder) if x.startswith("landing"))
+        assert len([x for x in os.listdir(f"{folder}/{landing}") if x.endswith(".json")]) > 3
+        want = sorted(tuple(r) for r in QUERIES["b06_post_records"](fx).select("channel", "post_id").collect())
+    assert got == want and len(got) > 5
