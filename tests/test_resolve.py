@@ -158,3 +158,20 @@ def test_event_with_many_mentions_and_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(got) == 51 and sorted(p["loc_no"] for p in got["big"]) == list(range(2000))
     assert all(len(got[f"s{e}"]) == 1 and got[f"s{e}"][0]["cid"] == e for e in range(50))
+
+
+def test_events_that_ask_for_the_same_names_are_searched_once(spark, monkeypatch):
+    """The same assignments as with candidates of each mention, at each event's own mentions; a name without places and a lone place among the names."""
+    rnd = random.Random(5)
+    of_name = {w: [(w, n * 100 + c, n * 100 + c, rnd.uniform(47, 48), rnd.uniform(30, 31), rnd.choice(["a", "b", "", None]), rnd.choice(["x", None]), None, rnd.uniform(0, 1))
+                   for c in range(size)] for n, (w, size) in enumerate((("p", 4), ("q", 1), ("r", 3), ("none", 0)))}
+    lists = [("p",), ("r", "q", "p"), ("p", "r"), ("r", "p"), ("none", "p"), ("none",), ("p", "p")]
+    mentioned = [(f"e{e}", e % 3 + k * 2, w) for e in range(70) for k, w in enumerate(lists[e % 7])]
+    rows = [(e, loc, *place[1:]) for e, loc, w in mentioned for place in of_name[w]]
+    want = {r["event_id"]: (r["score"], [tuple(p) for p in r["picks"]]) for r in scoring.choose_places(spark.createDataFrame(rows, CAND)).collect()}
+    searched, plain = [], scoring.choose_places
+    monkeypatch.setattr(scoring, "choose_places", lambda c, *more: searched.append(c.count()) or plain(c, *more))
+    places = spark.createDataFrame([x for xs in of_name.values() for x in xs], "want string, " + CAND.split(", ", 2)[2])
+    got = scoring.choose_wanted(spark.createDataFrame(mentioned, "event_id string, loc_no int, want string"), places).collect()
+    assert {r["event_id"]: (r["score"], [tuple(p) for p in r["picks"]]) for r in got} == want and len(got) == len(want) == 60
+    assert searched == [4 + 8 + 7 + 7 + 4 + 8] and sum(searched) * 5 < len(rows)
