@@ -145,3 +145,32 @@ def test_one_large_collection_in_ranges(spark, tmp_path):
             got, plain = ([(r.properties["id"], r.properties["name"], r.type, json.loads(r.coordinates or "0")) for r in rows.orderBy("feature_no").collect()]
                           for rows in (geojson.read_collection(spark, str(path), size), geojson.read_features(spark, str(path))))
             assert got == plain and len(got) == 120
+
+
+def test_candidates_given_once_per_name_make_the_same_trees(spark, tmp_path):
+    """Lists per name or per mention; a name without places, a mention without a name, events and posts without mentions."""
+    posts = spark.createDataFrame([(p, f"post {p}") for p in range(5)], "post_id long, text string")
+    sections = spark.createDataFrame([(p, f"{p}:s{s}", s, f"section {s}") for p in range(4) for s in range(2)], "post_id long, section_id string, section_no int, text string")
+    events = spark.createDataFrame([(p, f"{p}:s{e % 2}", f"{p}:{e}", f"event {e}", None, None, "k", "a") for p in range(3) for e in range(3)],
+                                   "post_id long, section_id string, event_id string, text string, actor_kind string, actor_text string, action_kind string, action_text string")
+    names = ["a", "b", "none", None]
+    located = spark.createDataFrame([(f"{p}:{e}", k, f"loc {k}", names[(p + e + k) % 4], k, "n", 1.0, 2.0, "r", "g", 0.5) for p in range(3) for e in range(2) for k in range(3)],
+                                    "event_id string, loc_no int, text string, name string, final_cid long, final_name string, final_lat double, final_lon double, "
+                                    "final_region string, final_group string, final_confidence double")
+    place = "name string, row_no long, cid long, lat double, lon double, region string, grp string, qid string, unary double"
+    places = spark.createDataFrame([(n, 9 - c, 10 * i + c, 48.0, 31.0, "r", None, "Q", c / 8) for i, n in enumerate("ab") for c in range(3)], place)
+    each = located.select("event_id", "loc_no", "name").join(places, "name")
+    old = review.build_trees(posts, sections, events, located, candidates=each)
+    # The places come with the name that was asked for.
+    new = review.build_trees(posts, sections, events, located.withColumnRenamed("name", "want"), candidates=places.withColumn("want", F.col("name")), offered_by=["want"])
+    assert new.schema.simpleString() == old.schema.simpleString()
+    assert sorted(map(str, new.collect())) == sorted(map(str, old.collect()))
+    review.write_trees(new, str(tmp_path / "trees"))
+    back = review.reviewed_tables(review.read_trees(spark, str(tmp_path / "trees")))
+    got = sorted((r.event_id, r.loc_no, r.cand_no, r.cid, r.scores["unary"]) for r in back.candidates.collect())
+    rows = sorted((r.event_id, r.loc_no, 9 - r.row_no, r.cid, r.unary) for r in each.collect())
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in sorted((e, m, 2 - c, cid, u) for e, m, c, cid, u in rows)] and len(got) == len(rows) > 20
+    assert back.mentions.count() == located.count() and back.events.count() == 9
+    # Nodes are read without candidates.
+    plan = back.contexts._jdf.queryExecution().executedPlan().toString()
+    assert "contexts" in plan and "offers" not in plan
