@@ -198,3 +198,31 @@ def test_arrivals_of_messages_are_not_one_file(spark, tmp_path):
         assert len([x for x in os.listdir(f"{folder}/{landing}") if x.endswith(".json")]) > 3
         want = sorted(tuple(r) for r in QUERIES["b06_post_records"](fx).select("channel", "post_id").collect())
     assert got == want and len(got) > 5
+
+
+def _shares(df):
+    """Rows of each task that gives any."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def _plain(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_places_of_a_frequent_name_are_dealt_in_equal_parts(spark, tmp_path):
+    places = spark.createDataFrame([(i, f"c{i}", f"n{i % 3}", [f"m{i % 2}"]) for i in range(90)], "row_no int, cid string, name string, aliases array<string>")
+    asked = [(i, "n0", {"a": i}) for i in range(3000)] + [(i, f"N{i % 3}", {"a": 1}) for i in range(3000, 3300)] + [(7, None, None), (7, None, None), (8, "x", None), (7, "n1", None), (7, "n1", None)]
+    texts = spark.createDataFrame(asked, "no int, text string, name map<string,int>").coalesce(1)
+    index = lookup.locale_index(places)
+    got = lookup.search_locale(texts, index)
+    want = texts.withColumn("key", lookup.location_key("text")).join(index, "key")
+    assert got.columns == want.columns and _plain(got) == _plain(want)
+    shares = _shares(got)
+    assert sum(shares) == 30 * 3302 and max(shares) < 0.3 * sum(shares)
+    # Ids without order: each text has 200 places, named in turn with others.
+    many = spark.range(200 * 20).select(F.concat(F.lit("t"), (F.col("id") % 20)).alias("key"), F.xxhash64("id").alias("cid"))
+    turns = spark.range(20 * 300).select(F.concat(F.lit("t"), (F.col("id") % 20)).alias("text"), F.xxhash64("id", "id").alias("text_id")).coalesce(1)
+    found = lookup.search_locale(turns, many).select("text_id", "cid")
+    found.write.parquet(f"{tmp_path}/out")
+    size = sum(os.path.getsize(f"{tmp_path}/out/{x}") for x in os.listdir(f"{tmp_path}/out") if x.endswith(".parquet"))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1_200_000 and size < 800_000
