@@ -226,3 +226,17 @@ def test_places_of_a_frequent_name_are_dealt_in_equal_parts(spark, tmp_path):
     found.write.parquet(f"{tmp_path}/out")
     size = sum(os.path.getsize(f"{tmp_path}/out/{x}") for x in os.listdir(f"{tmp_path}/out") if x.endswith(".parquet"))
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1_200_000 and size < 800_000
+
+
+def test_places_near_a_frequent_spot_are_dealt_in_equal_parts(spark):
+    rows = [(i, 48.0, 30.0) for i in range(3000)] + [(i, 0.0, -0.0) for i in range(3000, 3010)] + [(1, None, 30.0), (2, 48.0, None), (3, -0.0, 0.0), (3, -0.0, 0.0), (4, 60.0, 30.0)]
+    points = spark.createDataFrame(rows, "pid int, lat double, lon double").coalesce(1)
+    around = [(i, 48.0 + i / 1000, 30.0 - i / 700) for i in range(40)] + [(100, 0.0, 0.1), (100, 0.0, 0.1), (101, -0.0, -0.0), (102, None, 0.0)]
+    places = spark.createDataFrame(around, "row_no int, lat double, lon double")
+    got = spatial.within_km(points, places, 30.0, digits=2)
+    assert got.columns == ["lat", "lon", "pid", "near_row_no", "near_lat", "near_lon", "km"]
+    want = (points.crossJoin(places.select(F.col("row_no").alias("near_row_no"), F.col("lat").alias("a"), F.col("lon").alias("b")))
+            .withColumn("km", spatial.lookup_km(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))).filter("km <= 30").select("pid", "near_row_no", F.round("km", 2).alias("km")))
+    assert _plain(got.select("pid", "near_row_no", "km")) == _plain(want)
+    shares = _shares(got)
+    assert sum(shares) == 3000 * 40 + 12 * 3 and max(shares) < 0.4 * sum(shares)
