@@ -228,6 +228,18 @@ def test_places_of_a_frequent_name_are_dealt_in_equal_parts(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1_200_000 and size < 800_000
 
 
+def test_places_of_a_frequent_name_and_scope_are_dealt_in_equal_parts(spark):
+    places = spark.createDataFrame([(i, f"n{i % 2}", ["m"], f"r{i % 3}") for i in range(90)], "row_no int, name string, aliases array<string>, region string")
+    asked = [(i, "n0", "R0") for i in range(3000)] + [(i, "m", None) for i in range(3000, 6000)] + [(7, "N1", "r2"), (7, "N1", "r2"), (8, None, "r0"), (9, "n1", "x")]
+    texts = spark.createDataFrame(asked, "no int, text string, in_region string").coalesce(1)
+    index = lookup.locale_index(places)
+    got = lookup.search_locale(texts, index, region="in_region")
+    want = texts.withColumn("key", lookup.location_key("text")).join(index, "key").filter("in_region is null or lower(in_region) = region")
+    assert got.columns == want.columns and _plain(got) == _plain(want)
+    shares = _shares(got)
+    assert sum(shares) == 3000 * 15 + 3000 * 90 + 2 * 15 and max(shares) < 0.3 * sum(shares)
+
+
 def test_places_near_a_frequent_spot_are_dealt_in_equal_parts(spark):
     rows = [(i, 48.0, 30.0) for i in range(3000)] + [(i, 0.0, -0.0) for i in range(3000, 3010)] + [(1, None, 30.0), (2, 48.0, None), (3, -0.0, 0.0), (3, -0.0, 0.0), (4, 60.0, 30.0)]
     points = spark.createDataFrame(rows, "pid int, lat double, lon double").coalesce(1)
