@@ -1,6 +1,7 @@
 """Repeated rows, scopes and large groups: results that must not depend on size, and work that must not grow with pairs."""
 
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,24 @@ def test_beam_scores_each_pair_of_places_once(monkeypatch):
     assert search.picks.shape == (50, 4) and sum(made) <= 30 + 800 * 31 + 800 * (1 + 30 + 50) and sum(made) < 0.8 * (30 + 800 * 60 + 800 * 150)
 
 
+def test_places_of_a_name_are_read_by_the_search_not_joined_to_events(spark):
+    """The same assignments, with names whose places fill several batches, lone places, distances to an anchor and events that begin alike."""
+    rnd = random.Random(8)
+    place = "want string, row_no int, cid int, name string, lat double, lon double, region string, grp string, qid string, unary double, prox_km double"
+    sizes = {"p": 9000, "q": 1, "r": 30, "s": 5000, "t": 1}
+    rows = [(w, 7 * c % n, 10000 * i + c, w, rnd.uniform(46, 50), rnd.uniform(30, 36), rnd.choice(["a", "b", "", None]), rnd.choice(["x", None]), None, rnd.choice([0.0, rnd.random()]),
+             rnd.choice([None, 3.0, 8.0])) for i, (w, n) in enumerate(sizes.items()) for c in range(n)]
+    places = spark.createDataFrame(rows, place)
+    lists = ["p", "pr", "rp", "qpr", "prq", "s", "ps", "psr", "tqr", "rqt", "qq", "pp", "prsp", "x", "xq"]
+    mentioned = spark.createDataFrame([(f"e{i}", 2 * k + 1, w) for i, ws in enumerate(lists * 3) for k, w in enumerate(ws)], "event_id string, loc_no int, want string")
+    got = scoring.choose_wanted(mentioned, places)
+    assert _rows_out(got) <= 3 * len(lists)
+    want = scoring.choose_places(mentioned.join(places, "want").drop("want"))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    rounded = F.round("score", 9).alias("score")
+    assert _plain(got.withColumn("score", rounded)) == _plain(want.withColumn("score", rounded)) and got.count() == 3 * 14
+
+
 def test_arrivals_of_messages_are_not_one_file(spark, tmp_path):
     words = [a * 3 + b * 4 for a in "abcdefg" for b in "hijklmnop"]
     text = [" ".join(words[i % 7:][:50]) + f" {words[(i * 5) % 63]}" for i in range(40)]
