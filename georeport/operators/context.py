@@ -82,7 +82,14 @@ def any_of(df: DataFrame, keys: list[str], flag: Column, name: str) -> DataFrame
 
 def narrow_candidates(mentions: DataFrame, contexts: DataFrame, locales: DataFrame,
                       params: Params = Params()) -> DataFrame:
-    """Candidate places of each mention under region, group and proximity contexts.
+    """Candidate places of each mention under region, group and proximity contexts: ``narrow_wanted`` as rows of mentions."""
+    mentioned, rows = narrow_wanted(mentions, contexts, locales, params)
+    return mentioned.join(rows, "want").drop("want")
+
+
+def narrow_wanted(mentions: DataFrame, contexts: DataFrame, locales: DataFrame,
+                  params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Mentions with what they ask for, ``want``, and the candidate places of each want under region, group and proximity contexts.
 
     ``mentions``: event_id, loc_no, text. ``contexts``: event_id, in_region, in_group,
     prox_lat, prox_lon (nulls = none). Whether a region or group leaves anything for a name
@@ -134,7 +141,7 @@ def narrow_candidates(mentions: DataFrame, contexts: DataFrame, locales: DataFra
     conf = conf + F.when(near, F.when(inside, F.lit(0.4)).otherwise(-0.2)).otherwise(0.0)
     rows = written(rows.withColumn("confidence", conf).select(
         "want", "cid", "row_no", "name", "lat", "lon", "region", "grp", "qid", "prox_km", "confidence"), "wanted")
-    return mentioned.join(rows, "want").drop("want")
+    return mentioned, rows
 
 
 def single_candidates(candidates: DataFrame) -> DataFrame:
@@ -161,14 +168,14 @@ def keep_group(candidates: DataFrame, group: str = "ctx_group") -> DataFrame:
     return keep_matching(candidates, F.col(group).isNull() | (F.col("grp") == F.col(group)), "group_mismatch")
 
 
-def keep_region_and_group(candidates: DataFrame, region: str = "ctx_region", group: str = "ctx_group") -> DataFrame:
-    """``keep_region`` then ``keep_group`` with one aggregation for both."""
+def keep_region_and_group(candidates: DataFrame, region: str = "ctx_region", group: str = "ctx_group", owner: Sequence[str] = MENTION) -> DataFrame:
+    """``keep_region`` then ``keep_group`` with one aggregation for both, per mention (or other owner)."""
     r = F.coalesce(F.col(region).isNull() | (F.col("region") == F.col(region)), F.lit(False))
     g = F.coalesce(F.col(group).isNull() | (F.col("grp") == F.col(group)), F.lit(False))
-    found = candidates.groupBy(*MENTION).agg(F.max(r).alias("_r"), F.max(g).alias("_g"), F.max(r & g).alias("_rg"))
+    found = candidates.groupBy(*owner).agg(F.max(r).alias("_r"), F.max(g).alias("_g"), F.max(r & g).alias("_rg"))
     in_region = ~F.col("_r") | r
     any_group = F.when(F.col("_r"), F.col("_rg")).otherwise(F.col("_g"))
-    return (candidates.join(found, MENTION).filter(in_region & (~any_group | g))
+    return (candidates.join(found, [*owner]).filter(in_region & (~any_group | g))
             .withColumn("region_mismatch", ~r).withColumn("group_mismatch", ~g).drop("_r", "_g", "_rg"))
 
 

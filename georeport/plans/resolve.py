@@ -47,14 +47,19 @@ def with_axes(contexts: DataFrame, segments: DataFrame) -> DataFrame:
             .unionByName(events.filter(~given).withColumn("axis_dlat", none).withColumn("axis_dlon", none)))
 
 
-def score_candidates(candidates: DataFrame, contexts: DataFrame, segments: DataFrame,
-                     params: Params = Params()) -> DataFrame:
-    """Fail-safe narrowing, direction axis, line distance and unary score."""
-    rows = candidates.join(with_axes(contexts, segments), "event_id", "left")
-    rows = written(scoring.project_on_axis(context.keep_region_and_group(rows)), "kept")
-    rows = closest_on_lines(rows, segments).drop("line_lat", "line_lon")
+def score_wanted(mentioned: DataFrame, places: DataFrame, contexts: DataFrame, segments: DataFrame,
+                 params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Fail-safe narrowing, direction axis, line distance and unary score.
+
+    ``mentioned`` and ``places`` as of ``context.narrow_wanted``. Mentions of a want whose events have the same region, group and axis have the
+    same scores, so these are what mentions ask for from here on: mentions with their new ``want``, and its scored places.
+    """
+    near = written(closest_on_lines(places, segments).drop("line_lat", "line_lon"), "near-lines").withColumnRenamed("want", "_narrowed")
+    asked = mentioned.dropna(subset=context.MENTION).withColumnRenamed("want", "_narrowed").join(with_axes(contexts, segments), "event_id", "left")
+    mentioned, wants = context.asked_once(written(asked, "asked-axes"))
+    rows = scoring.project_on_axis(context.keep_region_and_group(wants.join(near, "_narrowed").drop("_narrowed"), owner=["want"]))
     unary = scoring.unary_score(F.col("line_km"), F.col("dir_cross_km"), F.col("dir_along_km"), params.scoring)
-    return rows.withColumn("unary", unary)
+    return mentioned, rows.withColumn("unary", unary)
 
 
 def resolve_mentions(mentions: DataFrame, events: DataFrame, contexts: DataFrame, gaz: Gazetteer,
@@ -62,9 +67,11 @@ def resolve_mentions(mentions: DataFrame, events: DataFrame, contexts: DataFrame
     """The whole resolution job: resolved mentions, and the assignment of each event.
 
     Steps that are read more than once are written to the shared folder, so nothing is
-    computed twice and each join knows the size of its sides.
+    computed twice and each join knows the size of its sides. Candidates are found, scored and searched once per name and contexts;
+    they are never rows of mentions.
     """
     ctx = written(event_contexts(events, contexts, gaz), "contexts")
-    candidates = written(context.narrow_candidates(mentions, ctx, gaz.locales, params), "narrowed")
-    chosen = written(scoring.choose_places(score_candidates(candidates, ctx, segments, params), params), "chosen")
+    mentioned, places = context.narrow_wanted(mentions, ctx, gaz.locales, params)
+    mentioned, scored = score_wanted(mentioned, places, ctx, segments, params)
+    chosen = written(scoring.choose_wanted(mentioned, scored, params), "chosen")
     return scoring.write_back(mentions, chosen, gaz.locales, params), chosen
