@@ -76,6 +76,24 @@ def test_runs_of_odd_texts(spark):
                     (1, 13, 16, "LOCALE", "yeni kale", "yeni–kale", 42, 1, 3, 0, 1), (1, 15, 16, "LOCALE", "kale", "kale", 47, 1, 3, 0, 1)]
 
 
+def test_words_of_records_are_found_once_and_by_halving(spark):
+    """The places of ``word_table``; a token's chars without a look at every word of its post."""
+    texts = ["a_Kale x² Lyman", "Ka'le… attack.\nshot  down e.g. Lyman; the yeni–kale", None, "", "...", "one, two; (three)?! " * 60, "日本 ʼa 𐐀b — c"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id int, text string").withColumn("more", F.array(F.struct(F.lit(1).alias("x"))))
+    got = tagging.word_places(posts)
+    plain = posts.withColumn("words", F.transform(tagging.word_table(F.col("text")), lambda w: F.struct(w["ts"].alias("ts"), w["cs"].alias("cs"), w["ce"].alias("ce"))))
+    assert got.schema.simpleString() == plain.schema.simpleString() and _plain(got) == _plain(plain)
+    asked = got.select("post_id", "text", "words", F.explode(F.array(*(F.lit(t).cast("long") for t in (-3, 0, 1, 2, 3, 4, 5, 7, 9, 301, 419, 9999)))).alias("t"))
+    chars = asked.withColumn("c", structure.token_chars(F.col("text"), F.col("words"), F.col("t")))
+    for r in chars.collect():
+        if r.text is None:
+            assert r.c.cs is None
+            continue
+        tokens = sorted([(w.cs, w.ce) for w in r.words] + [(i, i + 1) for i, x in enumerate(r.text) if not x.isspace() and not any(w.cs <= i < w.ce for w in r.words)])
+        t = max(r.t, 0)
+        assert (r.c.cs, r.c.ce) == (tokens[t] if t < len(tokens) else (len(r.text), len(r.text))), (r.post_id, r.t)
+
+
 def test_posts_of_one_file_are_dealt_out(spark):
     posts = spark.range(5000).selectExpr("id as post_id", "'Kale' as text").coalesce(1)
     spans = spark.createDataFrame([(1, 5, 6, 0, 1, 0, "GROUP", "g", "g"), (1, 2, 4, 0, 1, 0, "LOCALE", "l", "l"), (1, 8, 9, 0, 1, 0, "LOCALE", "m", "m")],
