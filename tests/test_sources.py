@@ -174,3 +174,20 @@ def test_candidates_given_once_per_name_make_the_same_trees(spark, tmp_path):
     # Nodes are read without candidates.
     plan = back.contexts._jdf.queryExecution().executedPlan().toString()
     assert "contexts" in plan and "offers" not in plan
+
+
+def test_nodes_of_trees_are_read_without_candidates(spark, tmp_path):
+    """Contexts are stored without candidates, which are parsed where they are asked for; both ways give the same tables."""
+    ctx = [{"kind": "region", "text": "R"}]
+    locations = [{"location_id": str(k), "span_text": f"s{k}", "enabled": k != 1, "contexts": ctx, "candidate_texts": ["n"],
+                  "candidates": [{"locale": {"cid": 10 * k + c, "name": "n", "lat": 1.0, "lon": 2.0}, "scores": {"unary": c / 8}} for c in range(3)]} for k in range(3)]
+    trees = [{"post_id": str(p), "enabled": p != 2, "contexts": ctx, "children": [{"section_id": "S0", "contexts": ctx, "children": [
+        {"event_id": f"{p}:0", "contexts": ctx, "children": locations}]}]} for p in range(4)]
+    (tmp_path / "trees").write_text("\n".join(map(json.dumps, [*trees, {"post_id": "5", "children": None}])))
+    whole, nodes = (review.read_trees(spark, str(tmp_path / "trees"), candidates=c) for c in (True, False))
+    assert "candidates:" not in nodes.schema.simpleString() and "candidates:" in whole.schema.simpleString()
+    old, new = review.reviewed_tables(whole), review.reviewed_tables(whole, nodes)
+    for name in ("posts", "sections", "contexts", "events", "mentions", "candidates"):
+        a, b = getattr(old, name), getattr(new, name)
+        assert a.schema.simpleString() == b.schema.simpleString() and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+    assert new.candidates.count() == 3 * 2 * 3 and new.contexts.count() == 3 * (1 + 1 + 1 + 2)
