@@ -56,7 +56,9 @@ def score_wanted(mentioned: DataFrame, places: DataFrame, contexts: DataFrame, s
     """
     near = written(closest_on_lines(places, segments).drop("line_lat", "line_lon"), "near-lines").withColumnRenamed("want", "_narrowed")
     asked = mentioned.dropna(subset=context.MENTION).withColumnRenamed("want", "_narrowed").join(with_axes(contexts, segments), "event_id", "left")
-    mentioned, wants = context.asked_once(written(asked, "asked-axes"))
+    # An event that is listed twice has its candidates twice.
+    mentioned, wants = context.asked_once(written(asked.groupBy(*asked.columns).agg(F.count("*").cast("int").alias("_times")), "asked-axes"))
+    wants = wants.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_no")).drop("_times", "_no")
     rows = scoring.project_on_axis(context.keep_region_and_group(wants.join(near, "_narrowed").drop("_narrowed"), owner=["want"]))
     unary = scoring.unary_score(F.col("line_km"), F.col("dir_cross_km"), F.col("dir_along_km"), params.scoring)
     return mentioned, rows.withColumn("unary", unary)

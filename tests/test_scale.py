@@ -185,7 +185,7 @@ def test_mentions_are_resolved_once_per_name_and_contexts(spark, monkeypatch):
     regions = spark.createDataFrame([(i, f"r{i}", [], []) for i in range(3)], "row_no int, name string, aliases array<string>, neighbors array<string>")
     groups = spark.createDataFrame([(0, "g", [], [], [])], "row_no int, name string, aliases array<string>, regions array<string>, neighbors array<string>")
     directions = spark.createDataFrame([(0, "a", [], 1010)], "row_no int, name string, aliases array<string>, anchor_cid long")
-    events = spark.createDataFrame([("p", "S0", f"e{i}") for i in range(200)], "post_id string, section_id string, event_id string")
+    events = spark.createDataFrame([("p", "S0", f"e{i}") for i in [*range(200), 5]], "post_id string, section_id string, event_id string")
     kind = "post_id string, level string, section_id string, event_id string, ord int, kind string, text string"
     contexts = spark.createDataFrame([("p", "event", "S0", f"e{i}", 0, "region" if i < 9 else "direction", "r1" if i < 9 else "A") for i in range(7, 11)], kind)
     mentions = spark.createDataFrame([(f"e{i}", 0, "A") for i in range(200)] + [(None, 0, "a"), ("e3", 1, "zz"), ("e4", 1, None), ("gone", 0, "b")], "event_id string, loc_no int, text string")
@@ -193,8 +193,9 @@ def test_mentions_are_resolved_once_per_name_and_contexts(spark, monkeypatch):
     tried, plain = [], scoring.choose_places
     monkeypatch.setattr(scoring, "choose_places", lambda c, *more: tried.append(c.count()) or plain(c, *more))
     got, chosen = resolve.resolve_mentions(mentions, events, contexts, resolve.Gazetteer(locales, regions, groups, directions), segments)
-    # One list without contexts, one within a region (of which 20 places are), one along an axis, those of e3 and e4, and the other name.
-    assert tried == [60 + 20 + 60 + 2 * 60 + 60]
+    # One list without contexts, one within a region (of which 20 places are), one along an axis, those of e3 and e4, the other name, and
+    # the event that is listed twice, which has its candidates twice.
+    assert tried == [60 + 20 + 60 + 2 * 60 + 60 + 2 * 60]
     rows = {(r["event_id"], r["loc_no"]): r["final_cid"] for r in got.collect()}
     # The nearest to the line; the axis from the tenth place leads there, too.
     assert rows == {**{(f"e{i}", 0): 1058 if 7 <= i < 9 else 1059 for i in range(200)}, (None, 0): None, ("e3", 1): None, ("e4", 1): None, ("gone", 0): 1059}
